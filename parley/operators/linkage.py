@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import WS, collapse_spaces, strip, text_fingerprint
+from parley.operators.skew import skew_join, spread_join
 
 # Shape of a phone number, prefix of an unsaved contact, merge gate.
 PHONE = r"(?U)^\+?[\d\s\x{1c}-\x{1f}\-()]{7,20}$"
@@ -51,7 +52,7 @@ def _with_manual(df: DataFrame, sender: str, manual: DataFrame | None) -> DataFr
         return df.withColumn("participant_id", F.when(F.col(sender) != "", key))
     links = manual.select("archive_id", F.col("sender").alias(sender), F.col("participant_id").alias("_manual"))
     return (
-        df.join(links, ["archive_id", sender], "left")
+        skew_join(df, links, ["archive_id", sender], df.columns, "left")
         .withColumn("participant_id", F.when(F.col(sender) != "", F.coalesce("_manual", key)))
         .drop("_manual")
     )
@@ -215,9 +216,9 @@ def reload_existing(stored: DataFrame) -> DataFrame:
     broken = (
         stored.groupBy("archive_id").agg(F.bool_or(F.col("dedup_key").isNull()).alias("_rekey"))
         .where("_rekey").select("archive_id")
-    )
+    )  # one row per damaged archive
     keyed = raw.withColumnRenamed("dedup_key", "_stored_key")
-    kept = keyed.join(broken, "archive_id", "left_anti").withColumn("dedup_key", F.col("_stored_key"))
-    redone = assign_keys(keyed.join(broken, "archive_id", "left_semi"), ["archive_id"])
+    kept = spread_join(keyed, broken, ["archive_id"], ["msg_id"], "left_anti").withColumn("dedup_key", F.col("_stored_key"))
+    redone = assign_keys(spread_join(keyed, broken, ["archive_id"], ["msg_id"], "left_semi"), ["archive_id"])
     cols = ["archive_id", "dedup_key", "line_no", "ts", "sender", "text", "msg_type", "attachment"]
     return kept.select(*cols).unionByName(redone.select(*cols))

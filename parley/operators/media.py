@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.ordered import block_of, dense_ids
+from parley.operators.skew import skew_join
 
 # Kind by name prefix, by role in the name, by extension.
 PREFIX_KIND = {
@@ -156,7 +157,7 @@ def media_rows(messages: DataFrame, files: DataFrame) -> DataFrame:
     """One row per message whose attachment resolves, numbered from 0 in message order."""
     told = messages.where("attachment IS NOT NULL").select(
         "archive_id", "msg_id", F.col("attachment").alias("reference"))
-    linked = told.join(resolve_attachments(told, files), ["archive_id", "reference"]).drop("reference", "tier")
+    linked = skew_join(told, resolve_attachments(told, files), ["archive_id", "reference"], ["msg_id"]).drop("reference", "tier")
     numbered = dense_ids(linked.withColumn("_block", block_of("msg_id")), ["archive_id"], ["_block"], ["msg_id"], "media_id")
     nothing = F.lit(None).cast("string")
     return numbered.drop("_block", "needs_upload").withColumns({
@@ -226,11 +227,13 @@ def enrich_media(media: DataFrame, cache: DataFrame, describe: Callable, **rules
     described = describe_files(asked, describe).withColumn(
         "outcome", F.when(F.col("status") == "done", "described").otherwise(F.col("status")))
     told = known.unionByName(skipped).unionByName(described)
-    result = media.drop("status", "error", *_TOLD).join(
-        media.select("archive_id", "media_id", F.col("status").alias("_s"), F.col("error").alias("_e")),
-        ["archive_id", "media_id"],
-    ).join(told, "content_hash", "left").withColumn("status", F.coalesce("status", "_s")).withColumn(
-        "error", F.when(F.col("outcome").isNull(), F.col("_e")).otherwise(F.col("error"))).drop("_s", "_e")
+    plain = media.withColumnsRenamed({c: f"_{c}" for c in ("status", "error", *_TOLD)})
+    joined = skew_join(plain, told, ["content_hash"], ["archive_id", "media_id"], "left")
+    touched = F.col("outcome").isNotNull() & F.col("_readable_pending")
+    joined = joined.withColumn("_readable_pending", F.col("readable") & (F.col("_status") == "pending"))
+    for c in ("status", "error", *_TOLD):
+        joined = joined.withColumn(c, F.when(touched, F.col(c)).otherwise(F.col(f"_{c}"))).drop(f"_{c}")
+    result = joined.withColumn("outcome", F.when(F.col("_readable_pending"), F.col("outcome"))).drop("_readable_pending")
     new_cache = described.where("status = 'done'").select("content_hash", *_TOLD)
     return result, new_cache
 

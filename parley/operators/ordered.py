@@ -123,6 +123,16 @@ def count_across(df: DataFrame, part: list[str], slices: list[str], order: list[
     return out
 
 
+def totals_across(df: DataFrame, part: list[str], slices: list[str], totals: dict[str, tuple]) -> DataFrame:
+    """Add totals of the whole part to every row; ``totals`` maps a column to
+    (aggregate over rows, window function that merges the slices)."""
+    keys = [*part, *slices]
+    whole = Window.partitionBy(*part)
+    edges = df.groupBy(*keys).agg(*[rows.alias(f"_t_{n}") for n, (rows, _) in totals.items()])
+    merged = edges.select(*keys, *[merge(f"_t_{n}").over(whole).alias(n) for n, (_, merge) in totals.items()])
+    return df.join(merged, keys)
+
+
 def dense_ids(df: DataFrame, part: list[str], slices: list[str], order: list[str],
               name: str) -> DataFrame:
     """Number the rows of every part 0, 1, 2 ... in ``order``."""

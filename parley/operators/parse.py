@@ -7,7 +7,8 @@ per-file aggregate, and a line finds its message through blocks of line numbers.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import WS, clean_line, strip
+from parley.functions.text import clean_line, strip
+from parley.operators.skew import spread_join
 
 # The header of a message line in all export layouts. Groups: three date
 # parts, hour, minute, second, am/pm, body.
@@ -153,7 +154,8 @@ def with_stamps(headed: DataFrame, orders: DataFrame, keys: list[str] = ("file",
     order = F.col("date_order")
     ts = (F.when(order == "YMD", build_timestamp("YMD")).when(order == "MDY", build_timestamp("MDY"))
           .otherwise(build_timestamp("DMY")))
-    return headed.join(chosen, list(keys)).withColumn("ts", ts).withColumn(
+    joined = spread_join(headed.withColumn("_block", F.floor(F.col("line_no") / 4096)), chosen, list(keys), ["_block"])
+    return joined.drop("_block").withColumn("ts", ts).withColumn(
         "body", F.when(F.col("ts").isNotNull(), F.col("h.body"))).drop("h", "date_order")
 
 

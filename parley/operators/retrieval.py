@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from parley.functions.text import body_hash, display_date, strip, tokens
 from parley.operators.media import EMBED_BATCH
-from parley.operators.ordered import block_of, dense_ids
+from parley.operators.ordered import block_of, dense_ids, totals_across
+from parley.operators.skew import skew_join, spread_join
 from parley.operators.transcript import read_window
 
 # Fixed values.
@@ -24,11 +25,6 @@ SILENT = {"media": "(sent an attachment)", "deleted": "(deleted a message)", "sy
 # --- chunks ---------------------------------------------------------------------------
 
 
-def session_positions(messages: DataFrame) -> DataFrame:
-    """(archive, session) -> first message id; ids are dense, so a position is a difference."""
-    return messages.groupBy("archive_id", "session_id").agg(F.min("msg_id").alias("_first"))
-
-
 def build_chunks(content: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Windows of ``size`` messages inside a session, each repeating ``overlap`` of the last.
 
@@ -38,10 +34,13 @@ def build_chunks(content: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     size = max(2, size)
     overlap = min(max(0, overlap), size - 1)
     step = size - overlap
-    rows = content.where("msg_type <> 'system'")
+    # Message ids are dense, so a position in the session is a difference of ids.
+    rows = totals_across(
+        content.where("msg_type <> 'system'").withColumn("_block", block_of("msg_id")),
+        ["archive_id", "session_id"], ["_block"], {"_first": (F.min("msg_id"), F.min)})
     p = F.col("msg_id") - F.col("_first")
     lowest = F.greatest(F.lit(0), F.ceil((p - (size - 1)) / step))
-    windows = rows.join(session_positions(rows), ["archive_id", "session_id"]).select(
+    windows = rows.select(
         "archive_id", "session_id", "msg_id", "ts", "sender", "msg_type", "content",
         F.explode(F.sequence(lowest, F.floor(p / step))).alias("window"),
     )
@@ -112,8 +111,7 @@ def bm25_scores(postings: DataFrame, stats: DataFrame, query: str, k1: float = K
     weights = df.join(stats, "archive_id").select(
         "archive_id", "term", idf.alias("_idf"), (F.col("n_tokens") / n).alias("_avg"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("_avg"))
-    # At most one row per archive and query term.
-    return hits.join(weights, ["archive_id", "term"]).groupBy("archive_id", "doc_id").agg(
+    return spread_join(hits, weights, ["archive_id", "term"], ["doc_id"]).groupBy("archive_id", "doc_id").agg(
         F.sum(F.col("_idf") * F.col("tf") * (k1 + 1) / norm).alias("score"))
 
 
@@ -236,9 +234,10 @@ def embed_texts(texts: DataFrame, embed: Callable, key: str, body: str, batch: i
 def split_missing(chunks: DataFrame, vectors: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks without a vector: (those whose body is cached, distinct bodies still to embed)."""
     todo = chunks.join(vectors.select("archive_id", "chunk_id"), ["archive_id", "chunk_id"], "left_anti")
-    cached = todo.join(cache.select("body_hash", "embedding"), "body_hash").select("archive_id", "chunk_id", "embedding")
-    missing = todo.join(cache.select("body_hash"), "body_hash", "left_anti").groupBy("body_hash").agg(
-        F.any_value("body").alias("body"))
+    cached = skew_join(todo.drop("body"), cache.select("body_hash", "embedding"), ["body_hash"], ["archive_id", "chunk_id"])
+    distinct = todo.groupBy("body_hash").agg(F.any_value("body").alias("body"))
+    missing = distinct.join(cache.select("body_hash"), "body_hash", "left_anti")
+    cached = cached.select("archive_id", "chunk_id", "embedding")
     return cached, missing
 
 
@@ -248,7 +247,7 @@ def embed_missing(chunks: DataFrame, vectors: DataFrame, cache: DataFrame, embed
     cached, missing = split_missing(chunks, vectors, cache)
     fresh = embed_texts(missing, embed, "body_hash", "body", batch)
     todo = chunks.join(vectors.select("archive_id", "chunk_id"), ["archive_id", "chunk_id"], "left_anti")
-    filled = todo.select("archive_id", "chunk_id", "body_hash").join(fresh, "body_hash").drop("body_hash")
+    filled = skew_join(todo.select("archive_id", "chunk_id", "body_hash"), fresh, ["body_hash"], ["archive_id", "chunk_id"])
     return cached.unionByName(filled.select("archive_id", "chunk_id", "embedding")), fresh
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import display_date, strip
-from parley.operators.ordered import block_of, count_across, lag_across
+from parley.operators.ordered import block_of, count_across, lag_across, totals_across
 
 EXCERPT_LINES = 24
 # Longest shown window, marker of a cut one.
@@ -60,14 +60,15 @@ def _joined(order: str = "line") -> Column:
 def session_excerpts(content: DataFrame, sessions: DataFrame, limit: int = EXCERPT_LINES) -> DataFrame:
     """Excerpts of all chosen (archive_id, session_id) in one job: head, count, tail."""
     scope = ["archive_id", "session_id"]
-    chosen = content.join(sessions.select(*scope).distinct(), scope, "left_semi")
-    lines = transcript_lines(chosen, scope)
-    sizes = lines.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
+    blocked = content.withColumn("_block", block_of("msg_id"))
+    spans = blocked.select(*scope, "_block").distinct().join(sessions.select(*scope).distinct(), scope, "left_semi")
+    chosen = blocked.join(spans, [*scope, "_block"], "left_semi").drop("_block")
+    lines = transcript_lines(chosen, scope).withColumn("_block", block_of("line"))
     half = limit // 2
     long = F.col("_n") > limit
     middle = F.concat(F.lit("... "), (F.col("_n") - limit).cast("string"), F.lit(" more messages ..."))
     shown = (
-        lines.join(sizes, scope)
+        totals_across(lines, scope, ["_block"], {"_n": (F.count(F.lit(1)), F.sum)})
         .where(~long | (F.col("line") <= half + 1) | (F.col("line") > F.col("_n") - half))
         .withColumn("text", F.when(long & (F.col("line") == half + 1), middle).otherwise(F.col("text")))
     )
@@ -98,7 +99,7 @@ def read_window(content: DataFrame, scope: list[str] = ("archive_id",), limit: i
         F.concat(F.lit("["), F.date_format("_first", "dd MMM yyyy"), F.lit(" to "),
                  F.date_format("_last", "dd MMM yyyy"), F.lit("]")))
     tail = (
-        upto.join(sizes.select(*scope, "_all"), scope)
+        totals_across(upto, scope, ["_block"], {"_all": (F.sum("_chars"), F.sum)})
         .where(F.col("_all") - F.col("_end") <= limit)
         .groupBy(*scope).agg(_joined().alias("_tail"))
     )

@@ -1 +1,6 @@
+"""All registered queries; importing the modules registers them."""
 
+from parley.registry.core import ORACLES, QUERIES
+from parley.registry import stream  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]

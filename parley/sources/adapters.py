@@ -86,6 +86,60 @@ def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unionByName(stray).selectExpr(
         "CAST(user_id % 10 AS INT) AS archive_id",
         "concat('media/', stored) AS path",
-        "CAST(round(value * 1000000) AS BIGINT) AS size_bytes",
+        "CAST(k AS BIGINT) * 3000000 AS size_bytes",
         "sha2(CAST(concat(event_type, ' ', CAST(k AS STRING)) AS BINARY), 256) AS content_hash",
     )
+
+
+def orders_as_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as messages of customers who appear under several names and number spellings."""
+    number = "CAST(9000000000 + o_custkey AS STRING)"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "CAST(o_custkey % 10 AS INT) AS archive_id", "o_orderkey AS line_no", "o_orderdate AS ts",
+        f"""CASE o_orderpriority
+            WHEN '1-URGENT' THEN concat('+91 ', substring({number}, 1, 5), ' ', substring({number}, 6, 5))
+            WHEN '2-HIGH' THEN concat('+91', {number})
+            WHEN '3-MEDIUM' THEN concat('~ ', {number})
+            WHEN '4-NOT SPECIFIED' THEN concat('~Customer ', CAST(o_custkey AS STRING))
+            ELSE concat('CUSTOMER  ', CAST(o_custkey AS STRING), ' Smith') END AS sender""",
+        "o_orderstatus AS text",
+        "CASE WHEN o_orderstatus = 'P' THEN 'system' ELSE 'text' END AS msg_type",
+        "CAST(NULL AS STRING) AS attachment",
+    )
+
+
+_STAMP = """CASE {layout}
+    WHEN 0 THEN concat(date_format(ts, 'dd/MM/yyyy, HH:mm'), ' - ')
+    WHEN 1 THEN concat('\\u200e[', date_format(ts, 'MM/dd/yyyy, h:mm:ss a'), '] ')
+    WHEN 2 THEN concat(date_format(ts, 'yyyy-MM-dd, HH:mm'), ' - ')
+    ELSE concat(date_format(ts, 'dd/MM/yy, h:mm'), '\\u202f', lower(date_format(ts, 'a')), ' - ') END"""
+_BODY = """CASE event_type
+    WHEN 'view' THEN array(concat(who, ': what is item ', k, '?'))
+    WHEN 'click' THEN array(concat(who, ': click ', k), '  second line', '', 'third: line')
+    WHEN 'purchase' THEN array(concat(who, ': see https://shop.example/', k))
+    WHEN 'signup' THEN CASE k % 3
+        WHEN 0 THEN array(concat(who, ': <Media omitted>'))
+        WHEN 1 THEN array(concat(who, ': IMG-', event_id, '.jpg (file attached)'), concat('caption ', k))
+        ELSE array(concat(who, ': <attached: ', event_id, '-PHOTO-', k, '.jpg>')) END
+    ELSE CASE k % 3
+        WHEN 0 THEN array(concat(who, ': This message was deleted'))
+        WHEN 1 THEN array(concat(who, ' added user ', k))
+        ELSE array(concat(who, ' changed the subject from \\"a\\" to: trip ', k)) END END"""
+
+
+def export_lines(spark: SparkSession, sf_dir: str, mixed: bool = False) -> DataFrame:
+    """Transcript lines (file, line_no, line) written from the events, one file per archive.
+
+    Four layouts take turns. With ``mixed`` every file is month first except for some errors
+    that are day first, as in two exports pasted together.
+    """
+    layout = f"CASE WHEN event_type = 'error' AND {_K} < 10 THEN 0 ELSE 1 END" if mixed else "user_id % 10 % 4"
+    events = table(spark, sf_dir, "events").selectExpr(
+        "*", f"{_K} AS k", "concat('user ', CAST(user_id AS STRING)) AS who", "user_id % 10 AS a")
+    lines = events.selectExpr(
+        "concat('chat-', CAST(a AS STRING)) AS file", "event_id",
+        f"posexplode({_BODY}) AS (i, body)", f"{_STAMP.format(layout=layout)} AS stamp",
+    ).selectExpr("file", "event_id * 8 + i AS line_no", "CASE WHEN i = 0 THEN concat(stamp, body) ELSE body END AS line")
+    preface = events.selectExpr("concat('chat-', CAST(a AS STRING)) AS file", "CAST(-1 AS BIGINT) AS line_no",
+                                "'Chat history' AS line").distinct()
+    return lines.unionByName(preface)

@@ -37,12 +37,16 @@ def _members(batches):
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """All members of all zips as (export, name, member, size, content, unsafe).
+    """The members of all zip files under ``path``."""
+    return zip_members(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option(
+        "recursiveFileLookup", "true").load(path))
+
+
+def zip_members(zips: DataFrame) -> DataFrame:
+    """Members of zips (path, content) as (export, name, member, size, content, unsafe).
 
     Unsafe entries stay as rows without content, so they can be counted.
     """
-    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option(
-        "recursiveFileLookup", "true").load(path)
     members = zips.select("path", "content").mapInPandas(
         _members, "export string, name string, size bigint, content binary")
     member = safe_member_path("name")

@@ -67,3 +67,41 @@ def read_messages(spark: SparkSession, path: str, schema) -> DataFrame:
 def replace_archive(df: DataFrame, path: str) -> None:
     """Overwrite only the archives present in ``df``; all others keep their files."""
     write_messages(df, path, mode="overwrite")
+
+
+def upsert_latest(existing: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Key/value tables: the row with the highest version per key survives."""
+    both = existing.unionByName(updates)
+    rest = [c for c in both.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
+
+
+def ingest_record(counts: DataFrame, media: DataFrame, file: str, mode: str) -> DataFrame:
+    """One log row per archive of a load; ``counts`` comes from ``merge_counts``."""
+    rows = media.groupBy("archive_id").agg(F.count(F.lit(1)).alias("media_added"))
+    return counts.join(rows, "archive_id", "left").fillna(0, ["media_added"]).select(
+        "archive_id", F.lit(file).alias("filename"), F.lit(mode).alias("mode"),
+        F.col("added").alias("messages_added"), F.col("skipped").alias("messages_skipped"), "media_added")
+
+
+def append_log(records: DataFrame, path: str) -> None:
+    records.write.mode("append").parquet(path)
+
+
+def list_archives(messages: DataFrame) -> DataFrame:
+    """Archives with size and last activity, newest first."""
+    per_person = messages.groupBy("archive_id", "participant_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    found = per_person.groupBy("archive_id").agg(
+        F.sum("n").alias("messages"), F.count("participant_id").alias("people"),
+        F.min("first").alias("first_message"), F.max("last").alias("last_message"))
+    return found.orderBy(F.desc("last_message"), "archive_id")
+
+
+def archive_counts(**tables: DataFrame) -> DataFrame:
+    """Rows of every given table per archive."""
+    out = None
+    for name, df in tables.items():
+        n = df.groupBy("archive_id").agg(F.count(F.lit(1)).alias(name))
+        out = n if out is None else out.join(n, "archive_id", "full")
+    return out.fillna(0, list(tables))
