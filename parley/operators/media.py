@@ -70,11 +70,8 @@ def classify_media(path) -> Column:
 
 
 def media_readable(kind, ext) -> Column:
-    k, e = F.col(kind), F.col(ext)
-    test = F.lit(False)
-    for label, extensions in READABLE.items():
-        test = test | ((k == label) & e.isin(extensions))
-    return test
+    # One reference to each column: the optimiser inlines the long kind expression per use.
+    return F.concat(kind, ext).isin([label + e for label, extensions in READABLE.items() for e in extensions])
 
 
 def catalog_columns(files: DataFrame) -> DataFrame:
