@@ -3,14 +3,14 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import WS, collapse_spaces, strip, text_fingerprint
+from parley.functions.text import SPACE_CLASS, WS, collapse_spaces, strip, text_fingerprint
+from parley.operators.ordered import block_of
 from parley.operators.skew import skew_join, spread_join
 
 # Shape of a phone number, prefix of an unsaved contact, merge gate.
-PHONE = r"(?U)^\+?[\d\s\x{1c}-\x{1f}\-()]{7,20}$"
-MIN_PHONE_DIGITS = 7
+# The look-ahead asks for the least number of digits.
+PHONE = rf"^(?=(?:\P{{Nd}}*\p{{Nd}}){{7}})(?:~{WS}*)?\+?[\p{{Nd}}{SPACE_CLASS}\-()]{{7,20}}$"
 PHONE_KEY_DIGITS = 10
-PUSH_PREFIX = f"(?U)^~{WS}*"
 MIN_OVERLAP = 0.2
 
 
@@ -19,22 +19,22 @@ def _col(c) -> Column:
 
 
 def without_push_prefix(name) -> Column:
-    return strip(F.regexp_replace(_col(name), PUSH_PREFIX, ""))
+    n = _col(name)
+    return strip(F.when(n.startswith("~"), F.substring(n, 2, 1 << 30)).otherwise(n))
 
 
 def digits_of(name) -> Column:
-    return F.regexp_replace(_col(name), r"(?U)\D", "")
+    return F.regexp_replace(_col(name), r"\P{Nd}", "")
 
 
 def is_phone_number(name) -> Column:
-    bare = without_push_prefix(name)
-    return bare.rlike(PHONE) & (F.length(digits_of(bare)) >= MIN_PHONE_DIGITS)
+    return without_push_prefix(name).rlike(PHONE)
 
 
 def canonical_key(name) -> Column:
     bare = without_push_prefix(name)
     return F.when(
-        is_phone_number(bare), F.concat(F.lit("phone:"), F.right(digits_of(bare), F.lit(PHONE_KEY_DIGITS)))
+        bare.rlike(PHONE), F.concat(F.lit("phone:"), F.right(digits_of(bare), F.lit(PHONE_KEY_DIGITS)))
     ).otherwise(F.concat(F.lit("name:"), F.lower(collapse_spaces(bare))))
 
 
@@ -135,13 +135,12 @@ def base_key() -> Column:
 def assign_keys(messages: DataFrame, export: list[str]) -> DataFrame:
     """Add ``base_key``, ``occurrence`` and ``dedup_key`` (the n-th equal message of an export).
 
-    A group is one minute of one sender with one text, so the window stays small except for
-    repeated attachments; those are spread by line through a count per block first.
+    A group is one minute of one sender with one text. In case it is huge, it is counted in
+    blocks of lines. ``export`` may name further columns that are functions of the minute:
+    rows already shuffled by them are not shuffled again.
     """
-    keyed = messages.withColumn("base_key", base_key())
-    block = F.floor(F.col("line_no") / (1 << 18))
     part = [*export, "base_key"]
-    keyed = keyed.withColumn("_block", block)
+    keyed = messages.withColumn("base_key", base_key()).withColumn("_block", block_of("line_no"))
     within = Window.partitionBy(*part, "_block").orderBy("line_no")
     local = keyed.withColumn("_rn", F.row_number().over(within) - 1)
     before = (Window.partitionBy(*part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
@@ -157,6 +156,14 @@ def assign_keys(messages: DataFrame, export: list[str]) -> DataFrame:
     )
 
 
+def assign_small_keys(messages: DataFrame, export: list[str]) -> DataFrame:
+    """``assign_keys`` where no group is known to be huge: one window, no join."""
+    keyed = messages.withColumn("base_key", base_key())
+    within = Window.partitionBy(*export, "base_key").orderBy("line_no")
+    return keyed.withColumn("occurrence", F.row_number().over(within) - 1).withColumn(
+        "dedup_key", F.concat_ws("#", "base_key", F.col("occurrence").cast("string")))
+
+
 def richness() -> Column:
     """Orderable: a named file beats a caption, a caption beats an empty placeholder."""
     attached = F.coalesce(F.col("attachment") != "", F.lit(False))

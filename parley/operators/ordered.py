@@ -24,19 +24,20 @@ def micros(col) -> Column:
     return F.unix_micros(F.col(col).cast("timestamp") if isinstance(col, str) else col.cast("timestamp"))
 
 
-def block_of(col, rows: int = BLOCK_ROWS) -> Column:
-    """Slice number of a dense id."""
-    return F.floor(F.col(col) / F.lit(rows)).cast("long")
+def block_of(col: str) -> Column:
+    """Slice number of a dense id or line number."""
+    return F.floor(F.col(col) / F.lit(BLOCK_ROWS)).cast("long")
 
 
 def with_time_slices(df: DataFrame, part: list[str], ts: str = "ts", line: str = "line_no",
-                     rows: int = SLICE_ROWS) -> tuple[DataFrame, list[str]]:
+                     rows: int = SLICE_ROWS) -> tuple[DataFrame, list[str], bool]:
     """Add slice columns that follow the (ts, line) order.
 
     A slice is one hour of one archive. Hours above ``rows`` messages are cut further at
     approximate quantiles of the position inside the hour; the cut points only steer the
     layout, the order itself stays exact. The hot hours are counted first: without any,
-    nothing is joined; a few are broadcast; many are joined by key.
+    nothing is joined; a few are broadcast; many are joined by key. Also returns the slice
+    keys and whether any hour was cut.
     """
     hour = F.floor(micros(ts) / F.lit(HOUR_MICROS)).cast("long")
     keyed = df.withColumn("_hour", hour)
@@ -48,7 +49,7 @@ def with_time_slices(df: DataFrame, part: list[str], ts: str = "ts", line: str =
     )
     n_hot = hot.count()
     if n_hot == 0:
-        return keyed.withColumn("_piece", F.lit(0)), [*part, "_hour", "_piece"]
+        return keyed.withColumn("_piece", F.lit(0)), [*part, "_hour", "_piece"], False
 
     ensure_checkpoint_dir(df.sparkSession)
     steps = 1000
@@ -72,6 +73,7 @@ def with_time_slices(df: DataFrame, part: list[str], ts: str = "ts", line: str =
     return (
         joined.withColumn("_piece", piece).drop("_cuts", "_lo", "_hi"),
         [*part, "_hour", "_piece"],
+        True,
     )
 
 

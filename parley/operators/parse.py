@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import clean_line, strip
+from parley.operators.ordered import block_of
 from parley.operators.skew import spread_join
 
 # The header of a message line in all export layouts. Groups: three date
@@ -70,7 +71,6 @@ _PLACEHOLDER_RE = "(?iU)" + "|".join(PLACEHOLDERS)
 # Line ends beyond \n and \r\n at which a transcript splits as well.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 ORDERS = ("DMY", "MDY", "YMD")
-BLOCK_LINES = 1 << 18
 
 # Digits of other scripts, each a run of ten code points.
 _DIGIT_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xFF10)
@@ -174,7 +174,7 @@ def stitch_messages(stamped: DataFrame, keys: list[str] = ("file",)) -> DataFram
     keys = list(keys)
     is_head = F.col("ts").isNotNull()
     lines = (
-        stamped.withColumn("_block", F.floor(F.col("line_no") / BLOCK_LINES))
+        stamped.withColumn("_block", block_of("line_no"))
         .withColumn("_head", F.when(is_head, F.col("line_no")))
         .withColumn("sender", sender_of("body"))
         .withColumn("_text", F.when(is_head, text_of("body", "sender"))

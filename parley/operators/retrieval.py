@@ -99,7 +99,7 @@ def index_stats(docs: DataFrame) -> DataFrame:
 def query_terms(query: str) -> list[str]:
     import regex
 
-    return sorted(set(regex.findall(r"[\p{L}\p{N}]+", query.lower())))
+    return sorted(set(regex.findall(r"[\p{L}\p{M}\p{N}]+", query.lower())))
 
 
 def bm25_scores(postings: DataFrame, stats: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -210,7 +210,7 @@ def hash_embedding(texts, dims: int = 64):
 
     out = np.zeros((len(texts), dims), dtype="float32")
     for row, text in enumerate(texts):
-        for word in regex.findall(r"[\p{L}\p{N}]+", text.lower()):
+        for word in regex.findall(r"[\p{L}\p{M}\p{N}]+", text.lower()):
             h = xxhash.xxh64_intdigest(word)
             out[row, h % dims] += 1.0 if (h >> 32) & 1 else -1.0
     norms = np.linalg.norm(out, axis=1, keepdims=True)

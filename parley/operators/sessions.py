@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators.linkage import tag_participants
+from parley.operators.linkage import assign_keys, assign_small_keys, tag_participants
 from parley.operators.ordered import (
     SLICE_ROWS, block_of, count_across, dense_ids, micros, with_time_slices,
 )
@@ -18,7 +18,7 @@ def drop_system(messages: DataFrame) -> DataFrame:
 
 def order_messages(messages: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Dense ``msg_id`` from 0 per archive by (ts, line_no)."""
-    sliced, keys = with_time_slices(messages, ["archive_id"], rows=slice_rows)
+    sliced, keys, _ = with_time_slices(messages, ["archive_id"], rows=slice_rows)
     return dense_ids(sliced, ["archive_id"], keys[1:], ["ts", "line_no"], "msg_id").drop(*keys[1:])
 
 
@@ -42,15 +42,18 @@ def temporal_parts() -> dict[str, Column]:
 
 
 def stream_features(messages: DataFrame, gap_hours: float = GAP_HOURS,
-                    slice_rows: int = SLICE_ROWS) -> DataFrame:
+                    slice_rows: int = SLICE_ROWS, dedup: bool = False) -> DataFrame:
     """Ids, gaps, sessions and reply gaps for messages that carry ``participant_id``.
 
     One shuffle of the rows by (archive, time slice); what crosses a slice border is one
     summary row per slice: how many messages, the last stamp and speaker, session starts.
+    With ``dedup`` the rows also get their ``dedup_key``: equal messages share a minute, so
+    the same shuffle serves.
     """
     part = ["archive_id"]
-    sliced, keys = with_time_slices(messages, part, rows=slice_rows)
+    sliced, keys, any_cut = with_time_slices(messages, part, rows=slice_rows)
     slices = keys[1:]
+    narrow = sliced
     limit = gap_hours * 3600.0
     within = Window.partitionBy(*keys).orderBy("ts", "line_no")
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -58,17 +61,19 @@ def stream_features(messages: DataFrame, gap_hours: float = GAP_HOURS,
     def gap(now, before):
         return (micros(now) - micros(before)).cast("double") / F.lit(1_000_000)
 
-    local = (
-        sliced.withColumn("_rn", F.row_number().over(within))
-        .withColumn("_pts", F.lag("ts").over(within))
-        .withColumn("_pid", F.lag("participant_id").over(within))
-        .withColumn("_cut", F.when(F.col("_rn") > 1, gap("ts", "_pts") > limit).otherwise(False).cast("long"))
-        .withColumn("_cuts", F.sum("_cut").over(running))
-    )
+    def steps(rows):
+        return (
+            rows.withColumn("_rn", F.row_number().over(within))
+            .withColumn("_pts", F.lag("ts").over(within))
+            .withColumn("_pid", F.lag("participant_id").over(within))
+            .withColumn("_cut", F.when(F.col("_rn") > 1, gap("ts", "_pts") > limit).otherwise(False).cast("long"))
+            .withColumn("_cuts", F.sum("_cut").over(running))
+        )
+
     between = Window.partitionBy(*part).orderBy(*slices)
     before = between.rowsBetween(Window.unboundedPreceding, -1)
     edges = (
-        local.groupBy(*keys).agg(
+        steps(narrow).groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"), F.max("ts").alias("_last"),
             F.max_by("participant_id", "_rn").alias("_speaker"), F.sum("_cut").alias("_inner"),
         )
@@ -79,6 +84,10 @@ def stream_features(messages: DataFrame, gap_hours: float = GAP_HOURS,
         .withColumn("_e_sessions", F.coalesce(F.sum(F.col("_inner") + F.col("_e_start")).over(before), F.lit(0)))
         .select(*keys, "_e_ts", "_e_pid", "_e_start", "_e_rows", "_e_sessions")
     )
+    if dedup:
+        name = assign_keys if any_cut else assign_small_keys
+        sliced = name(sliced, [*part, "_hour"]).drop("base_key", "occurrence")
+    local = steps(sliced)
     first = F.col("_rn") == 1
     out = (
         local.join(edges, keys)
@@ -98,9 +107,15 @@ def stream_features(messages: DataFrame, gap_hours: float = GAP_HOURS,
 
 def enrich(messages: DataFrame, gap_hours: float = GAP_HOURS, manual: DataFrame | None = None,
            slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Raw messages to the stored ``messages`` table (system notices are never stored)."""
-    tagged = tag_participants(drop_system(messages), manual)
-    streamed = stream_features(tagged, gap_hours, slice_rows)
+    """Raw messages to the stored ``messages`` table (system notices are never stored).
+
+    What the messages bring already is kept: the ``participant_id`` of tagged messages, the
+    ``dedup_key`` of merged ones.
+    """
+    tagged = drop_system(messages)
+    if "participant_id" not in messages.columns:
+        tagged = tag_participants(tagged, manual)
+    streamed = stream_features(tagged, gap_hours, slice_rows, dedup="dedup_key" not in messages.columns)
     return streamed.withColumns({**text_features(), **temporal_parts()})
 
 

@@ -3,9 +3,7 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from parley.operators.linkage import assign_keys, resolve_participants, sender_counts
+from parley.operators.linkage import resolve_participants, sender_counts, tag_participants
 from parley.operators.sessions import GAP_HOURS, drop_system, enrich
 from parley.sources.store import materialise
 
@@ -23,13 +21,17 @@ def prepare(raw: DataFrame, gap_hours: float = GAP_HOURS, manual: DataFrame | No
     """Lazy tables: key, enrich and resolve, nothing written."""
     kept = drop_system(raw)
     people = resolve_participants(sender_counts(kept), manual)
-    messages = enrich(assign_keys(kept, ["archive_id"]), gap_hours, manual)
-    return Tables(raw, messages.drop("base_key", "occurrence"), people)
+    return Tables(raw, enrich(kept, gap_hours, manual), people)
 
 
 def load(raw: DataFrame, name: str, gap_hours: float = GAP_HOURS, manual: DataFrame | None = None) -> Tables:
-    """Write the derived tables once; every report then reads columns from Parquet."""
-    lazy = prepare(raw, gap_hours, manual)
+    """Write the derived tables once; every report then reads columns from Parquet.
+
+    The parsed messages are written first: enriching scans them a few times, with fewer
+    columns each, and parsing is the dearest step.
+    """
+    parsed = materialise(tag_participants(drop_system(raw), manual), f"{name}-parsed")
+    lazy = prepare(parsed, gap_hours, manual)
     messages = materialise(lazy.messages, f"{name}-messages", ["archive_id", "msg_id"])
     people = materialise(lazy.participants, f"{name}-participants", ["archive_id", "participant_id"])
     return Tables(raw, messages, people)

@@ -83,7 +83,8 @@ class World:
 
     @cached_property
     def files(self) -> DataFrame:
-        return M.catalog_columns(adapters.media_files(self.spark, self.dir))
+        """The catalogue is written down: scanning real files reads their bytes."""
+        return materialise(M.catalog_columns(adapters.media_files(self.spark, self.dir)), "files")
 
     @cached_property
     def bare_media(self) -> DataFrame:

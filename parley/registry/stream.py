@@ -62,7 +62,7 @@ def _(w):
     FROM raw GROUP BY ALL""")
 def _(w):
     raw = adapters.events_as_messages(w.spark, w.dir)
-    sliced, keys = with_time_slices(raw, [A])
+    sliced, keys, _ = with_time_slices(raw, [A])
     return sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("messages")).groupBy(
         A, F.col("_hour").alias("slice_hour")).agg(F.sum("messages").alias("messages"))
 
