@@ -187,9 +187,12 @@ def _(w):
     return T.detect_date_order(T.parse_headers(_lines(w))).select("file", "headers", "detected_order", "detected_confidence", "first_gt12")
 
 
-@query("resolve_date_order", _X + """, mixed AS (SELECT file, ts, event_type = 'error' AND k < 10 AS dmy FROM parsed)
-    SELECT file, 'MDY' AS date_order, 'corrected' AS confidence, count(*) AS headers, count(*) FILTER (dmy OR day(ts) <= 12) AS fits_dmy,
-        count(*) FILTER (NOT dmy OR day(ts) <= 12) AS fits_mdy FROM mixed GROUP BY file""")
+@query("resolve_date_order", _X + """, mixed AS (SELECT file, ts, event_type = 'error' AND k < 10 AS dmy FROM parsed),
+    counted AS (SELECT file, count(*) AS headers, count(*) FILTER (dmy OR day(ts) <= 12) AS fits_dmy, count(*) FILTER (NOT dmy OR day(ts) <= 12) AS fits_mdy,
+        count(*) FILTER (dmy AND day(ts) > 12) AS f, count(*) FILTER (NOT dmy AND day(ts) > 12) AS s FROM mixed GROUP BY file)
+    SELECT file, CASE WHEN f = 0 AND s > 0 OR fits_mdy > fits_dmy THEN 'MDY' ELSE 'DMY' END AS date_order,
+        CASE WHEN f > 0 AND s > 0 THEN CASE WHEN fits_mdy > fits_dmy THEN 'corrected' ELSE 'conflicting' END WHEN f + s > 0 THEN 'certain' ELSE 'assumed' END AS confidence,
+        headers, fits_dmy, fits_mdy FROM counted""")
 def _(w):
     found = T.resolve_date_order(T.detect_date_order(T.parse_headers(_lines(w, mixed=True))))
     return found.select("file", "date_order", "confidence", "headers", "fits_dmy", "fits_mdy")

@@ -150,8 +150,7 @@ def _(w):
 
 # About half of the chunks have a vector and half of the bodies are cached, by their hash.
 @query("embed_missing", CH_D + """, k AS (SELECT DISTINCT body FROM ch WHERE substr(sha256(body), 2, 1) < '8'), todo AS (SELECT * FROM ch WHERE substr(sha256(body), 1, 1) >= '8')
-    SELECT 'cached' AS outcome, count(*) AS chunks, count(DISTINCT body) AS bodies FROM todo WHERE body IN (SELECT body FROM k)
-    UNION ALL SELECT 'embedded', count(*), count(DISTINCT body) FROM todo WHERE body NOT IN (SELECT body FROM k)""")
+    SELECT CASE WHEN body IN (SELECT body FROM k) THEN 'cached' ELSE 'embedded' END AS outcome, count(*) AS chunks, count(DISTINCT body) AS bodies FROM todo GROUP BY 1""")
 def _(w):
     chunks = w.doc_chunks
     vector = F.array(F.lit(1.0).cast("float")).alias("embedding")
@@ -188,7 +187,8 @@ _IN_RANGE = ", win AS (SELECT * FROM content WHERE ts >= TIMESTAMP '2024-01-09 0
 
 @query("read_window", Q.CONTENT + _IN_RANGE + _LINES.format(scope="0", src="win") + """,
 full_text AS (SELECT archive_id, string_agg(txt, chr(10) ORDER BY line) AS body, CAST(sum(said) AS BIGINT) AS messages_with_text, CAST(sum(held) AS BIGINT) AS attachments FROM lt GROUP BY archive_id),
-head AS (SELECT archive_id, count(*) AS message_count, '[' || strftime(min(ts), '%d %b %Y') || ' to ' || strftime(max(ts), '%d %b %Y') || ']' AS h FROM win GROUP BY archive_id)
+head AS (SELECT archive_id, count(*) AS message_count, CASE WHEN CAST(min(ts) AS DATE) = CAST(max(ts) AS DATE) THEN '[' || strftime(min(ts), '%A, %d %B %Y') || ']'
+    ELSE '[' || strftime(min(ts), '%d %b %Y') || ' to ' || strftime(max(ts), '%d %b %Y') || ']' END AS h FROM win GROUP BY archive_id)
 SELECT archive_id, CASE WHEN length(h || chr(10) || body) > 2000 THEN '[earlier messages omitted]' || chr(10) || right(h || chr(10) || body, 2000) ELSE h || chr(10) || body END AS transcript,
     message_count, messages_with_text, attachments, message_count - messages_with_text - attachments AS empty_messages, length(h || chr(10) || body) > 2000 AS truncated
 FROM head JOIN full_text USING (archive_id)""")
