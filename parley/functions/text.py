@@ -1,7 +1,5 @@
 """Text features as Column expressions (JVM side, no Python rows)."""
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ WIDE_SPACES = "\u202f\u00a0"
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE_CLASS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{SPACE_CLASS}]"
+ASCII_WS = r"[\x09-\x0d\x1c-\x20]"
 UNTIDY = f"{WS}{{2}}|[{SPACE_CLASS}&&[^ ]]"
 
 # Openers that make a text a question.
@@ -61,20 +60,30 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def is_ascii(c) -> Column:
+    """As many bytes as characters: a native test that spares most texts the Unicode classes."""
+    return F.octet_length(_col(c)) == F.length(_col(c))
+
+
 def strip(c) -> Column:
     return F.btrim(_col(c), F.lit(SPACES))
 
 
 def collapse_spaces(c) -> Column:
     # Most chat texts are tidy already; a test is cheaper than a replacement.
-    tidy = F.when(_col(c).rlike(UNTIDY), F.regexp_replace(_col(c), f"{WS}+", " ")).otherwise(_col(c))
+    t = _col(c)
+    tidy = (
+        F.when(~t.rlike(UNTIDY), t).when(is_ascii(t), F.regexp_replace(t, f"{ASCII_WS}+", " "))
+        .otherwise(F.regexp_replace(t, f"{WS}+", " "))
+    )
     return F.btrim(tidy)
 
 
 def clean_line(c) -> Column:
     """Drop invisible marks, make odd spaces plain, cut trailing line ends."""
-    plain = F.translate(_col(c), WIDE_SPACES + INVISIBLE, "  ")
-    return F.regexp_replace(plain, r"[\r\n]+\z", "")
+    t = _col(c)
+    plain = F.when(is_ascii(t), t).otherwise(F.translate(t, WIDE_SPACES + INVISIBLE, "  "))
+    return F.when(t.endswith("\n") | t.endswith("\r"), F.rtrim(plain, F.lit("\r\n"))).otherwise(plain)
 
 
 def char_count(c) -> Column:
@@ -82,15 +91,18 @@ def char_count(c) -> Column:
 
 
 def word_count(c) -> Column:
-    return F.regexp_count(_col(c), F.lit(f"[^{SPACE_CLASS}]+"))
+    t = strip(c)
+    words = F.when(is_ascii(t), F.size(F.split(t, f"{ASCII_WS}+"))).otherwise(F.size(F.split(t, f"{WS}+")))
+    return F.when(t == "", 0).otherwise(words)
 
 
 def emoji_count(c) -> Column:
-    return F.regexp_count(_col(c), F.lit(EMOJI))
+    return F.when(is_ascii(c), 0).otherwise(F.regexp_count(_col(c), F.lit(EMOJI)))
 
 
 def has_url(c) -> Column:
-    return _col(c).rlike(URL)
+    t = _col(c)
+    return (t.contains("http") | t.contains("www.")) & t.rlike(URL)
 
 
 def is_question(c) -> Column:
@@ -100,8 +112,17 @@ def is_question(c) -> Column:
 
 
 def contains_any(c, words: list[str]) -> Column:
-    """True when the lower-cased text holds any of the words, anywhere."""
-    return F.lower(_col(c)).rlike("|".join(re.escape(w.lower()) for w in words))
+    """True when the lower-cased text holds any of the words, anywhere.
+
+    Plain searches beat one long alternation by far. The one-element array lowers the text once.
+    """
+    def any_of(text):
+        test = F.lit(False)
+        for w in words:
+            test = test | text.contains(w.lower())
+        return test
+
+    return F.exists(F.array(F.lower(_col(c))), any_of)
 
 
 def text_fingerprint(c) -> Column:

@@ -7,18 +7,19 @@ per-file aggregate, and a line finds its message through blocks of line numbers.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import clean_line, strip
+from parley.functions.text import WS, clean_line, contains_any, is_ascii, strip
 from parley.operators.ordered import block_of
-from parley.operators.skew import spread_join
 
 # The header of a message line in all export layouts. Groups: three date
 # parts, hour, minute, second, am/pm, body.
 HEADER = (
-    r"(?Ud)^\[?(\d{1,4})[/.\-](\d{1,2})[/.\-](\d{2,4}),?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
-    r"(?:\s*([APap]\.?[Mm]\.?))?\s*(?:\]\s*|\s-\s)(.*)$"
+    r"(?d)^\[?(\p{Nd}{1,4})[/.\-](\p{Nd}{1,2})[/.\-](\p{Nd}{2,4}),?"
+    rf"{WS}+(\p{{Nd}}{{1,2}}):(\p{{Nd}}{{2}})(?::(\p{{Nd}}{{2}}))?"
+    rf"(?:{WS}*([APap]\.?[Mm]\.?))?{WS}*(?:\]{WS}*|{WS}-{WS})(.*)$"
 )
+MAY_BE_HEADER = r"^\[?\p{Nd}"
 # Fixed values: "Name: text".
-SENDER = r"(?Us)^([^:\n]{1,60}?):\s(.*)$"
+SENDER = rf"(?s)^([^:\n]{{1,60}}?):{WS}(.*)$"
 # Phrases that mark a prefix as a system notice, not a name.
 NOTICES = [
     r"messages and calls are end-to-end encrypted",
@@ -52,6 +53,9 @@ NOTICES = [
     r"waiting for this message",
     r"tap to learn more",
 ]
+# A notice holds one of these words, which are cheap to look for.
+NOTICE_WORDS = ["messages", "created", "added", "left", "removed", "joined", "changed", "admin", "turned", "pinned",
+                "deleted", "missed", "blocked", "upgraded", "waiting", "tap to"]
 # Bodies that stand for a file that was not exported.
 PLACEHOLDERS = [
     r"^<media omitted>$",
@@ -88,22 +92,29 @@ def split_lines(texts: DataFrame, keys: list[str], text: str = "text") -> DataFr
 def parse_headers(lines: DataFrame) -> DataFrame:
     """Add ``h``: the header parts of a line, null where the line is no header."""
     clean = clean_line("line")
-    parts = F.split(F.regexp_replace("line", HEADER, "$1\x01$2\x01$3\x01$4\x01$5\x01$6\x01$7\x01$8"), "\x01", 8)
+    # One match per line: a header comes back as its parts behind a mark no header starts with.
+    mark = "\x02"
+    marked = F.when(F.col("line").rlike(MAY_BE_HEADER),
+                    F.regexp_replace("line", HEADER, mark + "$1\x01$2\x01$3\x01$4\x01$5\x01$6\x01$7\x01$8"))
 
     def num(i):
-        return F.translate(F.col("_p")[i], _OTHER_DIGITS, "0123456789" * len(_DIGIT_ZEROS)).try_cast("int")
+        part = F.col("_p")[i]
+        plain = F.translate(part, _OTHER_DIGITS, "0123456789" * len(_DIGIT_ZEROS))
+        return F.when(part == "", None).when(is_ascii(part), part.try_cast("int")).otherwise(plain.try_cast("int"))
 
-    half = F.lower(F.replace(F.col("_p")[6], F.lit("."), F.lit("")))
-    hour = num(3)
+    half, hour = F.col("_q.half"), F.col("_q.hour")
     h24 = F.when((half == "pm") & (hour != 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
     return (
         lines.withColumn("line", clean)
-        .withColumn("_p", F.when(F.col("line").rlike(HEADER), parts))
-        .withColumn("h", F.when(F.col("_p").isNotNull(), F.struct(
-            num(0).alias("d1"), num(1).alias("d2"), num(2).alias("d3"), h24.alias("hour"),
+        .withColumn("_m", marked)
+        .withColumn("_p", F.when(F.col("_m").startswith(mark), F.split(F.substring("_m", 2, 1 << 30), "\x01", 8)))
+        .withColumn("_q", F.when(F.col("_p").isNotNull(), F.struct(
+            num(0).alias("d1"), num(1).alias("d2"), num(2).alias("d3"), num(3).alias("hour"),
             num(4).alias("minute"), F.coalesce(num(5), F.lit(0)).alias("second"),
+            F.lower(F.replace(F.col("_p")[6], F.lit("."), F.lit(""))).alias("half"),
             F.length(F.col("_p")[0]).alias("d1_len"), F.col("_p")[7].alias("body"))))
-        .drop("_p")
+        .withColumn("h", F.col("_q").withField("hour", h24))
+        .drop("_p", "_m", "_q")
     )
 
 
@@ -154,15 +165,17 @@ def with_stamps(headed: DataFrame, orders: DataFrame, keys: list[str] = ("file",
     order = F.col("date_order")
     ts = (F.when(order == "YMD", build_timestamp("YMD")).when(order == "MDY", build_timestamp("MDY"))
           .otherwise(build_timestamp("DMY")))
-    joined = spread_join(headed.withColumn("_block", F.floor(F.col("line_no") / 4096)), chosen, list(keys), ["_block"])
-    return joined.drop("_block").withColumn("ts", ts).withColumn(
-        "body", F.when(F.col("ts").isNotNull(), F.col("h.body"))).drop("h", "date_order")
+    # By block of lines: the shuffle also serves the stitching, and a big file stays spread out.
+    blocked = headed.withColumn("_block", block_of("line_no"))
+    blocks = blocked.select(*keys, "_block").distinct().join(chosen, list(keys))
+    return blocked.join(blocks, [*keys, "_block"]).withColumn("ts", ts).withColumn(
+        "body", F.when(F.col("ts").isNotNull(), F.col("h.body"))).drop("h", "date_order", "_block")
 
 
 def sender_of(body) -> Column:
     """The name before the first colon, unless it reads as a system notice."""
     name = strip(F.regexp_extract(body, SENDER, 1))
-    return F.when((name != "") & ~name.rlike(_NOTICE_RE), name)
+    return F.when((name != "") & ~(contains_any(name, NOTICE_WORDS) & name.rlike(_NOTICE_RE)), name)
 
 
 def text_of(body, sender) -> Column:
@@ -237,11 +250,14 @@ def parse_lines(lines: DataFrame, keys: list[str] = ("file",)) -> DataFrame:
     return classify_messages(stitch_messages(with_stamps(headed, orders, keys), keys))
 
 
-def parse_report(lines: DataFrame, keys: list[str] = ("file",)) -> DataFrame:
-    """What the parser saw, per file. The senders come as a map."""
+def parse_report(lines: DataFrame, keys: list[str] = ("file",), messages: DataFrame | None = None) -> DataFrame:
+    """What the parser saw, per file. The senders come as a map.
+
+    Pass the stored ``messages`` of ``parse_lines`` to spare a second parse.
+    """
     keys = list(keys)
     orders = resolve_date_order(detect_date_order(parse_headers(lines), keys))
-    messages = parse_lines(lines, keys)
+    messages = parse_lines(lines, keys) if messages is None else messages
     kind = F.col("msg_type")
     by_sender = messages.groupBy(*keys, "sender").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(kind == "system").alias("system_messages"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import media as M
 from parley.operators import retrieval as R
+from parley.operators.ordered import block_of
 from parley.operators.views import v_media, v_messages, v_searchable
 from parley.plans import ingest
 from parley.sources import adapters
@@ -81,6 +82,12 @@ class World:
     def pages(self) -> ingest.Tables:
         return ingest.load(adapters.pages_as_messages(self.spark, self.dir), "pages")
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Transcript lines as they would lie in text files."""
+        lines = adapters.export_lines(self.spark, self.dir)
+        return materialise(lines.repartition("file", block_of("line_no")), "lines")
+
     @cached_property
     def files(self) -> DataFrame:
         """The catalogue is written down: scanning real files reads their bytes."""

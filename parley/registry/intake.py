@@ -32,7 +32,7 @@ def _zip_exports(batches):
                 z.writestr(f"export\\{names[turn % 3]}", body.encode(encoding))
                 z.writestr("a.txt", "x")
                 z.writestr("media/IMG-1.jpg", b"x" * (turn + 1))
-                z.writestr("../evil.txt", "x" * 100000)
+                z.writestr("../evil.txt", "x" * 5000)
                 z.writestr("/abs.txt", "x")
             out.append((f"{conv}-{turn}", buffer.getvalue()))
         yield pd.DataFrame(out, columns=["path", "content"])
@@ -50,7 +50,7 @@ _SIZE = f"CASE turn % 3 WHEN 0 THEN strlen({_CHAT}) WHEN 1 THEN strlen({_CHAT})
 
 @query("read_exports", f"""SELECT conv_id || '-' || turn AS export, unnest([{{'name': 'export\\' || {_TRANSCRIPT}, 'member': 'export/' || {_TRANSCRIPT}, 'size': CAST({_SIZE} AS BIGINT)}},
     {{'name': 'a.txt', 'member': 'a.txt', 'size': 1}}, {{'name': 'media/IMG-1.jpg', 'member': 'media/IMG-1.jpg', 'size': turn + 1}},
-    {{'name': '../evil.txt', 'member': NULL, 'size': 100000}}, {{'name': '/abs.txt', 'member': NULL, 'size': 1}}], recursive := true) FROM conversations""")
+    {{'name': '../evil.txt', 'member': NULL, 'size': 5000}}, {{'name': '/abs.txt', 'member': NULL, 'size': 1}}], recursive := true) FROM conversations""")
 def _(w):
     # Zip writers turn backslashes into slashes on some systems; compare the given name loosely.
     return _exports(w).select("export", "name", "member", "size")
@@ -139,7 +139,7 @@ def _(w):
 
 
 def _lines(w, mixed=False):
-    return adapters.export_lines(w.spark, w.dir, mixed)
+    return adapters.export_lines(w.spark, w.dir, mixed=True) if mixed else w.lines
 
 
 _X = f"""WITH x AS (SELECT *, {Q.K} AS k, user_id % 10 % 4 AS layout, 'user ' || user_id AS who, 'chat-' || (user_id % 10) AS file FROM events),

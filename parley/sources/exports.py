@@ -23,17 +23,28 @@ def safe_member_path(name) -> Column:
     return F.when(~bad, F.array_join(parts, "/"))
 
 
+# Members are handed on in batches of about this many bytes, which bounds the memory of a task.
+BATCH_BYTES = 16 * 1024 * 1024
+
+
 def _members(batches):
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["export", "name", "size", "content"])
+
+    rows, held = [], 0
     for files in batches:
         for path, content in zip(files["path"], files["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 for info in archive.infolist():
-                    if not info.is_dir():
-                        # One member per batch bounds the memory to the largest member.
-                        yield pd.DataFrame({
-                            "export": [path], "name": [info.filename], "size": [info.file_size],
-                            "content": [archive.read(info)],
-                        })
+                    if info.is_dir():
+                        continue
+                    rows.append((path, info.filename, info.file_size, archive.read(info)))
+                    held += info.file_size
+                    if held >= BATCH_BYTES or len(rows) >= 10_000:
+                        yield frame(rows)
+                        rows, held = [], 0
+    if rows:
+        yield frame(rows)
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
@@ -70,8 +81,8 @@ def pick_transcript(members: DataFrame, keys: list[str] = ("export",)) -> DataFr
 def _decode(batches):
     import regex
 
-    # The header pattern is written for Java; named flags differ, the body does not.
-    header = regex.compile(HEADER.replace("(?Ud)", ""), regex.MULTILINE)
+    # The flag is for Java only; its pattern is otherwise common ground.
+    header = regex.compile(HEADER.replace("(?d)", ""), regex.MULTILINE)
     for files in batches:
         out = []
         for content in files["content"]:
