@@ -102,19 +102,23 @@ def parse_headers(lines: DataFrame) -> DataFrame:
         plain = F.translate(part, _OTHER_DIGITS, "0123456789" * len(_DIGIT_ZEROS))
         return F.when(part == "", None).when(is_ascii(part), part.try_cast("int")).otherwise(plain.try_cast("int"))
 
-    half, hour = F.col("_q.half"), F.col("_q.hour")
+    half, hour = F.col("_half"), F.col("_hour")
     h24 = F.when((half == "pm") & (hour != 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+    flat = {
+        "_d1": num(0), "_d2": num(1), "_d3": num(2), "_hour": num(3), "_minute": num(4), "_second": num(5),
+        "_half": F.lower(F.replace(F.col("_p")[6], F.lit("."), F.lit(""))),
+        "_len": F.length(F.col("_p")[0]), "_body": F.col("_p")[7],
+    }
     return (
         lines.withColumn("line", clean)
         .withColumn("_m", marked)
         .withColumn("_p", F.when(F.col("_m").startswith(mark), F.split(F.substring("_m", 2, 1 << 30), "\x01", 8)))
-        .withColumn("_q", F.when(F.col("_p").isNotNull(), F.struct(
-            num(0).alias("d1"), num(1).alias("d2"), num(2).alias("d3"), num(3).alias("hour"),
-            num(4).alias("minute"), F.coalesce(num(5), F.lit(0)).alias("second"),
-            F.lower(F.replace(F.col("_p")[6], F.lit("."), F.lit(""))).alias("half"),
-            F.length(F.col("_p")[0]).alias("d1_len"), F.col("_p")[7].alias("body"))))
-        .withColumn("h", F.col("_q").withField("hour", h24))
-        .drop("_p", "_m", "_q")
+        .withColumns(flat)
+        .withColumn("h", F.when(F.col("_p").isNotNull(), F.struct(
+            F.col("_d1").alias("d1"), F.col("_d2").alias("d2"), F.col("_d3").alias("d3"), h24.alias("hour"),
+            F.col("_minute").alias("minute"), F.coalesce("_second", F.lit(0)).alias("second"),
+            F.col("_len").alias("d1_len"), F.col("_body").alias("body"))))
+        .drop("_p", "_m", *flat)
     )
 
 
