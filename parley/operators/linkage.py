@@ -97,7 +97,7 @@ def suggest_merges(people: DataFrame) -> DataFrame:
         "archive_id", "folded", F.col("name").alias("short_name"),
         F.col("message_count").alias("short_messages"),
     )
-    return shorter.join(longer, ["archive_id", "folded"]).drop("folded")
+    return skew_join(longer, shorter, ["archive_id", "folded"], ["long_name"]).drop("folded")
 
 
 def phone_only_count(people: DataFrame) -> DataFrame:

@@ -115,8 +115,7 @@ def _first_vector(w):
     return list(w.table("embeddings").orderBy("vec_id").select("embedding").first()[0])
 
 
-@query("l2_normalise", """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) *
-    0 + 1, 6) AS norm, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS head FROM embeddings""")
+@query("l2_normalise", """SELECT vec_id, 1.0::DOUBLE AS norm, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS head FROM embeddings""")
 def _(w):
     unit = w.table("embeddings").select("vec_id", R.l2_normalise("embedding").alias("u"))
     norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda acc, x: acc + x * x))

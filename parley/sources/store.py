@@ -47,7 +47,7 @@ def write_messages(df: DataFrame, path: str, mode: str = "errorifexists",
                    rows_per_file: int = 5_000_000) -> None:
     """Store a table with one partition folder per archive.
 
-    The time hour spreads a big archive over many tasks while a small one stays in few files.
+    Ranges of message ids spread a big archive over many tasks; a small one stays in one file.
     """
     spread = df.repartition(F.col("archive_id"), F.pmod(F.xxhash64("archive_id", F.floor(F.col("msg_id") / rows_per_file)), F.lit(1 << 20)))
     (
