@@ -133,16 +133,18 @@ def build_timestamp(order: str) -> Column:
     return F.when((F.col("h.second") < 60) & (F.col("h.minute") < 60) & (F.col("h.hour") < 24), stamp)
 
 
-def detect_date_order(headed: DataFrame, keys: list[str] = ("file",)) -> DataFrame:
-    """Per file: counts, inferred order and how sure it is."""
+def _evidence() -> dict[str, Column]:
+    """What the headers of some lines say about their date order."""
     h = F.col("h")
-    iso = h.isNotNull() & (F.col("h.d1_len") == 4)
-    counted = headed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_lines"), F.count("h").alias("headers"),
-        F.count_if(iso).alias("iso"), F.count_if(F.col("h.d1") > 12).alias("first_gt12"),
-        F.count_if(F.col("h.d2") > 12).alias("second_gt12"),
-        *[F.count(build_timestamp(o)).alias(f"fits_{o.lower()}") for o in ORDERS],
-    )
+    return {
+        "total_lines": F.count(F.lit(1)), "headers": F.count("h"),
+        "iso": F.count_if(h.isNotNull() & (F.col("h.d1_len") == 4)),
+        "first_gt12": F.count_if(F.col("h.d1") > 12), "second_gt12": F.count_if(F.col("h.d2") > 12),
+        **{f"fits_{o.lower()}": F.count(build_timestamp(o)) for o in ORDERS},
+    }
+
+
+def _infer(counted: DataFrame) -> DataFrame:
     first, second = F.col("first_gt12") > 0, F.col("second_gt12") > 0
     return (
         counted.withColumn("detected_order", F.when(F.col("iso") > 0, "YMD").when(second & ~first, "MDY").otherwise("DMY"))
@@ -151,6 +153,11 @@ def detect_date_order(headed: DataFrame, keys: list[str] = ("file",)) -> DataFra
     )
 
 
+def detect_date_order(headed: DataFrame, keys: list[str] = ("file",)) -> DataFrame:
+    """Per file: counts, inferred order and how sure it is."""
+    return _infer(headed.groupBy(*keys).agg(*[c.alias(n) for n, c in _evidence().items()]))
+
+
 def resolve_date_order(detected: DataFrame) -> DataFrame:
     """Flip to the other order where strictly more stamps are valid under it."""
     order = F.col("detected_order")
@@ -163,17 +170,37 @@ def resolve_date_order(detected: DataFrame) -> DataFrame:
     )
 
 
-def with_stamps(headed: DataFrame, orders: DataFrame, keys: list[str] = ("file",)) -> DataFrame:
-    """Add ``ts`` and ``body``; a header without a valid stamp is an ordinary line."""
-    chosen = orders.select(*keys, "date_order")
+def block_guide(headed: DataFrame, keys: list[str] = ("file",)) -> DataFrame:
+    """Per (file, block of lines): the file's date order and the last header before the block.
+
+    One small row per block answers both, so the lines themselves are parsed for it only once
+    more, with nothing but counts and line numbers leaving the tasks.
+    """
+    keys = list(keys)
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    last = {o: F.max(F.when(build_timestamp(o).isNotNull(), F.col("line_no"))).alias(f"_last_{o}") for o in ORDERS}
+    evidence = _evidence()
+    blocks = headed.withColumn("_block", block_of("line_no")).groupBy(*keys, "_block").agg(
+        *[c.alias(n) for n, c in evidence.items()], *last.values())
+    files = blocks.select(*keys, "_block", *[f"_last_{o}" for o in ORDERS], *[F.sum(n).over(whole).alias(n) for n in evidence])
+    guide = resolve_date_order(_infer(files))
+    order = F.col("date_order")
+    chosen = F.when(order == "YMD", F.col("_last_YMD")).when(order == "MDY", F.col("_last_MDY")).otherwise(F.col("_last_DMY"))
+    return guide.select(*keys, "_block", "date_order", F.max(chosen).over(before).alias("_carried"))
+
+
+def with_stamps(headed: DataFrame, keys: list[str] = ("file",)) -> DataFrame:
+    """Add ``ts`` and ``body``; a header without a valid stamp is an ordinary line.
+
+    Rows keep their block and what its guide says, so that the shuffle also serves the stitching.
+    """
     order = F.col("date_order")
     ts = (F.when(order == "YMD", build_timestamp("YMD")).when(order == "MDY", build_timestamp("MDY"))
           .otherwise(build_timestamp("DMY")))
-    # By block of lines: the shuffle also serves the stitching, and a big file stays spread out.
-    blocked = headed.withColumn("_block", block_of("line_no"))
-    blocks = blocked.select(*keys, "_block").distinct().join(chosen, list(keys))
-    return blocked.join(blocks, [*keys, "_block"]).withColumn("ts", ts).withColumn(
-        "body", F.when(F.col("ts").isNotNull(), F.col("h.body"))).drop("h", "date_order", "_block")
+    guided = headed.withColumn("_block", block_of("line_no")).join(block_guide(headed, keys), [*keys, "_block"])
+    return guided.withColumn("ts", ts).withColumn(
+        "body", F.when(F.col("ts").isNotNull(), F.col("h.body"))).drop("h", "date_order")
 
 
 def sender_of(body) -> Column:
@@ -187,26 +214,20 @@ def text_of(body, sender) -> Column:
 
 
 def stitch_messages(stamped: DataFrame, keys: list[str] = ("file",)) -> DataFrame:
-    """Attach continuation lines to the message above; lines before any header drop out."""
+    """Attach continuation lines to the message above; lines before any header drop out.
+
+    ``stamped`` comes from ``with_stamps``.
+    """
     keys = list(keys)
     is_head = F.col("ts").isNotNull()
     lines = (
-        stamped.withColumn("_block", block_of("line_no"))
-        .withColumn("_head", F.when(is_head, F.col("line_no")))
+        stamped.withColumn("_head", F.when(is_head, F.col("line_no")))
         .withColumn("sender", sender_of("body"))
         .withColumn("_text", F.when(is_head, text_of("body", "sender"))
                     .when(strip("line") == "", F.lit("")).otherwise(F.col("line")))
     )
     upto = Window.partitionBy(*keys, "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    edges = (
-        lines.groupBy(*keys, "_block").agg(F.max("_head").alias("_m"))
-        .select(*keys, "_block", F.max("_m").over(before).alias("_carried"))
-    )
-    owned = (
-        lines.withColumn("_own", F.max("_head").over(upto)).join(edges, [*keys, "_block"])
-        .withColumn("_own", F.coalesce("_own", "_carried")).where(F.col("_own").isNotNull())
-    )
+    owned = lines.withColumn("_own", F.coalesce(F.max("_head").over(upto), "_carried")).where(F.col("_own").isNotNull())
     parts = F.sort_array(F.collect_list(F.struct("line_no", "_text")))
     return owned.groupBy(*keys, F.col("_own").alias("line_no")).agg(
         F.max("ts").alias("ts"), F.max("sender").alias("sender"),
@@ -249,9 +270,7 @@ def classify_messages(stitched: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame, keys: list[str] = ("file",)) -> DataFrame:
     """(file, line_no, line) to (file, line_no, ts, sender, text, msg_type, attachment, ...)."""
-    headed = parse_headers(lines)
-    orders = resolve_date_order(detect_date_order(headed, keys))
-    return classify_messages(stitch_messages(with_stamps(headed, orders, keys), keys))
+    return classify_messages(stitch_messages(with_stamps(parse_headers(lines), keys), keys))
 
 
 def parse_report(lines: DataFrame, keys: list[str] = ("file",), messages: DataFrame | None = None) -> DataFrame:

@@ -200,9 +200,7 @@ def _(w):
 
 @query("build_timestamp", _X + "SELECT file, line_no, ts FROM parsed")
 def _(w):
-    headed = T.parse_headers(_lines(w))
-    orders = T.resolve_date_order(T.detect_date_order(headed))
-    return T.with_stamps(headed, orders).where("ts IS NOT NULL").select("file", "line_no", "ts")
+    return T.with_stamps(T.parse_headers(_lines(w))).where("ts IS NOT NULL").select("file", "line_no", "ts")
 
 
 @query("split_sender", _X + "SELECT file, line_no, sender FROM parsed")
@@ -212,8 +210,7 @@ def _(w):
 
 
 def _stamped(w):
-    headed = T.parse_headers(_lines(w))
-    return T.with_stamps(headed, T.resolve_date_order(T.detect_date_order(headed)))
+    return T.with_stamps(T.parse_headers(_lines(w)))
 
 
 @query("stitch_messages", _X + "SELECT file, line_no, continuation_lines FROM parsed")
