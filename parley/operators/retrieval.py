@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from parley.functions.text import body_hash, display_date, strip, tokens
 from parley.operators.media import EMBED_BATCH
 from parley.operators.ordered import block_of, dense_ids, totals_across
-from parley.operators.skew import skew_join, spread_join
+from parley.operators.skew import checked_broadcast, skew_join, spread_join
 from parley.operators.transcript import read_window
 
 # Fixed values.
@@ -141,7 +141,7 @@ def bm25_search(content: DataFrame, postings: DataFrame, stats: DataFrame, query
         kept = content_filter(content, participant, after, before).select("archive_id", "msg_id")
         scored = scored.join(kept, ["archive_id", "msg_id"], "left_semi")
     best = _top(scored, k, F.desc(F.round("score", 9)), F.asc("msg_id"))
-    return best.join(content.select("archive_id", "msg_id", "ts", "sender", "content"), ["archive_id", "msg_id"])
+    return checked_broadcast(best).join(content.select("archive_id", "msg_id", "ts", "sender", "content"), ["archive_id", "msg_id"])
 
 
 def keyword_like_search(content: DataFrame, query: str, k: int = TOP_K, participant: str | None = None,
@@ -275,7 +275,7 @@ def chunk_of_message(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Map message hits to the first chunk that covers them, by an equi join on message ids."""
     covered = chunks.select(
         "archive_id", "chunk_id", F.explode(F.sequence("start_msg_id", "end_msg_id")).alias("msg_id"))
-    return hits.join(covered, ["archive_id", "msg_id"]).groupBy(*hits.columns).agg(F.min("chunk_id").alias("chunk_id"))
+    return checked_broadcast(hits).join(covered, ["archive_id", "msg_id"]).groupBy(*hits.columns).agg(F.min("chunk_id").alias("chunk_id"))
 
 
 def search_chat(content: DataFrame, postings: DataFrame, stats: DataFrame, query: str | None = None, k: int = TOP_K,
@@ -314,7 +314,7 @@ def get_context(content: DataFrame, hits: DataFrame, before: int = CONTEXT, afte
     """Messages around many hits at once: each hit names its neighbours, then one equi join."""
     near = hits.select("archive_id", F.col("msg_id").alias("center_msg_id"), F.explode(
         F.sequence(F.col("msg_id") - before, F.col("msg_id") + after)).alias("msg_id"))
-    return near.join(content.select("archive_id", "msg_id", "ts", "sender", "msg_type", "content"), ["archive_id", "msg_id"])
+    return checked_broadcast(near).join(content.select("archive_id", "msg_id", "ts", "sender", "msg_type", "content"), ["archive_id", "msg_id"])
 
 
 def find_media(named_media: DataFrame, query: str | None = None, kind: str | None = None,

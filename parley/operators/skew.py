@@ -8,9 +8,24 @@ hashes of row values, so a retried task puts every row where it was before.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.store import ensure_checkpoint_dir
+
 SALTS = 32
 HEAVY_ROWS = 1_000_000
 MAX_HEAVY_KEYS = 10_000
+# Rows of ids and scores, some 100 bytes each.
+BROADCAST_ROWS = 200_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow result that usually is tiny (search hits, chosen sessions), written down and counted.
+
+    Up to ``max_rows`` rows it is marked for broadcast, so that finding its details in a huge
+    table needs no shuffle of that table; beyond, it joins like any other.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint()
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
 def spread_join(left: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "inner",

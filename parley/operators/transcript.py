@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import display_date, strip
 from parley.operators.ordered import block_of, count_across, lag_across, totals_across
+from parley.operators.skew import checked_broadcast
 
 EXCERPT_LINES = 24
 # Longest shown window, marker of a cut one.
@@ -62,7 +63,7 @@ def session_excerpts(content: DataFrame, sessions: DataFrame, limit: int = EXCER
     scope = ["archive_id", "session_id"]
     blocked = content.withColumn("_block", block_of("msg_id"))
     spans = blocked.select(*scope, "_block").distinct().join(sessions.select(*scope).distinct(), scope, "left_semi")
-    chosen = blocked.join(spans, [*scope, "_block"], "left_semi").drop("_block")
+    chosen = blocked.join(checked_broadcast(spans), [*scope, "_block"], "left_semi").drop("_block")
     lines = transcript_lines(chosen, scope).withColumn("_block", block_of("line"))
     half = limit // 2
     long = F.col("_n") > limit
