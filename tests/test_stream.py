@@ -97,3 +97,19 @@ def test_skew_joins_equal_plain_joins(spark, how):
     for fn in (lambda: skew.skew_join(left, right, ["k"], ["id"], how, heavy_rows=10), lambda: skew.spread_join(left, right, ["k"], ["id"], how, salts=4)):
         got = fn().select(*([c for c in ("id", "k", "v") if c != "v" or how in ("inner", "left")]))
         assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("max_rows", [1, 100])
+def test_checked_broadcast_changes_no_rows(spark, max_rows):
+    hits = spark.createDataFrame([(1, "x"), (2, "y"), (9, "z")], "k long, v string")
+    big = spark.range(8).withColumnRenamed("id", "k")
+    got = skew.checked_broadcast(hits, max_rows).join(big, "k").collect()
+    assert sorted(map(tuple, got)) == [(1, "x"), (2, "y")]
+
+
+def test_worker_functions_travel_with_the_task():
+    from pyspark.cloudpickle import cloudpickle
+
+    import parley
+
+    assert parley.__name__ in cloudpickle.list_registry_pickle_by_value()
