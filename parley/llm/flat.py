@@ -54,6 +54,14 @@ class Sums:
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.up[: len(values)], out=self.sums[1:])
 
+    def each(self, width: int) -> np.ndarray:
+        """Hashes of all spans of ``width`` values."""
+        spans = (self.sums[width:] - self.sums[:-width]) * self.down[: len(self.sums) - width]
+        spans ^= spans >> np.uint64(29)
+        spans *= np.uint64(0xBF58476D1CE4E5B9)
+        spans ^= spans >> np.uint64(32)
+        return spans
+
     def span(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.sums[hi] - self.sums[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
 
@@ -85,14 +93,10 @@ def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     word = ~_SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[at] = True
-    gap = np.ones(len(raw) + 1, bool)
-    gap[1:-1] = ~word[:-1]
-    starts = np.flatnonzero(word & (gap[:-1] | edge[:-1]))
-    gap[0] = False
-    gap[:-1][1:] = False
-    after = np.ones(len(raw), bool)
-    after[:-1] = ~word[1:]
-    ends = np.flatnonzero(word & (after | edge[1:])) + 1
+    gap = np.ones(len(raw) + 2, bool)
+    gap[1:-1] = ~word
+    starts = np.flatnonzero(word & (gap[:-2] | edge[:-1]))
+    ends = np.flatnonzero(word & (gap[2:] | edge[1:])) + 1
     return starts, ends, np.searchsorted(starts, at)
 
 
@@ -109,57 +113,67 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, starts, ends, rows
 
 
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours, by doubling."""
+    have = 1
+    while have * 2 <= width:
+        values = np.minimum(values[:-have], values[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+#: Low bits of an ordering key that hold a place, and how many windows are ordered at once.
+_PLACE = np.uint64((1 << 24) - 1)
+_AT_ONCE = 1 << 23
+
+
 class Anchors:
     """Winnowed anchors of a slice of documents.
 
     Every window of ``length`` units inside one document selects one of its seeds of ``seed`` units: the one of
     least hash, the rightmost of equal ones. What a window selects depends on its content alone, so equal windows
-    select the same seed at the same offset. The reach of an anchor is all that any window selecting it can cover.
+    select the same seed at the same offset. The reach of an anchor is all that a window around it can cover.
     """
 
     def __init__(self, units: np.ndarray, rows: np.ndarray, length: int, seed: int):
         self.length, self.seed, self.spread = length, seed, length - seed + 1
         self.units, self.rows, n = units, rows, len(units)
-        size = np.diff(rows)
+        none = np.zeros(0, np.int64)
+        self.starts = self.chosen = self.at = self.doc = none
+        self.hash = np.zeros(0, np.uint64)
         if n < length:
-            self.starts = np.zeros(0, np.int64)
-            self.chosen = self.at = self.doc = self.starts
             return
-        hashes = Sums(units, "word")
-        grams = hashes.span(np.arange(n - seed + 1), np.arange(seed, n + 1))
+        sums = Sums(units, "word")
+        grams = sums.each(seed)
         m = n - length + 1
-        best, where = grams[:m].copy(), np.zeros(m, np.int64)
-        for j in range(1, self.spread):
-            other = grams[j: j + m]
-            take = other <= best
-            np.copyto(best, other, where=take)
-            where[take] = j
-        end = np.repeat(rows[1:], size)[:m]
-        self.starts = np.flatnonzero(np.arange(m) + length <= end)
-        self.chosen = self.starts + where[self.starts]
+        where = np.empty(m, np.int64)
+        for lo in range(0, m, _AT_ONCE):
+            hi = min(m, lo + _AT_ONCE)
+            part = grams[lo: hi + self.spread - 1]
+            keys = (part & ~_PLACE) | (_PLACE - np.arange(len(part), dtype=np.uint64))
+            where[lo:hi] = lo + (_PLACE - (sliding_min(keys, self.spread) & _PLACE)).astype(np.int64)
+        inside = np.ones(m, bool)
+        for end in rows[1:-1].tolist():
+            inside[max(0, end - length + 1): min(m, end)] = False
+        self.starts = np.flatnonzero(inside)
+        self.chosen = where[self.starts]
         first = np.ones(len(self.chosen), bool)
         first[1:] = self.chosen[1:] != self.chosen[:-1]
         self.at = self.chosen[first]
         self.doc = np.searchsorted(rows, self.at, side="right") - 1
         self.hash = grams[self.at]
 
-    def reach(self) -> tuple[np.ndarray, np.ndarray]:
+    def reach(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and hash of what each anchor reaches; the anchor's own place in it counts."""
         lo = np.maximum(self.rows[self.doc], self.at - self.spread + 1)
-        return lo, np.minimum(self.rows[self.doc + 1], self.at + self.length)
-
-    def reach_hash(self) -> np.ndarray:
-        lo, hi = self.reach()
-        return mix(Sums(self.units, "reach").span(lo, hi) + (self.at - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-
-
-def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping or touching spans of a document as one; spans come ordered by (doc, lo)."""
-    if not len(doc):
-        return doc, lo, hi
-    big = int(hi.max()) + 1
-    top = np.maximum.accumulate(doc.astype(np.int64) * big + hi)
-    new = np.ones(len(doc), bool)
-    new[1:] = doc[1:].astype(np.int64) * big + lo[1:] > top[:-1]
-    begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(doc)) - 1
-    return doc[begin], lo[begin], top[last] - doc[begin].astype(np.int64) * big
+        hi = np.minimum(self.rows[self.doc + 1], self.at + self.length)
+        hashes = Sums(self.units, "reach").span(lo, hi) + (self.at - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        return lo, hi, mix(hashes)
+
+    def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows that select one of the anchors marked in ``wanted``."""
+        pick = np.zeros(len(self.units) + 1, bool)
+        pick[self.at[wanted]] = True
+        starts = self.starts[pick[self.chosen]]
+        return starts, Sums(self.units, "window").span(starts, starts + self.length)

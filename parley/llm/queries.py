@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import simhash
+from parley.llm import simhash, substring, suffix_windows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, 3 bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_suffix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a 50-byte string of an earlier document covers."""
+    found = suffix_windows.repeated_bytes(table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a 20-word window seen earlier covers."""
+    return substring.repeated_words(table(spark, sf_dir, "documents"), length=20)
