@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import simhash, substring, suffix_windows
+from parley.llm import reputation, simhash, substring, suffix_windows, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,70 @@ def op6_suffix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a 20-word window seen earlier covers."""
     return substring.repeated_words(table(spark, sf_dir, "documents"), length=20)
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back: equal payloads stored once, blocks cut at 64 KiB."""
+    return warc.summary(warc.archive(table(spark, sf_dir, "pages"), at_least=0))
+
+
+#: The rules of the production filter; ORACLES spells the same ones out.
+RULES = (
+    reputation.UrlRule("allow", "com", "/"), reputation.UrlRule("block", "example.com", "/en/"),
+    reputation.UrlRule("allow", "www.example.com", "/en/"), reputation.UrlRule("block", "net", "/es/"),
+    reputation.UrlRule("block", "net", "/fr/"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules first, else the reputation of the host; a page's outcome is the quality label of the document its url names."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    named = pages.select("page_id", F.regexp_extract("url", "://[^/?#]*/[^/?#]*/([0-9]{1,18})", 1).alias("doc")).where("doc <> ''")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good"))
+    outcomes = named.join(marks, named["doc"].cast("long") == marks["doc_id"]).select("page_id", "good")
+    found = reputation.judge(pages, outcomes, RULES, least=0.75, z=1.645)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _shrunk(level: str, parent: str) -> str:
+    """SQL of one level: rates drawn towards the parent's, with the weight by moments."""
+    return f"""
+{level}_k AS (SELECT least(1000.0, greatest(2.0, coalesce(CASE WHEN tau > 0 THEN base / tau - 1 ELSE 1000.0 END, 1000.0))) AS k FROM (
+  SELECT (sum(n * (s / n - m) * (s / n - m)) - sum(m * (1 - m))) / nullif(sum(n) - sum(n * n) / sum(n), 0) AS tau, avg(m * (1 - m)) AS base
+  FROM {level}_in WHERE n > 0) t),
+{level}_out AS (SELECT {parent}, n, (s + k * m) / (n + k) AS rate, n + k AS seen FROM {level}_in, {level}_k)"""
+
+
+ORACLES["op3_url_filter"] = f"""
+WITH cut AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path,
+    regexp_extract(url, '://[^/?#]*/[^/?#]*/([0-9]{{1,18}})', 1) AS doc FROM cut),
+marked AS (SELECT p.*, l.quality FROM parsed p LEFT JOIN labels l ON CAST(nullif(p.doc, '') AS BIGINT) = l.doc_id),
+hosts AS (SELECT host, list_last(string_split(host, '.')) AS suffix,
+    CASE WHEN contains(host, '.') THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain,
+    CAST(count(quality) AS DOUBLE) AS n, CAST(coalesce(sum(quality), 0) AS DOUBLE) AS s FROM marked GROUP BY host),
+suffix_in AS (SELECT suffix, sum(n) AS n, sum(s) AS s, (SELECT (sum(s) + 1) / (sum(n) + 2) FROM hosts) AS m FROM hosts GROUP BY suffix),
+{_shrunk("suffix", "suffix")},
+domain_in AS (SELECT domain, sum(h.n) AS n, sum(h.s) AS s, any_value(o.rate) AS m FROM hosts h JOIN suffix_out o USING (suffix) GROUP BY domain),
+{_shrunk("domain", "domain")},
+host_in AS (SELECT host, h.n, h.s, o.rate AS m FROM hosts h JOIN domain_out o USING (domain)),
+{_shrunk("host", "host")},
+ruled AS (SELECT p.page_id, p.host, p.path, o.rate, o.seen, CASE
+    WHEN (p.host = 'www.example.com' OR ends_with(p.host, '.www.example.com')) AND starts_with(p.path, '/en/') THEN 'www.example.com/en/'
+    WHEN (p.host = 'example.com' OR ends_with(p.host, '.example.com')) AND starts_with(p.path, '/en/') THEN 'example.com/en/'
+    WHEN (p.host = 'net' OR ends_with(p.host, '.net')) AND starts_with(p.path, '/es/') THEN 'net/es/'
+    WHEN (p.host = 'net' OR ends_with(p.host, '.net')) AND starts_with(p.path, '/fr/') THEN 'net/fr/'
+    WHEN (p.host = 'com' OR ends_with(p.host, '.com')) AND starts_with(p.path, '/') THEN 'com/' END AS rule
+  FROM parsed p JOIN host_out o USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN rate + 1.645 * sqrt(rate * (1 - rate) / (seen + 1)) < 0.75 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled"""
+
+@query
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files of the byte-level vocabulary, read back."""
+    import public_tokenizers
+
+    return tokens.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)

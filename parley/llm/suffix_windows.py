@@ -42,7 +42,7 @@ def _report(block: Block) -> pa.RecordBatch:
         pa.array(out["kept_sha256"], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "begins", "ends", "kept_sha256"])
 
 
-def repeated_bytes(documents: DataFrame, length: int = 50, seed: int | None = None, block_bytes: int = BLOCK) -> DataFrame:
+def repeated_bytes(documents: DataFrame, length: int = 50, seed: int | None = None, block_bytes: int = BLOCK // 4) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, begins, ends, kept_sha256) of every document.
 
     A byte is removed if a ``length``-byte string over it also starts in a document with a smaller doc_id; begins and
