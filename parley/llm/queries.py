@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, quality, reputation, simhash, substring, suffix_windows, tokens, warc
+from parley.llm import decontaminate, mixing, quality, reputation, simhash, substring, suffix_windows, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,51 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in all documents, within 6 edits in 100 characters."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), q=12, rate=0.06)
+
+
+#: The production mix: which sources make up a domain, and the weights on each level.
+DOMAINS = {"src0": "crawl"} | {f"src{n}": "books" for n in range(1, 10)} | {f"src{n}": "forum" for n in range(10, 20)}
+WEIGHTS = {"domain": {"crawl": 5, "books": 3, "forum": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the production mix, a row for each epoch that takes one; up to two epochs."""
+    documents = table(spark, sf_dir, "documents")
+    found = mixing.mix(documents, DOMAINS, WEIGHTS, share=1.0, epochs=2, seed=7)
+    return found.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"))
+
+
+def _level(name: str, path: list[str], weight: str, parent: str) -> str:
+    """SQL of one level of the tree: shares by weight, shortages to the siblings."""
+    over, keys = ", ".join(path[:-1]) or "1", ", ".join(path)
+    total = f"{parent}" if len(path) == 1 else "p.budget"
+    join = "" if len(path) == 1 else f"JOIN {parent} p USING ({over})"
+    return f"""
+{name}_0 AS (SELECT {keys}, sum(c.cap) AS cap, {weight} AS weight, any_value({total}) AS total FROM caps c {join} GROUP BY {keys}),
+{name}_1 AS (SELECT *, coalesce(sum(cap) OVER w, 0) AS used, sum(weight) OVER (PARTITION BY {over}) - coalesce(sum(weight) OVER w, 0) AS open
+  FROM {name}_0 WHERE cap > 0 WINDOW w AS (PARTITION BY {over} ORDER BY cap / weight, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_2 AS (SELECT *, cap * open <= weight * greatest(total - used, 0) AS fits FROM {name}_1),
+{name}_3 AS (SELECT *, sum(CASE WHEN fits THEN cap ELSE 0 END) OVER (PARTITION BY {over}) AS filled,
+  sum(CASE WHEN fits THEN 0 ELSE weight END) OVER (PARTITION BY {over}) AS sharing FROM {name}_2),
+{name}_b AS (SELECT {keys}, CASE WHEN fits THEN cap ELSE greatest((weight * (total - filled)) // nullif(sharing, 0), 0) END AS budget FROM {name}_3)"""
+
+
+ORACLES["op4_mixing"] = f"""
+WITH counted AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CASE WHEN source = 'src0' THEN 'crawl' WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9') THEN 'books'
+      WHEN source IN ('src10', 'src11', 'src12', 'src13', 'src14', 'src15', 'src16', 'src17', 'src18', 'src19') THEN 'forum' ELSE 'other' END AS domain,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS HUGEINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM counted GROUP BY ALL),
+caps AS (SELECT *, tokens * 2 AS cap FROM leaves),
+{_level("d", ["domain"], "CASE domain WHEN 'crawl' THEN 5 WHEN 'books' THEN 3 WHEN 'forum' THEN 2 ELSE 1 END", "(SELECT sum(tokens) FROM leaves)")},
+{_level("l", ["domain", "lang"], "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END", "d_b")},
+{_level("s", ["domain", "lang", "source"], "1", "l_b")},
+need AS (SELECT domain, lang, source, budget // tokens AS whole, budget % tokens AS left_over FROM leaves JOIN s_b USING (domain, lang, source) WHERE tokens > 0),
+run AS (SELECT doc_id, domain, lang, source, whole, left_over,
+    sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat('7:', CAST(whole AS VARCHAR), ':', coalesce(CAST(doc_id AS VARCHAR), '')))
+      RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM counted JOIN need USING (domain, lang, source)),
+times AS (SELECT *, whole + CASE WHEN left_over > 0 AND upto <= left_over THEN 1 ELSE 0 END AS times FROM run)
+SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch
+FROM (SELECT *, unnest(range(CAST(times AS BIGINT))) AS epoch FROM times WHERE times > 0) t"""

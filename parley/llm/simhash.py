@@ -9,6 +9,7 @@ and equal fingerprints count as one throughout, so a group of copies costs what
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.flat import text_bytes
+from parley.llm.flat import mix, text_bytes
 from parley.llm.graph import components
 from parley.sources.store import materialise
 
@@ -26,22 +27,26 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 CROWD = 256
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The 64-bit SimHash of one text, as a signed number."""
+def _vote(hashes: np.ndarray) -> int:
+    votes = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        part = hashes[lo: lo + (1 << 16)]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: bytes, shingle: int, words_of_64: int = 1) -> list[int]:
+    """The SimHash of one text as signed 64-bit numbers; those after the first come from rehashed shingles."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return [0] * words_of_64
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends = ends.tolist()[shingle - 1:] or ends[-1:]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], 42) for a, b in zip(begins, ends)], np.uint64)
-    votes = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 1 << 16):
-        part = hashes[lo: lo + (1 << 16)]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    return [_vote(hashes), *(_vote(mix(hashes + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64)))) for n in range(1, words_of_64))]
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
@@ -52,7 +57,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = text_bytes(batch.column("text"))
-            prints = [fingerprint(raw[a:b].tobytes(), shingle) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            prints = [fingerprint(raw[a:b].tobytes(), shingle)[0] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.record_batch([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -136,3 +141,63 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 3) -
     named = classes.join(joined, classes["node"] == joined["node"], "left").select(
         "fp", F.coalesce("component", classes["node"]).alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _bands(n: int) -> int:
+    """Bits of a segment when alike texts are sought: few chance meetings for ``n`` fingerprints."""
+    return min(32, max(16, math.ceil(math.log2(max(2, n))) + 2))
+
+
+def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, words_of_64: int = 4, crowd: int = 64) -> DataFrame:
+    """The row of least doc_id of each group of near copies, all columns as they are.
+
+    Texts whose sets of ``shingle``-word shingles overlap by ``similarity`` differ in too many bits for a bound of three,
+    so a longer fingerprint is used: segments of about log2 of the number of texts, met whole or with one
+    bit wiped, propose pairs, and the angle between the whole fingerprints, which estimates the overlap, decides. A segment that more
+    than ``crowd`` texts share ties each of them to the least doc_id among them instead of to one another. Rows without
+    words form no group, nor do rows without doc_id; of repeated rows one stays.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = text_bytes(batch.column("text"))
+            texts = [raw[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.record_batch([
+                batch.column("doc_id"), pa.array([fingerprint(t, shingle, words_of_64) for t in texts], pa.list_(pa.int64())),
+                pa.array([bool(t.split()) for t in texts]), pa.array([xxhash.xxh64_intdigest(t) >> 1 for t in texts], pa.int64())],
+                ["doc_id", "fp", "words", "sum"])
+
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = materialise(narrow.mapInArrow(run, "doc_id long, fp array<long>, words boolean, sum long"), "prints")
+    known = prints.where("words and doc_id is not null")
+    classes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
+    size = _bands(classes.count())
+    per_word = 64 // size
+    # overlap j of sets is a cosine of 2j / (1 + j); a bit differs with the angle over pi
+    distance = math.floor(64 * words_of_64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    kept_bits = (1 << per_word * size) - 1 if per_word * size < 64 else -1
+    variants = F.concat(*(
+        _variants(F.col("fp")[n].bitwiseAND(F.lit(kept_bits)), per_word * size, size, n * 65 * 4) for n in range(words_of_64)))
+    keyed = classes.select("node", F.col("fp")[0].alias("head"), F.explode(variants).alias("k")).select("node", "head", "k.*")
+    crowded = keyed.groupBy("piece", "value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > crowd)
+    plain = keyed.join(crowded, ["piece", "value"], "left_anti")
+    left = plain.where("side <> 1").select("piece", "value", F.col("node").alias("a"), F.col("head").alias("ha"))
+    right = plain.where("side <> 0").select("piece", "value", F.col("node").alias("b"), F.col("head").alias("hb"), F.col("side").alias("sb"))
+    # the first 64 bits alone tell nearly all chance meetings
+    near = math.ceil(distance / words_of_64 + 3 * math.sqrt(distance / words_of_64))
+    pairs = left.join(right, [left["piece"] == right["piece"], left["value"] == right["value"], (F.col("sb") == 1) | (F.col("a") < F.col("b")),
+                              F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= near]).select("a", "b")
+    stars = keyed.join(crowded, ["piece", "value"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(stars).distinct(), "pairs")
+    first, second = (classes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab")
+    unlike = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    alike = pairs.join(first, "a").join(second, "b").where(unlike <= distance).select("a", "b")
+    joined = components(alike, "a", "b")
+    named = classes.join(joined, classes["node"] == joined["node"], "left").select("fp", F.coalesce("component", classes["node"]).alias("first"))
+    gone = known.join(named, "fp").where("doc_id <> first").select(F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum"))
+    # rows that repeat a doc_id and its text: all but one go as well
+    twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"))
+    gone = materialise(gone.distinct(), "gone")
+    kept = documents.join(gone, documents["doc_id"] == gone["gone_id"], "left_anti")
+    if materialise(twice, "twice").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
