@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, mixing, quality, reputation, simhash, substring, suffix_windows, tokens, warc
+from parley.llm import decontaminate, mixing, neighbours, quality, reputation, simhash, substring, suffix_windows, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,9 @@ run AS (SELECT doc_id, domain, lang, source, whole, left_over,
 times AS (SELECT *, whole + CASE WHEN left_over > 0 AND upto <= left_over THEN 1 ELSE 0 END AS times FROM run)
 SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch
 FROM (SELECT *, unnest(range(CAST(times AS BIGINT))) AS epoch FROM times WHERE times > 0) t"""
+
+
+@query
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of every row whose vec_id is divisible by 50, by cosine, from all rows."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
