@@ -36,6 +36,15 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield held.combine_chunks()
 
 
+def _once(table: pa.Table) -> pa.Table:
+    """Each (node, other) once, in order."""
+    owner, other = table.column("node").to_numpy(), table.column("other").to_numpy()
+    order = np.lexsort((other, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (owner[order][1:] != owner[order][:-1]) | (other[order][1:] != other[order][:-1])
+    return table.take(order[new])
+
+
 def _bytes_of(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
@@ -112,7 +121,7 @@ def _start(nodes: DataFrame, width: int, k: int, rounds: int, cell: int, seed: i
 
 
 def _edges(graph: DataFrame, back: int) -> DataFrame:
-    """(node, other): the neighbours of each node and the ``back`` most alike of those it is a neighbour of."""
+    """(node, other): the neighbours of each node and the ``back`` most alike of those it is a neighbour of; some come twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = batch.column("near").to_pylist()
@@ -123,7 +132,7 @@ def _edges(graph: DataFrame, back: int) -> DataFrame:
     flat = graph.mapInArrow(run, "node long, other long, sim float")
     rank = F.row_number().over(Window.partitionBy("other").orderBy(F.desc("sim"), "node"))
     reverse = flat.withColumn("r", rank).where(F.col("r") <= back).select(F.col("other").alias("node"), F.col("node").alias("other"))
-    return flat.select("node", "other").unionByName(reverse).distinct()
+    return flat.select("node", "other").unionByName(reverse)
 
 
 def _descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, offer: int) -> DataFrame:
@@ -132,7 +141,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, offer: int)
     met = members.join(nodes.select(F.col("node").alias("other"), "vec"), "other").select("node", "other", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, "node"):
+        for table in map(_once, _runs(batches, "node")):
             owner, ids = table.column("node").to_numpy(), table.column("other").to_numpy()
             vectors = _bytes_of(table.column("vec"), "i1", width).astype(np.float32) / 127
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -178,7 +187,7 @@ def _adjacent(graph: DataFrame, nodes: DataFrame, width: int, back: int) -> Data
     met = _edges(graph, back).join(nodes.select(F.col("node").alias("other"), "vec"), "other").select("node", "other", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, "node"):
+        for table in map(_once, _runs(batches, "node")):
             owner, ids = table.column("node").to_numpy(), table.column("other").to_numpy().astype("<i8")
             vectors = _bytes_of(table.column("vec"), "i1", width)
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -222,7 +231,7 @@ def _pool_step(pool: int) -> Callable:
     return run
 
 
-def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int = 160, beam: int = 24, rounds: int = 8) -> DataFrame:
+def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int = 800, beam: int = 100, rounds: int = 9) -> DataFrame:
     """(query, near, sims): the pool each of ``queries`` (query: a node, vec) ends with, itself included.
 
     Every round opens the ``beam`` most alike unopened nodes of each pool; ``rounds`` bounds the hops.
@@ -273,8 +282,8 @@ def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int
     return state.select("query", "near", "sims")
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = 24, rounds: int = 4, pool: int = 160, beam: int = 24, hops: int = 8,
-            check: int = 16) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = 24, rounds: int = 4, pool: int = 800, beam: int = 100, hops: int = 9,
+            check: int = 40) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` picks, the ``k`` nearest other rows found, by cosine.
 
     Equal vectors are one node, of which the ``k`` + 1 least vec_ids stand for all: no more can be among the nearest of a
