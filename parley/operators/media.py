@@ -250,8 +250,8 @@ def parse_contact_cards(cards: DataFrame, text: str = "text") -> DataFrame:
     number = F.when(F.size("phones") > 0, F.concat(F.lit(" Phone: "), F.array_join("phones", ", "), F.lit("."))).otherwise("")
     return cards.withColumn("names", names).withColumn("phones", phones).withColumns({
         "description": F.concat(F.lit("Shared contact card for "), who, F.lit("."), number),
-        "ocr_text": F.substring(text, 1, 2000),
-        "detected_objects": F.concat(F.array(F.lit("contact card")), F.slice("names", 1, 3)),
+        "ocr_text": F.col(text),
+        "detected_objects": F.concat(F.array(F.lit("contact card")), F.col("names")),
     })
 
 

@@ -330,4 +330,4 @@ def find_media(named_media: DataFrame, query: str | None = None, kind: str | Non
     if sender:
         found = found.where(F.lower("sender").contains(sender.lower()))
     cols = ["media_id", "msg_id", "filename", "kind", "ts", "sender", "caption", "description", "transcript", "ocr_text", "status"]
-    return _top(found.select("archive_id", *cols), min(k, 100), F.asc("ts"), F.asc("media_id"))
+    return _top(found.select("archive_id", *cols), k, F.asc("ts"), F.asc("media_id"))

@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROWS = 500
@@ -54,9 +54,11 @@ def browse_filter(content: DataFrame, q: str | None = None, sender: str | None =
 
 
 def browse_messages(content: DataFrame, limit: int = 100, offset: int = 0, **filters) -> DataFrame:
-    """One page by time; ``browse_filter(...).count()`` is the total."""
+    """One page by time; ``browse_filter(...).count()`` is the total. A page of more than ``MAX_ROWS`` is refused."""
+    if not 0 <= limit <= MAX_ROWS:
+        raise ValueError(f"a page holds 0 to {MAX_ROWS} rows, not {limit}")
     page = browse_filter(content, **filters).select("archive_id", "msg_id", "ts", "sender", "msg_type", "content")
-    return page.orderBy("ts", "archive_id", "msg_id").offset(offset).limit(min(limit, MAX_ROWS))
+    return page.orderBy("ts", "archive_id", "msg_id").offset(offset).limit(limit)
 
 
 def _items(seq):
@@ -65,7 +67,7 @@ def _items(seq):
 
 def _check(spark: SparkSession, query: str) -> None:
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    relations, ctes, functions = [], set(), set()
+    functions = set()
 
     def walk_expression(expr):
         if expr.getClass().getSimpleName() == "UnresolvedFunction":
@@ -73,30 +75,34 @@ def _check(spark: SparkSession, query: str) -> None:
         for child in _items(expr.children()):
             walk_expression(child)
 
-    def walk(node):
+    def walk(node, known):
+        """``known``: names that WITH clauses around or before this node define."""
         kind = node.getClass().getSimpleName()
         if kind not in QUERY_NODES:
             raise PermissionError(f"only plain queries are allowed, not {kind}")
         if kind == "UnresolvedRelation":
-            relations.append(node.multipartIdentifier().mkString("."))
+            name = node.multipartIdentifier().mkString(".")
+            if name.lower() not in VIEWS and name.lower() not in known:
+                raise PermissionError(f"relation {name} is not published")
         elif kind == "UnresolvedTableValuedFunction":
             name = node.name().mkString(".").lower()
             if name not in TABLE_FUNCTIONS:
                 raise PermissionError(f"table function {name} is not allowed")
-        elif kind == "SubqueryAlias":
-            ctes.add(node.alias())
+        elif kind == "UnresolvedWith":
+            for relation in _items(node.cteRelations()):
+                walk(relation._2(), known)
+                known = known | {relation._1().lower()}
+            for child in _items(node.children()):
+                walk(child, known)
+            return
         for expr in _items(node.expressions()):
             walk_expression(expr)
         for inner in _items(node.innerChildren()):
-            walk(inner)
+            walk(inner, known)
         for child in _items(node.children()):
-            walk(child)
+            walk(child, known)
 
-    walk(plan)
-    cte_names = set(re.findall(r"(?i)(?:\bwith|,)\s+([a-z_]\w*)\s*(?:\([^)]*\))?\s+as\s*\(", query)) & ctes
-    for name in relations:
-        if name not in VIEWS and name not in cte_names:
-            raise PermissionError(f"relation {name} is not published")
+    walk(plan, frozenset())
     bad = functions & set(REFUSED_FUNCTIONS)
     if bad:
         raise PermissionError(f"function {sorted(bad)[0]} is not allowed")
@@ -115,7 +121,7 @@ def publish(spark: SparkSession, archive_id, views: dict[str, DataFrame]) -> Non
 
 
 def run_sql(spark: SparkSession, query: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """One read-only query over the published views, capped at ``max_rows`` rows.
+    """One read-only query over the published views: up to ``max_rows`` rows, and in ``truncated`` whether there were more.
 
     Spark's own parser decides what the text is. Raises PermissionError for anything but a
     query over published names, and Spark's ParseException for several statements.
@@ -123,4 +129,11 @@ def run_sql(spark: SparkSession, query: str, max_rows: int = MAX_ROWS) -> DataFr
     if not query or not query.strip():
         raise PermissionError("empty query")
     _check(spark, query)
-    return spark.sql(query).limit(max_rows)
+    if max_rows < 1:
+        raise ValueError("max_rows must be positive")
+    # one row beyond the cap tells; the windows see no more rows than that
+    rows = spark.sql(query).limit(max_rows + 1)
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
+    everything = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_place", place).withColumn("truncated", F.count(F.lit(1)).over(everything) > max_rows)
+    return rows.where(F.col("_place") <= max_rows).drop("_place")

@@ -112,7 +112,7 @@ def _(w):
        + "SELECT archive_id, rank, session_id, messages, times_normal, md5(excerpt) AS excerpt_md5 FROM found LEFT JOIN ex USING (archive_id, session_id)")
 def _(w):
     rows = w.by_lang.messages
-    found = I.find_moments("funny", I.session_stats(rows, PROSE_WORDS), I.baseline(rows, PROSE_WORDS["laugh"]), 99,
+    found = I.find_moments("funny", I.session_stats(rows, PROSE_WORDS), I.baseline(rows, PROSE_WORDS["laugh"]), 10,
                            w.content_of(w.by_lang), PROSE_RULES["funny"])
     return found.select(A, "rank", "session_id", "messages", "times_normal", F.md5("excerpt").alias("excerpt_md5"))
 

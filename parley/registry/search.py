@@ -221,7 +221,7 @@ def _(w):
     return adhoc.browse_filter(w.content, q="click", sender="user 2").agg(F.count(F.lit(1)).alias("total"))
 
 
-@query("run_sql", Q.E + """SELECT sender, count(*) AS n, count(*) FILTER (is_start) AS started FROM m WHERE archive_id = 4 GROUP BY sender""")
+@query("run_sql", Q.E + """SELECT sender, count(*) AS n, count(*) FILTER (is_start) AS started, false AS truncated FROM m WHERE archive_id = 4 GROUP BY sender""")
 def _(w):
     adhoc.publish(w.spark, 4, {"messages": w.events.messages, "v_messages": w.named(w.events)})
     return adhoc.run_sql(w.spark, """WITH counted AS (SELECT participant_id, count(*) AS n FROM sessions_at(1.0D) WHERE is_start GROUP BY participant_id)

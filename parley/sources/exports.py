@@ -12,7 +12,6 @@ from parley.operators.parse import HEADER, LINE_ENDS, split_lines
 
 # Encodings in the order they are tried.
 ENCODINGS = ("utf-8-sig", "utf-8", "utf-16", "latin-1")
-HASH_WINDOW = 1024 * 1024
 
 
 def safe_member_path(name) -> Column:
@@ -138,9 +137,5 @@ def scan_media_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def content_hash(content, size) -> Column:
-    """sha256 over the size, the first MiB and, for files above 2 MiB, the last MiB."""
-    window = F.lit(HASH_WINDOW)
-    body, length = F.col(content), F.col(size)
-    head = F.substring(body, F.lit(1), window)
-    tail = F.when(length > 2 * HASH_WINDOW, F.substring(body, F.lit(-HASH_WINDOW), window)).otherwise(F.lit(b""))
-    return F.sha2(F.concat(length.cast("string").cast("binary"), head, tail), 256)
+    """sha256 over the size and the whole content."""
+    return F.sha2(F.concat(F.col(size).cast("string").cast("binary"), F.col(content)), 256)

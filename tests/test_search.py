@@ -142,7 +142,17 @@ def test_run_sql(spark):
     rows = spark.createDataFrame([(0, i, AT, "p", "text", None, "it's; a 'drop'") for i in range(600)] + [(1, 0, AT, "q", "text", None, "other")],
                                  "archive_id int, msg_id long, ts timestamp_ntz, participant_id string, msg_type string, gap_seconds double, text string")
     adhoc.publish(spark, 0, {"messages": rows})
-    assert adhoc.run_sql(spark, "SELECT * FROM messages LIMIT 1000").count() == 500
+    capped = adhoc.run_sql(spark, "SELECT * FROM messages LIMIT 1000")
+    assert capped.count() == 500 and capped.select("truncated").distinct().first().truncated
+    few = adhoc.run_sql(spark, "SELECT msg_id FROM messages ORDER BY msg_id DESC LIMIT 3").collect()
+    assert [r.truncated for r in few] == [False] * 3 and few[0].msg_id > few[2].msg_id
+    spark.range(3).createOrReplaceTempView("hidden_view")
+    for text in ("SELECT hidden_view.id FROM hidden_view AS hidden_view WHERE 'with hidden_view as (' <> ''",
+                 "SELECT * FROM (WITH hidden_view AS (SELECT 1 AS id) SELECT * FROM hidden_view) a JOIN hidden_view USING (id)",
+                 "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a", "SELECT (SELECT max(id) FROM hidden_view)"):
+        with pytest.raises(PermissionError):
+            adhoc.run_sql(spark, text)
+    assert adhoc.run_sql(spark, "WITH hidden_view AS (SELECT 5 AS id), z AS (SELECT * FROM Hidden_View) SELECT id FROM z").first().id == 5
     assert adhoc.run_sql(spark, "SELECT count(*) FROM messages WHERE text LIKE '%drop%' AND text LIKE '%;%'").first()[0] == 600
     assert adhoc.run_sql(spark, "WITH x AS (SELECT archive_id FROM messages) SELECT max(archive_id) m FROM x").first().m == 0
     assert adhoc.run_sql(spark, "SELECT count(*) FROM sessions_at(2.0D)").first()[0] == 600
