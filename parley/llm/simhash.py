@@ -148,6 +148,55 @@ def _bands(n: int) -> int:
     return min(32, max(16, math.ceil(math.log2(max(2, n))) + 2))
 
 
+def _meetings(near: int, crowd: int):
+    """Pairs that meet under a key, from rows sorted by key and node: one pass, holding no more than a batch and one key's rows.
+
+    Of a key with more than ``crowd`` rows each is tied to the least node; what is held of it is cut back to that once it grows.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+            piece, value, node, head, side = rows
+            new = np.ones(len(node), bool)
+            new[1:] = (piece[1:] != piece[:-1]) | (value[1:] != value[:-1])
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(node)))
+            start, length = np.repeat(begin, size), np.repeat(size, size)
+            stars = np.flatnonzero((length > crowd) & (node != node[start]))
+            a, b = [node[start[stars]]], [node[stars]]
+            at = np.flatnonzero((length > 1) & (length <= crowd))
+            for step in range(1, crowd):
+                at = at[at + step < start[at] + length[at]]
+                if not len(at):
+                    break
+                other = at + step
+                fits = ((side[at] == 2) | (side[at] != side[other])) & (np.bitwise_count(head[at] ^ head[other]) <= near)
+                a.append(node[at[fits]])
+                b.append(node[other[fits]])
+            return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("piece", "value", "node", "head", "side")]
+            rows[3] = rows[3].view(np.uint64)
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            last = int(np.argmax(same))
+            if last:
+                yield pairs([x[:last] for x in rows])
+            held = [x[last:] for x in rows]
+            if len(held[0]) > 8 * crowd:
+                yield pairs(held)
+                held = [x[: crowd + 1] for x in held]
+        if held is not None:
+            yield pairs(held)
+
+    return run
+
+
 def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, words_of_64: int = 4, crowd: int = 64) -> DataFrame:
     """The row of least doc_id of each group of near copies, all columns as they are.
 
@@ -178,16 +227,10 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     variants = F.concat(*(
         _variants(F.col("fp")[n].bitwiseAND(F.lit(kept_bits)), per_word * size, size, n * 65 * 4) for n in range(words_of_64)))
     keyed = classes.select("node", F.col("fp")[0].alias("head"), F.explode(variants).alias("k")).select("node", "head", "k.*")
-    crowded = keyed.groupBy("piece", "value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > crowd)
-    plain = keyed.join(crowded, ["piece", "value"], "left_anti")
-    left = plain.where("side <> 1").select("piece", "value", F.col("node").alias("a"), F.col("head").alias("ha"))
-    right = plain.where("side <> 0").select("piece", "value", F.col("node").alias("b"), F.col("head").alias("hb"), F.col("side").alias("sb"))
     # the first 64 bits alone tell nearly all chance meetings
     near = math.ceil(distance / words_of_64 + 3 * math.sqrt(distance / words_of_64))
-    pairs = left.join(right, [left["piece"] == right["piece"], left["value"] == right["value"], (F.col("sb") == 1) | (F.col("a") < F.col("b")),
-                              F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= near]).select("a", "b")
-    stars = keyed.join(crowded, ["piece", "value"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(stars).distinct(), "pairs")
+    met = keyed.repartition("piece", "value").sortWithinPartitions("piece", "value", "node")
+    pairs = materialise(met.mapInArrow(_meetings(near, crowd), "a long, b long").distinct(), "pairs")
     first, second = (classes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab")
     unlike = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     alike = pairs.join(first, "a").join(second, "b").where(unlike <= distance).select("a", "b")
