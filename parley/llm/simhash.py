@@ -148,63 +148,150 @@ def _bands(n: int) -> int:
     return min(32, max(16, math.ceil(math.log2(max(2, n))) + 2))
 
 
-def _meetings(near: int, crowd: int):
-    """Pairs that meet under a key, from rows sorted by key and node: one pass, holding no more than a batch and one key's rows.
+def _apart(prints: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the fingerprints of rows ``i`` and ``j`` differ."""
+    return sum(np.bitwise_count(p[i] ^ p[j]).astype(np.uint16) for p in prints)
 
-    Of a key with more than ``crowd`` rows each is tied to the least node; what is held of it is cut back to that once it grows.
+
+def _forest(node: np.ndarray, prints: list[np.ndarray], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join whatever all links within ``distance`` join, at most one for each row.
+
+    Rows already reached are compared only with those not yet reached, so a group of near copies costs one comparison a row.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-            piece, value, node, head, side = rows
-            new = np.ones(len(node), bool)
-            new[1:] = (piece[1:] != piece[:-1]) | (value[1:] != value[:-1])
-            begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, len(node)))
-            start, length = np.repeat(begin, size), np.repeat(size, size)
-            stars = np.flatnonzero((length > crowd) & (node != node[start]))
-            a, b = [node[start[stars]]], [node[stars]]
-            at = np.flatnonzero((length > 1) & (length <= crowd))
-            for step in range(1, crowd):
-                at = at[at + step < start[at] + length[at]]
-                if not len(at):
-                    break
-                other = at + step
-                fits = ((side[at] == 2) | (side[at] != side[other])) & (np.bitwise_count(head[at] ^ head[other]) <= near)
-                a.append(node[at[fits]])
-                b.append(node[other[fits]])
-            return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    a, b = [node[:0]], [node[:0]]
+    front, left = np.zeros(1, np.int64), np.arange(1, len(node))
+    while len(left):
+        if not len(front):
+            front, left = left[:1], left[1:]
+            continue
+        take = max(1, (1 << 20) // len(left))
+        now, front = front[:take], front[take:]
+        near = _apart(prints, now[:, None], left[None, :]) <= distance
+        hit = near.any(axis=0)
+        a.append(node[now[near[:, hit].argmax(axis=0)]])
+        b.append(node[left[hit]])
+        front, left = np.concatenate([front, left[hit]]), left[~hit]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _meetings(distance: int, size: int, crowd: int, block: int | None):
+    """Links of rows (key, node, words of the fingerprint) sorted by key and node: one pass that holds a batch and one key's rows.
+
+    Under a key every row is compared with the least node, then those not both linked to it with one another; a link between
+    two rows that are joined anyway may be left out. Keys of more than ``crowd`` rows are searched outwards from the rows
+    already reached. A key of more than ``block`` rows is only counted, (key, null, rows), for another pass to cut up.
+    ``size`` is the width of a segment: under a wiped bit only rows unlike in it are compared. 0 compares all.
+    """
+    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, node, prints = rows[0], rows[1], rows[2:]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.append(begin, len(key)))
+        many = begin[length > 1]
+        start, end = np.repeat(begin, length), np.repeat(begin + length, length)
+        side = np.full(len(key), -1, np.int64)
+        if size:
+            piece = key >> 32
+            bit = piece % 65 - 1
+            for n, p in enumerate(prints):
+                at = np.flatnonzero((piece // 260 == n) & (bit >= 0))
+                side[at] = (p[at] >> (piece[at] % 260 // 65 * size + bit[at]).astype(np.uint64)).astype(np.int64) & 1
+
+        def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return ((side[i] < 0) | (side[i] != side[j])) & (_apart(prints, i, j) <= distance)
+
+        few = np.flatnonzero((end - start > 1) & (end - start <= crowd))
+        few = few[few != start[few]]
+        tied = np.zeros(len(key), bool)
+        tied[few] = fits(start[few], few)
+        hit = np.flatnonzero(tied)
+        a, b = [node[start[hit]]], [node[hit]]
+        for step in range(1, crowd - 1):
+            few = few[few + step < end[few]]
+            if not len(few):
+                break
+            at = few[~(tied[few] & tied[few + step])]
+            at = at[fits(at, at + step)]
+            a.append(node[at])
+            b.append(node[at + step])
+        for lo in many[end[many] - many > crowd].tolist():
+            hi = end[lo]
+            if side[lo] < 0 or (side[lo:hi] != side[lo]).any():
+                for out, found in zip((a, b), _forest(node[lo:hi], [p[lo:hi] for p in prints], distance)):
+                    out.append(found)
+        return found_in(np.concatenate(a), np.concatenate(b))
+
+    def found_in(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "rows"])
+
+    def counted(key: int, rows: int) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([key]), pa.nulls(1, pa.int64()), pa.array([rows], pa.int64())], ["a", "b", "rows"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, over = None, None
         for batch in batches:
-            rows = [batch.column(c).to_numpy() for c in ("piece", "value", "node", "head", "side")]
-            rows[3] = rows[3].view(np.uint64)
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
+            rows = [batch.column(n).to_numpy() for n in range(batch.num_columns)]
+            rows[2:] = [p.view(np.uint64) for p in rows[2:]]
+            if over:
+                here = int(np.searchsorted(rows[0], over[0], side="right"))
+                over[1] += here
+                rows = [x[here:] for x in rows]
             if not len(rows[0]):
                 continue
-            same = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
-            last = int(np.argmax(same))
+            if over:
+                yield counted(*over)
+                over = None
+            if held:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
             if last:
-                yield pairs([x[:last] for x in rows])
+                yield links([x[:last] for x in rows])
             held = [x[last:] for x in rows]
-            if len(held[0]) > 8 * crowd:
-                yield pairs(held)
-                held = [x[: crowd + 1] for x in held]
-        if held is not None:
-            yield pairs(held)
+            if block and len(held[0]) > block:
+                held, over = None, [int(held[0][0]), len(held[0])]
+        if held:
+            yield links(held)
+        if over:
+            yield counted(*over)
 
     return run
 
 
-def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, words_of_64: int = 4, crowd: int = 64) -> DataFrame:
+def _alike(classes: DataFrame, words_of_64: int, size: int, distance: int, crowd: int, block: int) -> DataFrame:
+    """Links (a, b) of the classes (node, fp array) that share a segment, whole or with a bit wiped, and lie within ``distance``.
+
+    They join whatever all such links join. Keys of more than ``block`` rows are cut by a hash of the node into parts that meet pair by pair.
+    """
+    per_word = 64 // size
+    kept_bits = (1 << per_word * size) - 1 if per_word * size < 64 else -1
+    variants = F.concat(*(
+        _variants(F.col("fp")[n].bitwiseAND(F.lit(kept_bits)), per_word * size, size, n * 260) for n in range(words_of_64)))
+    prints = [F.col("fp")[n].alias(f"f{n}") for n in range(words_of_64)]
+    keyed = classes.select("node", *prints, F.explode(variants).alias("k")).select(
+        F.shiftleft(F.col("k.piece").cast("long"), 32).bitwiseOR(F.col("k.value")).alias("key"), "node", *(f"f{n}" for n in range(words_of_64)))
+
+    def met(rows: DataFrame, size: int, block: int | None) -> DataFrame:
+        return materialise(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+            _meetings(distance, size, crowd, block), "a long, b long, rows long").distinct(), "links")
+
+    found = met(keyed, size, block)
+    over = found.where("b is null").select(F.col("a").alias("key"), F.ceil(F.col("rows") * 4 / block).cast("int").alias("parts"))
+    if over.isEmpty():
+        return found.select("a", "b")
+    cut = keyed.join(over, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part")
+    cut = cut.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", *(f"f{n}" for n in range(words_of_64)))
+    return found.where("b is not null").unionByName(met(cut, 0, None)).select("a", "b")
+
+
+def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, words_of_64: int = 4, crowd: int = 64,
+                     block: int = 1 << 18) -> DataFrame:
     """The row of least doc_id of each group of near copies, all columns as they are.
 
     Texts whose sets of ``shingle``-word shingles overlap by ``similarity`` differ in too many bits for a bound of three,
     so a longer fingerprint is used: segments of about log2 of the number of texts, met whole or with one
-    bit wiped, propose pairs, and the angle between the whole fingerprints, which estimates the overlap, decides. A segment that more
-    than ``crowd`` texts share ties each of them to the least doc_id among them instead of to one another. Rows without
-    words form no group, nor do rows without doc_id; of repeated rows one stays.
+    bit wiped, propose pairs, and the angle between the whole fingerprints, which estimates the overlap, decides. Every pair that
+    shares a segment is judged or already joined, however many texts share it: beyond ``crowd`` by search, beyond ``block`` in parts.
+    Rows without words form no group, nor do rows without doc_id; of repeated rows one stays.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,21 +307,9 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     known = prints.where("words and doc_id is not null")
     classes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     size = _bands(classes.count())
-    per_word = 64 // size
     # overlap j of sets is a cosine of 2j / (1 + j); a bit differs with the angle over pi
     distance = math.floor(64 * words_of_64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    kept_bits = (1 << per_word * size) - 1 if per_word * size < 64 else -1
-    variants = F.concat(*(
-        _variants(F.col("fp")[n].bitwiseAND(F.lit(kept_bits)), per_word * size, size, n * 65 * 4) for n in range(words_of_64)))
-    keyed = classes.select("node", F.col("fp")[0].alias("head"), F.explode(variants).alias("k")).select("node", "head", "k.*")
-    # the first 64 bits alone tell nearly all chance meetings
-    near = math.ceil(distance / words_of_64 + 3 * math.sqrt(distance / words_of_64))
-    met = keyed.repartition("piece", "value").sortWithinPartitions("piece", "value", "node")
-    pairs = materialise(met.mapInArrow(_meetings(near, crowd), "a long, b long").distinct(), "pairs")
-    first, second = (classes.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}")) for c in "ab")
-    unlike = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    alike = pairs.join(first, "a").join(second, "b").where(unlike <= distance).select("a", "b")
-    joined = components(alike, "a", "b")
+    joined = components(_alike(classes, words_of_64, size, distance, crowd, block), "a", "b")
     named = classes.join(joined, classes["node"] == joined["node"], "left").select("fp", F.coalesce("component", classes["node"]).alias("first"))
     gone = known.join(named, "fp").where("doc_id <> first").select(F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum"))
     # rows that repeat a doc_id and its text: all but one go as well

@@ -130,6 +130,33 @@ def test_components_of_a_chain(spark):
     assert got == {n: 0 for n in range(1, 41)} | {101: 100}
 
 
+@pytest.mark.parametrize("crowd, block", [(64, 1 << 18), (3, 1 << 18), (3, 8), (64, 30)])
+def test_links_of_alike_fingerprints(spark, crowd, block):
+    r = random.Random(crowd + block)
+    size, words, distance = 16, 2, 20
+    seeds = [[r.getrandbits(64) for _ in range(words)] for _ in range(40)]
+    seeds += [[seeds[0][0], r.getrandbits(64)] for _ in range(60)]  # one segment shared by many that are not alike
+    prints = [tuple(w ^ sum(1 << b for b in r.sample(range(64), r.randrange(7))) for w in seeds[r.choice([0, n])]) for n in range(100) for _ in range(3)]
+    prints = sorted(set(prints) | {tuple(s) for s in seeds})
+
+    def meet(p, q):
+        apart = [(x ^ y).bit_count() for x, y in zip(p, q)]
+        parts = [((x ^ y) >> k & 0xFFFF).bit_count() for x, y in zip(p, q) for k in range(0, 64, size)]
+        return sum(apart) <= distance and min(parts) <= 1
+
+    least = list(range(len(prints)))
+    while True:
+        new = [min([least[i]] + [least[j] for j in range(len(prints)) if meet(prints[i], prints[j])]) for i in range(len(prints))]
+        if new == least:
+            break
+        least = new
+    rows = [(n, [x - (1 << 64) if x >> 63 else x for x in p]) for n, p in enumerate(prints)]
+    found = simhash._alike(spark.createDataFrame(rows, "node long, fp array<long>").repartition(3), words, size, distance, crowd, block)
+    got = {x.node: x.component for x in components(found, "a", "b").collect()}
+    assert got == {n: c for n, c in enumerate(least) if n != c or least.count(c) > 1 and n in got} and sum(n != c for n, c in got.items())
+    assert all(meet(prints[x.a], prints[x.b]) or sum((i ^ j).bit_count() for i, j in zip(prints[x.a], prints[x.b])) <= distance for x in found.collect())
+
+
 def test_keep_one_of_each(spark, corpus):
     r = random.Random(2)
     words = [f"w{r.randrange(3000)}" for _ in range(400)]
