@@ -25,6 +25,8 @@ from parley.sources.store import materialise
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: A key met by more fingerprints than this is cut further.
 CROWD = 256
+#: Bytes of unfolded variants that one task sorts.
+TASK_BYTES = 64 << 20
 
 
 def _vote(hashes: np.ndarray) -> int:
@@ -256,31 +258,45 @@ def _meetings(distance: int, size: int, crowd: int, block: int | None):
     return run
 
 
-def _alike(classes: DataFrame, words_of_64: int, size: int, distance: int, crowd: int, block: int) -> DataFrame:
+def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance: int, crowd: int, block: int) -> DataFrame:
     """Links (a, b) of the classes (node, fp array) that share a segment, whole or with a bit wiped, and lie within ``distance``.
 
-    They join whatever all such links join. Keys of more than ``block`` rows are cut by a hash of the node into parts that meet pair by pair.
+    They join whatever all such links join. ``count`` is the number of classes. Keys of more than ``block`` rows are cut by a hash of the node into parts that meet pair by pair.
     """
-    per_word = 64 // size
-    kept_bits = (1 << per_word * size) - 1 if per_word * size < 64 else -1
-    variants = F.concat(*(
-        _variants(F.col("fp")[n].bitwiseAND(F.lit(kept_bits)), per_word * size, size, n * 260) for n in range(words_of_64)))
-    prints = [F.col("fp")[n].alias(f"f{n}") for n in range(words_of_64)]
-    keyed = classes.select("node", *prints, F.explode(variants).alias("k")).select(
-        F.shiftleft(F.col("k.piece").cast("long"), 32).bitwiseOR(F.col("k.value")).alias("key"), "node", *(f"f{n}" for n in range(words_of_64)))
+    per_word, low = 64 // size, size // 2
+    names = [f"f{n}" for n in range(words_of_64)]
+    # a segment's variants wiped in one half agree in the other half: they travel as one row and unfold where they meet
+    slots = []
+    for n in range(words_of_64):
+        for m in range(per_word):
+            part = F.shiftrightunsigned(F.col("fp")[n], m * size).bitwiseAND(F.lit((1 << size) - 1))
+            for first, end, intact in ((-1, low, F.shiftright(part, low)), (low, size, part.bitwiseAND(F.lit((1 << low) - 1)))):
+                slots.append(F.struct(
+                    F.lit(n * 260 + m * 65).alias("piece"), F.lit(first).alias("first"), F.lit(end - 1).alias("last"),
+                    part.alias("part"), intact.alias("intact")))
+    held = classes.select("node", *(F.col("fp")[n].alias(c) for n, c in enumerate(names)), F.explode(F.array(*slots)).alias("k")).select(
+        "node", *names, "k.*")
+
+    def variants(rows: DataFrame) -> DataFrame:
+        bit = F.explode(F.sequence("first", "last")).alias("bit")
+        wiped = F.when(F.col("bit") < 0, F.col("part")).otherwise(
+            F.col("part").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.col("bit"), F.lit(0))))))
+        key = F.shiftleft((F.col("piece") + 1 + F.col("bit")).cast("long"), 32).bitwiseOR(wiped)
+        return rows.select("*", bit).select(key.alias("key"), "node", *names)
 
     def met(rows: DataFrame, size: int, block: int | None) -> DataFrame:
-        return materialise(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
+        return materialise(rows.sortWithinPartitions("key", "node").mapInArrow(
             _meetings(distance, size, crowd, block), "a long, b long, rows long").distinct(), "links")
 
-    found = met(keyed, size, block)
+    tasks = math.ceil(count * words_of_64 * per_word * (size + 1) * 8 * (words_of_64 + 5) / TASK_BYTES)
+    found = met(variants(held.repartition(max(1, tasks), "piece", "first", "intact")), size, block)
     over = found.where("b is null").select(F.col("a").alias("key"), F.ceil(F.col("rows") * 4 / block).cast("int").alias("parts"))
     if over.isEmpty():
         return found.select("a", "b")
-    cut = keyed.join(over, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn(
+    cut = variants(held).join(over, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part")
-    cut = cut.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", *(f"f{n}" for n in range(words_of_64)))
-    return found.where("b is not null").unionByName(met(cut, 0, None)).select("a", "b")
+    cut = cut.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", *names)
+    return found.where("b is not null").unionByName(met(cut.repartition("key"), 0, None)).select("a", "b")
 
 
 def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, words_of_64: int = 4, crowd: int = 64,
@@ -306,10 +322,11 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     prints = materialise(narrow.mapInArrow(run, "doc_id long, fp array<long>, words boolean, sum long"), "prints")
     known = prints.where("words and doc_id is not null")
     classes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    size = _bands(classes.count())
+    count = classes.count()
+    size = _bands(count)
     # overlap j of sets is a cosine of 2j / (1 + j); a bit differs with the angle over pi
     distance = math.floor(64 * words_of_64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    joined = components(_alike(classes, words_of_64, size, distance, crowd, block), "a", "b")
+    joined = components(_alike(classes, count, words_of_64, size, distance, crowd, block), "a", "b")
     named = classes.join(joined, classes["node"] == joined["node"], "left").select("fp", F.coalesce("component", classes["node"]).alias("first"))
     gone = known.join(named, "fp").where("doc_id <> first").select(F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum"))
     # rows that repeat a doc_id and its text: all but one go as well
