@@ -1,5 +1,9 @@
 """Connected components by alternating stars: joins and sums only, no group is ever gathered."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return below.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def forest(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """Links (a, b) that join whatever the links (a, b) of ``edges`` join: of each ``block`` links one for each node but the least of its group.
+
+    A dense group has far more links than nodes; the joins that follow then meet the nodes only. Links hold no nulls.
+    """
+    def shrink(links: list[np.ndarray]) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate(links), return_inverse=True)
+        a, b = at[: len(links[0])], at[len(links[0]):]
+        least = np.arange(len(nodes))
+        while True:
+            la, lb = least[a], least[b]
+            if (la == lb).all():
+                break
+            np.minimum.at(least, np.maximum(la, lb), np.minimum(la, lb))
+            while (least != least[least]).any():
+                least = least[least]
+        rest = np.flatnonzero(least != np.arange(len(nodes)))
+        return pa.record_batch([pa.array(nodes[least[rest]]), pa.array(nodes[rest])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            rows += len(batch)
+            if rows >= block:
+                yield shrink([np.concatenate(x) for x in zip(*held)])
+                held, rows = [], 0
+        if rows:
+            yield shrink([np.concatenate(x) for x in zip(*held)])
+
+    return edges.select("a", "b").coalesce(max(1, -(-edges.count() // block))).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): for each node with an edge to another, the least node it can reach.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.flat import mix, text_bytes
-from parley.llm.graph import components
+from parley.llm.graph import components, forest
 from parley.sources.store import materialise
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -261,7 +261,8 @@ def _meetings(distance: int, size: int, crowd: int, block: int | None):
 def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance: int, crowd: int, block: int) -> DataFrame:
     """Links (a, b) of the classes (node, fp array) that share a segment, whole or with a bit wiped, and lie within ``distance``.
 
-    They join whatever all such links join. ``count`` is the number of classes. Keys of more than ``block`` rows are cut by a hash of the node into parts that meet pair by pair.
+    They join whatever all such links join. ``count`` is the number of classes. Keys of
+    more than ``block`` rows are cut by a hash of the node into parts that meet pair by pair.
     """
     per_word, low = 64 // size, size // 2
     names = [f"f{n}" for n in range(words_of_64)]
@@ -326,7 +327,7 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     size = _bands(count)
     # overlap j of sets is a cosine of 2j / (1 + j); a bit differs with the angle over pi
     distance = math.floor(64 * words_of_64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    joined = components(_alike(classes, count, words_of_64, size, distance, crowd, block), "a", "b")
+    joined = components(forest(_alike(classes, count, words_of_64, size, distance, crowd, block)), "a", "b")
     named = classes.join(joined, classes["node"] == joined["node"], "left").select("fp", F.coalesce("component", classes["node"]).alias("first"))
     gone = known.join(named, "fp").where("doc_id <> first").select(F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum"))
     # rows that repeat a doc_id and its text: all but one go as well

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import (
     decontaminate, flat, mixing, neighbours, quality, queries, reputation, simhash, substring, suffix_windows, tokens, warc)
-from parley.llm.graph import components
+from parley.llm.graph import components, forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -130,6 +130,17 @@ def test_components_of_a_chain(spark):
     assert got == {n: 0 for n in range(1, 41)} | {101: 100}
 
 
+@pytest.mark.parametrize("block", [5, 1 << 20])
+def test_forest_joins_the_same(spark, block):
+    r = random.Random(block)
+    edges = spark.createDataFrame([(r.randrange(90), r.randrange(90) + 30 * r.randrange(2)) for _ in range(70)] + [
+        (a, b) for a in range(200, 220) for b in range(200, 220)], "a long, b long")
+    whole, less = components(edges, "a", "b"), forest(edges, block)
+    assert sorted(components(less, "a", "b").collect()) == sorted(whole.collect())
+    assert block < 100 or less.count() < 120
+    assert forest(edges.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("crowd, block", [(64, 1 << 18), (3, 1 << 18), (3, 8), (64, 30)])
 def test_links_of_alike_fingerprints(spark, crowd, block):
     r = random.Random(crowd + block)
