@@ -5,6 +5,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.answers import remember
 from parley.operators.ordered import block_of, dense_ids
 from parley.operators.skew import skew_join
 
@@ -187,26 +188,42 @@ def skip_reason(transcribe_audio: bool = True, max_video_mb: int = MAX_VIDEO_MB)
 
 UNDERSTANDING = "description string, transcript string, ocr_text string, detected_objects array<string>, status string, error string, model_used string"
 _TOLD = ["description", "transcript", "ocr_text", "detected_objects", "model_used"]
+#: Files in one call of the model.
+DESCRIBE_BATCH = 64
 
 
 def describe_files(files: DataFrame, describe: Callable) -> DataFrame:
     """Run the pluggable model over distinct files; ``describe`` maps a pandas frame to one
-    with the UNDERSTANDING columns in the same row order."""
+    with the UNDERSTANDING columns in the same row order. A call that fails is repeated file by
+    file; a file that fails again gets the status ``error`` and its message."""
 
     def run(batches):
+        import pandas as pd
+
+        def told(part):
+            try:
+                out = describe(part)
+            except Exception as problem:
+                if len(part) > 1:
+                    return pd.concat([told(part.iloc[i:i + 1].reset_index(drop=True)) for i in range(len(part))])
+                out = pd.DataFrame({c: [None] for c in _TOLD} | {"status": ["error"], "error": [f"{type(problem).__name__}: {problem}"]})
+            out.insert(0, "content_hash", part["content_hash"].to_numpy())
+            return out
+
         for pdf in batches:
-            told = describe(pdf)
-            told.insert(0, "content_hash", pdf["content_hash"].to_numpy())
-            yield told
+            for at in range(0, len(pdf), DESCRIBE_BATCH):
+                yield told(pdf.iloc[at:at + DESCRIBE_BATCH].reset_index(drop=True))
 
     return files.mapInPandas(run, f"content_hash string, {UNDERSTANDING}")
 
 
-def enrich_media(media: DataFrame, cache: DataFrame, describe: Callable, **rules) -> tuple[DataFrame, DataFrame]:
-    """(media with what is in it, new cache rows).
+def enrich_media(media: DataFrame, cache: DataFrame, describe: Callable, path: str | None = None,
+                 **rules) -> tuple[DataFrame, DataFrame]:
+    """(media with what is in it, new cache rows), both read from the stored answers.
 
     Each distinct content is described once: a cache hit, else the model, else the reason to
-    skip. Failures reach the rows but not the cache, so they are tried again.
+    skip. Failures reach the rows but not the cache, so they are tried again. A rerun with the
+    same ``path`` asks only what has no answer there.
     """
     todo = media.where("readable AND status = 'pending'")
     distinct = todo.groupBy("content_hash").agg(
@@ -221,7 +238,7 @@ def enrich_media(media: DataFrame, cache: DataFrame, describe: Callable, **rules
         "content_hash", *[F.lit(None).cast("array<string>" if c == "detected_objects" else "string").alias(c) for c in _TOLD],
         F.lit("skipped").alias("status"), F.col("_skip").alias("error"), F.lit("skipped").alias("outcome"))
     asked = missing.where("_skip IS NULL").drop("_skip")
-    described = describe_files(asked, describe).withColumn(
+    described = remember(asked, "content_hash", lambda rows: describe_files(rows, describe), path).withColumn(
         "outcome", F.when(F.col("status") == "done", "described").otherwise(F.col("status")))
     told = known.unionByName(skipped).unionByName(described)
     plain = media.withColumnsRenamed({c: f"_{c}" for c in ("status", "error", *_TOLD)})

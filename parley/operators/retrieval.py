@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions.text import body_hash, display_date, strip, tokens
+from parley.operators.answers import remember
 from parley.operators.media import EMBED_BATCH
 from parley.operators.ordered import block_of, dense_ids, totals_across
 from parley.operators.skew import checked_broadcast, skew_join, spread_join
@@ -231,6 +232,28 @@ def embed_texts(texts: DataFrame, embed: Callable, key: str, body: str, batch: i
     return texts.select(key, body).mapInPandas(run, f"{key} string, embedding array<float>")
 
 
+def embed_or_tell(texts: DataFrame, embed: Callable, key: str, body: str, batch: int = EMBED_BATCH) -> DataFrame:
+    """(key, embedding, error): a call that fails is repeated text by text; what fails again carries the error."""
+
+    def run(batches):
+        import pandas as pd
+
+        def told(part):
+            try:
+                vectors = list(embed(part[body].tolist()))
+                return pd.DataFrame({key: part[key].to_numpy(), "embedding": vectors, "error": None})
+            except Exception as problem:
+                if len(part) > 1:
+                    return pd.concat([told(part.iloc[i:i + 1]) for i in range(len(part))])
+                return pd.DataFrame({key: part[key].to_numpy(), "embedding": [None], "error": f"{type(problem).__name__}: {problem}"})
+
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                yield told(pdf.iloc[at:at + batch])
+
+    return texts.select(key, body).mapInPandas(run, f"{key} string, embedding array<float>, error string")
+
+
 def split_missing(chunks: DataFrame, vectors: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks without a vector: (those whose body is cached, distinct bodies still to embed)."""
     todo = chunks.join(vectors.select("archive_id", "chunk_id"), ["archive_id", "chunk_id"], "left_anti")
@@ -242,10 +265,14 @@ def split_missing(chunks: DataFrame, vectors: DataFrame, cache: DataFrame) -> tu
 
 
 def embed_missing(chunks: DataFrame, vectors: DataFrame, cache: DataFrame, embed: Callable,
-                  batch: int = EMBED_BATCH) -> tuple[DataFrame, DataFrame]:
-    """(new vectors, new cache rows): each distinct text is embedded once."""
+                  batch: int = EMBED_BATCH, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new vectors, new cache rows): each distinct text is embedded once, and both are read from the stored answers.
+
+    Texts the model fails on get no vector and stay pending. A rerun with the same ``path`` asks only what is left.
+    """
     cached, missing = split_missing(chunks, vectors, cache)
-    fresh = embed_texts(missing, embed, "body_hash", "body", batch)
+    told = remember(missing, "body_hash", lambda rows: embed_or_tell(rows, embed, "body_hash", "body", batch), path)
+    fresh = told.where("error IS NULL").select("body_hash", "embedding")
     todo = chunks.join(vectors.select("archive_id", "chunk_id"), ["archive_id", "chunk_id"], "left_anti")
     filled = skew_join(todo.select("archive_id", "chunk_id", "body_hash"), fresh, ["body_hash"], ["archive_id", "chunk_id"])
     return cached.unionByName(filled.select("archive_id", "chunk_id", "embedding")), fresh
