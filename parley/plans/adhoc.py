@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 MAX_ROWS = 500
 VIEWS = ("messages", "participants", "media", "chunks", "v_messages", "v_media", "v_searchable")
 TABLE_FUNCTIONS = ("sessions_at", "explode", "explode_outer", "posexplode", "inline", "stack", "range")
-# Functions that leave the query: they call arbitrary JVM code or show the environment.
-REFUSED_FUNCTIONS = ("reflect", "java_method", "try_reflect", "input_file_name", "version")
+# Groups of Spark's own functions that a query may call. The group of the rest calls JVM code or shows the environment;
+# functions registered by users have no group.
+FUNCTION_GROUPS = (
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "datetime_funcs",
+    "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs",
+    "struct_funcs", "url_funcs", "window_funcs",
+)
 # Node types of a plain query; anything else (commands, writes, scripts) is refused.
 QUERY_NODES = {
     "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Join", "SubqueryAlias",
@@ -71,7 +76,7 @@ def _check(spark: SparkSession, query: str) -> None:
 
     def walk_expression(expr):
         if expr.getClass().getSimpleName() == "UnresolvedFunction":
-            functions.add(expr.nameParts().last().lower())
+            functions.add(expr.nameParts().mkString(".").lower())
         for child in _items(expr.children()):
             walk_expression(child)
 
@@ -103,25 +108,38 @@ def _check(spark: SparkSession, query: str) -> None:
             walk(child, known)
 
     walk(plan, frozenset())
-    bad = functions & set(REFUSED_FUNCTIONS)
-    if bad:
-        raise PermissionError(f"function {sorted(bad)[0]} is not allowed")
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    for name in sorted(functions):
+        known = registry.lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+        if known.isEmpty() or known.get().getGroup() not in FUNCTION_GROUPS:
+            raise PermissionError(f"function {name} is not allowed")
 
 
-def publish(spark: SparkSession, archive_id, views: dict[str, DataFrame]) -> None:
-    """Register the views of one archive and the ``sessions_at`` table function."""
+def publish(spark: SparkSession, archive_id, views: dict[str, DataFrame]) -> SparkSession:
+    """A session of its own with the views of one archive and the ``sessions_at`` table function.
+
+    Sessions share the cluster and its cached data, not their views: several archives are open at once, and a query
+    sees the one its session was made for. Settings are those of ``spark`` at this moment.
+    """
     from parley.operators.sessions import SESSIONS_AT_SQL
 
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            session.conf.set(name, value)
+    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
     for name, df in views.items():
         if name not in VIEWS:
             raise ValueError(f"{name} is not a published view")
-        df.where(F.col("archive_id") == F.lit(archive_id)).createOrReplaceTempView(name)
+        shown = df.where(F.col("archive_id") == F.lit(archive_id))
+        dataset.ofRows(session._jsparkSession, shown._jdf.logicalPlan()).createOrReplaceTempView(name)
     if "messages" in views:
-        spark.sql(SESSIONS_AT_SQL)
+        session.sql(SESSIONS_AT_SQL)
+    return session
 
 
 def run_sql(spark: SparkSession, query: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """One read-only query over the published views: up to ``max_rows`` rows, and in ``truncated`` whether there were more.
+    """One read-only query over the views of a session that ``publish`` made: up to ``max_rows`` rows, and in ``truncated`` whether there were more.
 
     Spark's own parser decides what the text is. Raises PermissionError for anything but a
     query over published names, and Spark's ParseException for several statements.

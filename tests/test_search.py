@@ -121,6 +121,55 @@ def test_embed_once_per_text(spark):
     assert [r.body_hash for r in fresh.collect()] == ["h1"]
 
 
+def test_answers_are_asked_once_and_resumed(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    chunks = spark.createDataFrame([(0, i, f"h{i}", f"text {i}") for i in range(5)], "archive_id int, chunk_id long, body_hash string, body string")
+    have = chunks.limit(0).select("archive_id", "chunk_id")
+    cache = spark.createDataFrame([], "body_hash string, embedding array<float>")
+
+    def embed(texts):
+        calls.add(len(texts))
+        return [[float(len(t))] for t in texts]
+
+    def moody(texts):
+        if "text 3" in texts:
+            raise RuntimeError("busy")
+        return [[1.0] for _ in texts]
+
+    vectors, fresh = R.embed_missing(chunks, have, cache, embed)
+    assert vectors.count() == 5 and fresh.count() == 5 and calls.value == 5
+    path = str(tmp_path / "answers")
+    vectors, fresh = R.embed_missing(chunks, have, cache, moody, path=path)
+    assert {r.body_hash for r in fresh.collect()} == {"h0", "h1", "h2", "h4"} == {f"h{r.chunk_id}" for r in vectors.collect()}
+    errors = spark.read.parquet(path).where("error IS NOT NULL").collect()
+    assert [(r.body_hash, r.error) for r in errors] == [("h3", "RuntimeError: busy")]
+    calls.value = 0
+    vectors, _ = R.embed_missing(chunks, have, cache, embed, path=path)
+    assert calls.value == 1 and {r.chunk_id: r.embedding for r in vectors.collect()} == {0: [1.0], 1: [1.0], 2: [1.0], 3: [6.0], 4: [1.0]}
+
+
+def test_a_broken_round_keeps_the_rounds_before(spark, tmp_path):
+    from parley.operators.answers import remember
+
+    work = spark.range(40).selectExpr("CAST(id AS STRING) AS k")
+    path, seen = str(tmp_path / "answers"), []
+
+    def ask(rows):
+        out = rows.selectExpr("k", "k AS said", "CAST(NULL AS STRING) AS error")
+        seen.append(rows)
+        if len(seen) == 4:  # the first call only tells the schema
+            raise RuntimeError("lost")
+        return out
+
+    with pytest.raises(RuntimeError):
+        remember(work, "k", ask, path, round_rows=10)
+    done = spark.read.parquet(path).count()
+    assert 0 < done < 40
+    seen.extend([None] * 9)
+    told = remember(work, "k", ask, path, round_rows=10)
+    assert told.count() == 40 and spark.read.parquet(path).count() == 40
+
+
 def test_hybrid_reinforces_and_interleaves(spark):
     c = content(spark, [(s, "A", "text", t) for s, t in enumerate(["red fox", "blue whale", "green tree", "red whale"])])
     docs = c.select("archive_id", F.col("msg_id").alias("doc_id"), "content")
@@ -141,12 +190,15 @@ def test_hybrid_reinforces_and_interleaves(spark):
 def test_run_sql(spark):
     rows = spark.createDataFrame([(0, i, AT, "p", "text", None, "it's; a 'drop'") for i in range(600)] + [(1, 0, AT, "q", "text", None, "other")],
                                  "archive_id int, msg_id long, ts timestamp_ntz, participant_id string, msg_type string, gap_seconds double, text string")
-    adhoc.publish(spark, 0, {"messages": rows})
+    spark.range(3).createOrReplaceTempView("hidden_view")
+    base, spark = spark, adhoc.publish(spark, 0, {"messages": rows})
+    other = adhoc.publish(base, 1, {"messages": rows})
+    assert adhoc.run_sql(other, "SELECT text FROM messages").collect()[0].text == "other"
+    assert other.conf.get("spark.sql.session.timeZone") == "UTC" and not base.catalog.tableExists("messages")
     capped = adhoc.run_sql(spark, "SELECT * FROM messages LIMIT 1000")
     assert capped.count() == 500 and capped.select("truncated").distinct().first().truncated
     few = adhoc.run_sql(spark, "SELECT msg_id FROM messages ORDER BY msg_id DESC LIMIT 3").collect()
     assert [r.truncated for r in few] == [False] * 3 and few[0].msg_id > few[2].msg_id
-    spark.range(3).createOrReplaceTempView("hidden_view")
     for text in ("SELECT hidden_view.id FROM hidden_view AS hidden_view WHERE 'with hidden_view as (' <> ''",
                  "SELECT * FROM (WITH hidden_view AS (SELECT 1 AS id) SELECT * FROM hidden_view) a JOIN hidden_view USING (id)",
                  "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a", "SELECT (SELECT max(id) FROM hidden_view)"):
@@ -156,6 +208,17 @@ def test_run_sql(spark):
     assert adhoc.run_sql(spark, "SELECT count(*) FROM messages WHERE text LIKE '%drop%' AND text LIKE '%;%'").first()[0] == 600
     assert adhoc.run_sql(spark, "WITH x AS (SELECT archive_id FROM messages) SELECT max(archive_id) m FROM x").first().m == 0
     assert adhoc.run_sql(spark, "SELECT count(*) FROM sessions_at(2.0D)").first()[0] == 600
+    told = adhoc.run_sql(spark, "SELECT upper(text) || '!' t, if(msg_id > 1, 1, 0) i, row_number() OVER (ORDER BY ts) r, filter(array(1, 2), x -> x > 1) f, "
+                                "date_format(ts, 'HH') h, CAST(msg_id AS STRING) s FROM messages WHERE msg_id IN (2, 3) ORDER BY r").first()
+    assert (told.t, told.i, told.r, told.f, told.h, told.s) == ("IT'S; A 'DROP'!", 1, 1, [2], "10", "2")
+
+
+def test_functions_are_allowed_by_name(spark):
+    spark.udf.register("leak", lambda: "x")
+    for text in ("SELECT leak()", "SELECT current_user()", "SELECT input_file_name()", "SELECT spark_partition_id()", "SELECT no_such_function(1)",
+                 "SELECT sum(1) FILTER (WHERE version() = '')", "SELECT transform(array(1), x -> java_method('a', 'b'))", "SELECT default.upper('x')"):
+        with pytest.raises(PermissionError):
+            adhoc.run_sql(spark, text)
 
 
 @pytest.mark.parametrize("query", [
@@ -217,6 +280,19 @@ def test_describe_each_content_once(spark):
     assert [r.content_hash for r in fresh.collect()] == ["b"]
 
 
+def test_one_bad_file_does_not_end_the_job(spark):
+    files = spark.createDataFrame([(h,) for h in "abc"], "content_hash string").coalesce(1)
+
+    def describe(pdf):
+        if (pdf["content_hash"] == "b").any():
+            raise ValueError("no picture")
+        return pd.DataFrame({"description": pdf["content_hash"], "transcript": None, "ocr_text": None, "detected_objects": None,
+                             "status": "done", "error": None, "model_used": "m"})
+
+    got = {r.content_hash: (r.description, r.status, r.error) for r in M.describe_files(files, describe).collect()}
+    assert got == {"a": ("a", "done", None), "b": (None, "error", "ValueError: no picture"), "c": ("c", "done", None)}
+
+
 def test_moments_need_a_known_kind(spark):
     from parley.plans.insights import find_moments
 
