@@ -7,6 +7,7 @@ from parley.operators import linkage as L
 from parley.operators import parse as T
 from parley.operators.media import catalog_columns
 from parley.operators.sessions import drop_system
+from parley.plans import ingest
 from parley.registry import sqltext as Q
 from parley.registry.core import query
 from parley.sources import adapters, exports, store
@@ -425,6 +426,24 @@ def _(w):
     return w.spark.read.parquet(path)
 
 
+# Archive 3 is offered the chat of strangers, archive 4 nothing but notices: both stay as they were stored.
+@query("ingest_merge", Q.E + """SELECT archive_id, msg_id, ts, session_id,
+    CASE WHEN archive_id NOT IN (3, 4) AND ts >= TIMESTAMP '2024-01-10 00:00:00' THEN attachment END AS attachment,
+    CASE WHEN msg_type = 'media' AND (archive_id IN (3, 4) OR ts < TIMESTAMP '2024-01-10 00:00:00') THEN '' ELSE text END AS text
+    FROM m WHERE archive_id NOT IN (3, 4) OR ts < TIMESTAMP '2024-01-20 00:00:00'""")
+def _(w):
+    rows = _events(w)
+    old = rows.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).withColumn("attachment", F.lit(None).cast("string")).withColumn(
+        "text", F.when(F.col("msg_type") == "media", "").otherwise(F.col("text")))
+    new = rows.where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).withColumns({
+        "sender": F.when(F.col(A) == 3, F.concat(F.lit("stranger "), "sender")).otherwise(F.col("sender")),
+        "msg_type": F.when(F.col(A) == 4, "system").otherwise(F.col("msg_type"))})
+    path = store.new_table_path(w.spark, "archives")
+    store.write_messages(ingest.prepare(old, gap_hours=1.0).messages, path)
+    ingest.merge_into(path, new, "merge", gap_hours=1.0)
+    return w.spark.read.parquet(path).select(A, "msg_id", "ts", "session_id", "attachment", "text")
+
+
 # The incoming export of an archive also holds people of the next archive.
 @query("participant_overlap", f"""WITH {Q.RAW_E}, old AS (SELECT DISTINCT archive_id, sender FROM raw WHERE ts < TIMESTAMP '2024-01-03 00:00:00'),
 new AS (SELECT archive_id, sender FROM raw UNION SELECT (archive_id + 1) % 10, sender FROM raw WHERE msg_type = 'media'),
