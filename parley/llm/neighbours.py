@@ -2,14 +2,16 @@
 
 Equal vectors are one node. The graph starts from cells of neighbours along random directions; each round joins every node's neighbours
 (and those it is a neighbour of) with their vectors, compares them with each other, and keeps for each node the best it
-has met. The finished lists, both ways, are stored bucketed by node with the neighbours' vectors in bytes, so a search step moves only the nodes
-to be opened. A search opens the most promising nodes of its pool, round by round; what it ends with is scored again on the original vectors.
+has met. The finished lists, both ways, are stored bucketed by node with the neighbours' vectors, so a search step moves only the nodes
+to be opened. A search opens the most promising nodes of its pool, round by round. Vectors travel as unit vectors of 32-bit floats and are compared in 64 bits; whatever the
+rounding leaves undecided is scored on the original vectors.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from parley.sources.store import materialise, new_table_path
 
 _GRAPH = "node long, near binary, sims binary"
+#: By how much rounding the two unit vectors to 32 bits can move a cosine, at most.
+ROUNDING = 2.0 ** -22
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -49,6 +53,11 @@ def _bytes_of(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
+def _units(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    x = _bytes_of(column, "<f4", width).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _best(owner: np.ndarray, near: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of (owner, near) pairs, repeated ones and loops aside, the ``k`` most alike of each owner, with their rank."""
     keep = owner != near
@@ -72,7 +81,7 @@ def _lists(owner: np.ndarray, near: np.ndarray, sims: np.ndarray) -> pa.RecordBa
     """One row for each owner (sorted): its neighbours and similarities as bytes."""
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1])))
     last = np.append(first[1:], len(owner))
-    near, sims = near.astype("<i8"), sims.astype("<f4")
+    near, sims = near.astype("<i8"), sims.astype("<f8")
     return pa.record_batch([
         pa.array(owner[first], pa.int64()), pa.array([near[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
         pa.array([sims[a:b].tobytes() for a, b in zip(first, last)], pa.binary())], ["node", "near", "sims"])
@@ -84,7 +93,7 @@ def _merge(proposals: DataFrame, k: int) -> DataFrame:
         for table in _runs(batches, "node"):
             sizes = [len(x) // 8 for x in table.column("near").to_pylist()]
             owner = np.repeat(table.column("node").to_numpy(), sizes)
-            near, sims = _bytes_of(table.column("near"), "<i8", 1)[:, 0], _bytes_of(table.column("sims"), "<f4", 1)[:, 0]
+            near, sims = _bytes_of(table.column("near"), "<i8", 1)[:, 0], _bytes_of(table.column("sims"), "<f8", 1)[:, 0]
             owner, near, sims, _ = _best(owner, near, sims, k)
             yield _lists(owner, near, sims)
 
@@ -96,7 +105,7 @@ def _start(nodes: DataFrame, width: int, k: int, rounds: int, cell: int, seed: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("node").to_numpy()
-            vectors = _bytes_of(batch.column("vec"), "i1", width).astype(np.float32) / 127
+            vectors = _units(batch.column("vec"), width)
             for lo in range(0, len(ids), cell):
                 part, own = vectors[lo: lo + cell], ids[lo: lo + cell]
                 sims = part @ part.T
@@ -112,7 +121,7 @@ def _start(nodes: DataFrame, width: int, k: int, rounds: int, cell: int, seed: i
         def along(vec, direction=direction):
             import pandas as pd
 
-            return pd.Series(np.frombuffer(b"".join(vec), "i1").reshape(-1, width) @ direction)
+            return pd.Series(np.frombuffer(b"".join(vec), "<f4").reshape(-1, width) @ direction)
 
         placed = materialise(nodes.select("node", "vec", along("vec").alias("along")), "directions")
         part = placed.repartitionByRange(n, "along").sortWithinPartitions("along").mapInArrow(run, _GRAPH)
@@ -127,9 +136,9 @@ def _edges(graph: DataFrame, back: int) -> DataFrame:
             near = batch.column("near").to_pylist()
             node = np.repeat(batch.column("node").to_numpy(), [len(x) // 8 for x in near])
             yield pa.record_batch([pa.array(node), pa.array(np.frombuffer(b"".join(near), "<i8")),
-                                   pa.array(np.frombuffer(b"".join(batch.column("sims").to_pylist()), "<f4"))], ["node", "other", "sim"])
+                                   pa.array(np.frombuffer(b"".join(batch.column("sims").to_pylist()), "<f8"))], ["node", "other", "sim"])
 
-    flat = graph.mapInArrow(run, "node long, other long, sim float")
+    flat = graph.mapInArrow(run, "node long, other long, sim double")
     rank = F.row_number().over(Window.partitionBy("other").orderBy(F.desc("sim"), "node"))
     reverse = flat.withColumn("r", rank).where(F.col("r") <= back).select(F.col("other").alias("node"), F.col("node").alias("other"))
     return flat.select("node", "other").unionByName(reverse)
@@ -143,7 +152,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, offer: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in map(_once, _runs(batches, "node")):
             owner, ids = table.column("node").to_numpy(), table.column("other").to_numpy()
-            vectors = _bytes_of(table.column("vec"), "i1", width).astype(np.float32) / 127
+            vectors = _units(table.column("vec"), width)
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             sizes = np.diff(np.append(first, len(owner)))
             for lo in range(0, len(first), 256):
@@ -162,7 +171,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, offer: int)
                 value = np.take_along_axis(sims, best, axis=2)
                 group, member = np.nonzero(real)
                 near = ids[take[group[:, None], best[group, member]]].astype("<i8")
-                value = value[group, member].astype("<f4")
+                value = value[group, member].astype("<f8")
                 fine = value > -1.5
                 yield pa.record_batch([
                     pa.array(ids[take[group, member]], pa.int64()),
@@ -174,7 +183,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, width: int, k: int, offer: int)
 
 
 def build_graph(nodes: DataFrame, width: int, k: int = 24, rounds: int = 4, starts: int = 4, cell: int = 256, offer: int = 8, seed: int = 11) -> DataFrame:
-    """(node, near, sims): up to ``k`` near nodes of each, from ``nodes`` (node, vec: bytes of ``width`` signed numbers)."""
+    """(node, near, sims): up to ``k`` near nodes of each, from ``nodes`` (node, vec: ``width`` 32-bit floats as bytes)."""
     graph = materialise(_merge(_start(nodes, width, k, starts, cell, seed), k), "graph")
     for _ in range(rounds):
         graph = materialise(_descend(graph, nodes, width, k, offer), "graph")
@@ -182,15 +191,16 @@ def build_graph(nodes: DataFrame, width: int, k: int = 24, rounds: int = 4, star
 
 
 def _adjacent(graph: DataFrame, nodes: DataFrame, width: int, back: int) -> DataFrame:
-    """The graph both ways with the neighbours' vectors, stored bucketed by node."""
-    spark = graph.sparkSession
+    """The graph both ways with the neighbours' vectors, stored bucketed by node in rows of some 4 KB, so that batches stay small."""
+    spark, per = graph.sparkSession, max(1, 1024 // width)
     met = _edges(graph, back).join(nodes.select(F.col("node").alias("other"), "vec"), "other").select("node", "other", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in map(_once, _runs(batches, "node")):
             owner, ids = table.column("node").to_numpy(), table.column("other").to_numpy().astype("<i8")
-            vectors = _bytes_of(table.column("vec"), "i1", width)
+            vectors = _bytes_of(table.column("vec"), "<f4", width)
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            first = np.concatenate([np.arange(a, b, per) for a, b in zip(first, np.append(first[1:], len(owner)))])
             last = np.append(first[1:], len(owner))
             yield pa.record_batch([
                 pa.array(owner[first]), pa.array([ids[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
@@ -203,18 +213,23 @@ def _adjacent(graph: DataFrame, nodes: DataFrame, width: int, back: int) -> Data
     return spark.table(name)
 
 
-_POOL = "query long, own binary, near binary, sims binary, opened binary"
+_POOL = "query long, own binary, near binary, sims binary, opened binary, unopened int"
+
+_COLUMNS = ["query", "own", "near", "sims", "opened", "unopened"]
+
 
+def _pool_step(pool: int, sure: int) -> Callable:
+    """Merges what a round found into each query's pool of the most alike nodes, opened ones marked.
 
-def _pool_step(pool: int) -> Callable:
-    """Merges what a round found into each query's pool of the most alike nodes, opened ones marked."""
+    The pool holds ``pool`` nodes and all that the rounding of vectors cannot tell from the one at place ``sure``.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "query"):
             sizes = [len(x) // 8 for x in table.column("near").to_pylist()]
             owner = np.repeat(table.column("query").to_numpy(), sizes)
-            near, sims = _bytes_of(table.column("near"), "<i8", 1)[:, 0], _bytes_of(table.column("sims"), "<f4", 1)[:, 0]
+            near, sims = _bytes_of(table.column("near"), "<i8", 1)[:, 0], _bytes_of(table.column("sims"), "<f8", 1)[:, 0]
             opened = _bytes_of(table.column("opened"), "u1", 1)[:, 0]
-            own = dict(zip(table.column("query").to_pylist(), table.column("own").to_pylist()))
+            own = {q: v for q, v in zip(table.column("query").to_pylist(), table.column("own").to_pylist()) if v is not None}
             order = np.lexsort((1 - opened, near, owner))
             owner, near, sims, opened = owner[order], near[order], sims[order], opened[order]
             new = np.ones(len(owner), bool)
@@ -223,25 +238,30 @@ def _pool_step(pool: int) -> Callable:
             order = np.lexsort((near, -sims, owner))
             owner, near, sims, opened = owner[order], near[order], sims[order], opened[order]
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            last = np.minimum(np.append(first[1:], len(owner)), first + pool)
+            end = np.append(first[1:], len(owner))
+            least = sims[np.minimum(first + sure, end) - 1] - 2 * ROUNDING
+            tied = np.add.reduceat(sims >= np.repeat(least, end - first), first, dtype=np.int64)
+            last = np.minimum(end, first + np.maximum(pool, tied))
+            unopened = [int((opened[a:b] == 0).sum()) for a, b in zip(first, last)]
             yield pa.record_batch([
                 pa.array(owner[first]), pa.array([own[q] for q in owner[first].tolist()], pa.binary()),
                 *(pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(first, last)], pa.binary())
-                  for x, kind in ((near, "<i8"), (sims, "<f4"), (opened, "u1")))], ["query", "own", "near", "sims", "opened"])
+                  for x, kind in ((near, "<i8"), (sims, "<f8"), (opened, "u1"))), pa.array(unopened, pa.int32())], _COLUMNS)
     return run
 
 
-def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int = 800, beam: int = 100, rounds: int = 9) -> DataFrame:
+def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int, sure: int, beam: int = 100, rounds: int = 9) -> DataFrame:
     """(query, near, sims): the pool each of ``queries`` (query: a node, vec) ends with, itself included.
 
     Every round opens the ``beam`` most alike unopened nodes of each pool; ``rounds`` bounds the hops.
     """
+
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("query").to_numpy().astype("<i8")
             yield pa.record_batch([batch.column("query"), batch.column("vec"), pa.array([i.tobytes() for i in ids], pa.binary()),
-                                   pa.array([np.array([2], "<f4").tobytes()] * len(ids), pa.binary()), pa.array([b"\0"] * len(ids), pa.binary())],
-                                  ["query", "own", "near", "sims", "opened"])
+                                   pa.array([np.array([2], "<f8").tobytes()] * len(ids), pa.binary()), pa.array([b"\0"] * len(ids), pa.binary()),
+                                   pa.array([1] * len(ids), pa.int32())], _COLUMNS)
 
     def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,12 +277,11 @@ def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                ids, vectors = np.frombuffer(row["near"], "<i8"), np.frombuffer(row["vecs"], "i1").reshape(-1, width)
-                sims = vectors.astype(np.float32) @ np.frombuffer(row["own"], "i1").astype(np.float32) / np.float32(16129)
-                out.append((row["query"], row["own"], ids.tobytes(), sims.astype("<f4").tobytes(), bytes(len(ids))))
-            yield pa.record_batch([pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), *[pa.binary()] * 4))],
-                                  ["query", "own", "near", "sims", "opened"])
+            for row in (row for lo in range(0, len(batch), 256) for row in batch.slice(lo, 256).to_pylist()):
+                vectors, own = np.frombuffer(row["vecs"], "<f4").reshape(-1, width).astype(np.float64), np.frombuffer(row["own"], "<f4").astype(np.float64)
+                sims = vectors @ own / np.sqrt(np.einsum("ij,ij->i", vectors, vectors) * (own @ own))
+                out.append((row["query"], None, row["near"], sims.astype("<f8").tobytes(), bytes(len(sims)), 0))
+            yield pa.record_batch([pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), *[pa.binary()] * 4, pa.int32()))], _COLUMNS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,17 +292,18 @@ def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int
                 flags.append(opened.tobytes())
             yield batch.set_column(batch.schema.get_field_index("opened"), "opened", pa.array(flags, pa.binary()))
 
-    state = materialise(queries.mapInArrow(begin, _POOL), "pool")
+    state, done = materialise(queries.mapInArrow(begin, _POOL), "pool"), []
     for _ in range(rounds):
         asked = state.mapInArrow(frontier, "query long, own binary, to_node long")
         found = adjacent.join(asked.hint("shuffle_hash"), adjacent["node"] == asked["to_node"]).select("query", "own", "near", "vecs").mapInArrow(look, _POOL)
         both = state.mapInArrow(mark, _POOL).unionByName(found)
-        state = materialise(both.repartition("query").sortWithinPartitions("query").mapInArrow(_pool_step(pool), _POOL), "pool")
-    return state.select("query", "near", "sims")
+        pools = materialise(both.repartition("query").sortWithinPartitions("query").mapInArrow(_pool_step(pool, sure), _POOL), "pool")
+        done.append(pools.where("unopened = 0"))
+        state = pools.where("unopened > 0")
+    return reduce(DataFrame.unionByName, done, state).select("query", "near", "sims")
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = 24, rounds: int = 4, pool: int = 800, beam: int = 100, hops: int = 9,
-            check: int = 40) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = 24, rounds: int = 4, pool: int = 800, beam: int = 100, hops: int = 9) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` picks, the ``k`` nearest other rows found, by cosine.
 
     Equal vectors are one node, of which the ``k`` + 1 least vec_ids stand for all: no more can be among the nearest of a
@@ -307,9 +327,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = 24, roun
         for batch in batches:
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             x = x / np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            # one scale for all: unit vectors of many components stay well below 1
-            x = np.clip(np.round(x * 127 * min(2.0, np.sqrt(width) / 4)), -127, 127).astype("i1")
+            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
             yield pa.record_batch([batch.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "vec"])
 
     nodes = materialise(heads.mapInArrow(small, "node long, vec binary"), "nodes")
@@ -319,11 +337,15 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = 24, roun
     by_node = materialise(tied.join(heads, "v").select("node", "member", "place"), "by-node")
     asking = materialise(vectors.where(is_query).join(heads, "v").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")), "asking")
     starts = asking.select("query").distinct().join(nodes.withColumnRenamed("node", "query"), "query")
-    found = greedy_search(adjacent, starts, width, pool, beam, hops)
+    found = greedy_search(adjacent, starts, width, pool, 2 * k + 1, beam, hops)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.frombuffer(x, "<i8")[: check + 1] for x in batch.column("near").to_pylist()]
+            rows = []
+            for near, sims in zip(batch.column("near").to_pylist(), batch.column("sims").to_pylist()):
+                sims = np.frombuffer(sims, "<f8")
+                # what lies further below place 2k + 1 than rounding reaches cannot come among the first
+                rows.append(np.frombuffer(near, "<i8")[sims >= sims[: 2 * k + 1][-1] - 2 * ROUNDING])
             query = np.repeat(batch.column("query").to_numpy(), [len(x) for x in rows])
             yield pa.record_batch([pa.array(query), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))], ["query", "node"])
 

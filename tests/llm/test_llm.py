@@ -311,6 +311,26 @@ def test_neighbours(spark):
     assert [n for n, _ in got[200]] == [10, 201, 202, 203, 204]
 
 
+@pytest.mark.parametrize("kind, least", [("near copies", 0.97), ("dominant dimension", 0.95)])
+def test_neighbours_recall(spark, kind, least):
+    """Vectors that differ little, or that all point the same way."""
+    r = np.random.default_rng(5)
+    n = 1500
+    x = r.normal(size=(n, 32))
+    if kind == "near copies":
+        x[:1000] = x[0] / np.linalg.norm(x[0]) + r.normal(size=(1000, 32)) * 1e-3
+    if kind == "dominant dimension":
+        x[:, 3] += 40
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for row in neighbours.nearest(frame, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = {q: set([k for k in np.argsort(-(unit @ unit[q]), kind="stable").tolist() if k != q][:5]) for q in range(0, n, 50)}
+    assert sum(len(want[q] & got[q]) for q in want) >= least * 5 * len(want)
+
+
 def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
