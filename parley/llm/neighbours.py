@@ -3,12 +3,14 @@
 Equal vectors are one node. The graph starts from cells of neighbours along random directions; each round joins every node's neighbours
 (and those it is a neighbour of) with their vectors, compares them with each other, and keeps for each node the best it
 has met. The finished lists, both ways, are stored bucketed by node with the neighbours' vectors, so a search step moves only the nodes
-to be opened. A search opens the most promising nodes of its pool, round by round. Vectors travel as unit vectors of 32-bit floats and are compared in 64 bits; whatever the
+to be opened. A search opens the most promising nodes of its pool, round by round, until none in the pool is unopened; the pool
+grows with the root of the number of nodes. Vectors travel as unit vectors of 32-bit floats and are compared in 64 bits; whatever the
 rounding leaves undecided is scored on the original vectors.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -250,11 +252,12 @@ def _pool_step(pool: int, sure: int) -> Callable:
     return run
 
 
-def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int, sure: int, beam: int = 100, rounds: int = 9) -> DataFrame:
+def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int, sure: int) -> DataFrame:
     """(query, near, sims): the pool each of ``queries`` (query: a node, vec) ends with, itself included.
 
-    Every round opens the ``beam`` most alike unopened nodes of each pool; ``rounds`` bounds the hops.
+    Every round opens the most alike unopened nodes of each pool, an eighth of its size or 100; a query ends when its whole pool is opened.
     """
+    beam = max(100, -(-pool // 8))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +296,7 @@ def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int
             yield batch.set_column(batch.schema.get_field_index("opened"), "opened", pa.array(flags, pa.binary()))
 
     state, done = materialise(queries.mapInArrow(begin, _POOL), "pool"), []
-    for _ in range(rounds):
+    while not state.isEmpty():
         asked = state.mapInArrow(frontier, "query long, own binary, to_node long")
         found = adjacent.join(asked.hint("shuffle_hash"), adjacent["node"] == asked["to_node"]).select("query", "own", "near", "vecs").mapInArrow(look, _POOL)
         both = state.mapInArrow(mark, _POOL).unionByName(found)
@@ -303,13 +306,14 @@ def greedy_search(adjacent: DataFrame, queries: DataFrame, width: int, pool: int
     return reduce(DataFrame.unionByName, done, state).select("query", "near", "sims")
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = 24, rounds: int = 4, pool: int = 800, beam: int = 100, hops: int = 9) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = 24, rounds: int = 4, pool_root: float = 3.6) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` picks, the ``k`` nearest other rows found, by cosine.
 
     Equal vectors are one node, of which the ``k`` + 1 least vec_ids stand for all: no more can be among the nearest of a
     query. Ties go to the smaller vec_id; fewer than ``k`` others give fewer rows. Vectors that are null, zero, hold null or
     non-finite components, have no vec_id, or another length than the most frequent one take no part; rows
-    that repeat a vec_id and its vector count once. Other columns are not read.
+    that repeat a vec_id and its vector count once. Other columns are not read. A search keeps ``pool_root`` times the root of the
+    number of unlike vectors in its pool, and ends when it has opened them all.
     """
     raw = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     fine = raw.where("vec_id is not null and v is not null").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(
@@ -337,7 +341,8 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5, graph_k: int = 24, roun
     by_node = materialise(tied.join(heads, "v").select("node", "member", "place"), "by-node")
     asking = materialise(vectors.where(is_query).join(heads, "v").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")), "asking")
     starts = asking.select("query").distinct().join(nodes.withColumnRenamed("node", "query"), "query")
-    found = greedy_search(adjacent, starts, width, pool, 2 * k + 1, beam, hops)
+    pool = max(8 * k, math.ceil(pool_root * math.sqrt(nodes.count())))
+    found = greedy_search(adjacent, starts, width, pool, 2 * k + 1)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

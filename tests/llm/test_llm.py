@@ -331,6 +331,14 @@ def test_neighbours_recall(spark, kind, least):
     assert sum(len(want[q] & got[q]) for q in want) >= least * 5 * len(want)
 
 
+def test_search_goes_on_until_nothing_is_left_to_open(spark):
+    at = [0.0] + [0.05 * (20 - n) for n in range(1, 20)]  # a chain: each node knows the next, and the last is the nearest
+    vec = [np.array([np.cos(a), np.sin(a)], "<f4").tobytes() for a in at]
+    chain = spark.createDataFrame([(n, np.array([n + 1], "<i8").tobytes(), vec[n + 1]) for n in range(19)], "node long, near binary, vecs binary")
+    found = neighbours.greedy_search(chain, spark.createDataFrame([(0, vec[0])], "query long, vec binary"), 2, 5, 3).first()
+    assert np.frombuffer(found.near, "<i8").tolist() == [0, 19, 18, 17, 16]
+
+
 def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
