@@ -316,10 +316,10 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
             texts = [raw[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array([fingerprint(t, shingle, words_of_64) for t in texts], pa.list_(pa.int64())),
-                pa.array([bool(t.split()) for t in texts]), pa.array([xxhash.xxh64_intdigest(t) >> 1 for t in texts], pa.int64())],
-                ["doc_id", "fp", "words", "sum"])
+                pa.array([bool(t.split()) for t in texts]), batch.column("sum")], ["doc_id", "fp", "words", "sum"])
 
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    row_id, row_sum = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    narrow = documents.select(row_id.alias("doc_id"), F.col("text").cast("string").alias("text"), row_sum.alias("sum"))
     prints = materialise(narrow.mapInArrow(run, "doc_id long, fp array<long>, words boolean, sum long"), "prints")
     known = prints.where("words and doc_id is not null")
     classes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
@@ -331,9 +331,10 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     named = classes.join(joined, classes["node"] == joined["node"], "left").select("fp", F.coalesce("component", classes["node"]).alias("first"))
     gone = known.join(named, "fp").where("doc_id <> first").select(F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum"))
     # rows that repeat a doc_id and its text: all but one go as well
-    twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"))
-    gone = materialise(gone.distinct(), "gone")
-    kept = documents.join(gone, documents["doc_id"] == gone["gone_id"], "left_anti")
-    if materialise(twice, "twice").isEmpty():
+    twice = materialise(known.groupBy("doc_id", "sum").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum")), "twice")
+    this = [row_id == F.col("gone_id"), row_sum == F.col("gone_sum")]
+    kept = documents.join(materialise(gone.distinct(), "gone"), this, "left_anti")
+    if twice.isEmpty():
         return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, this, "left_anti").unionByName(kept.join(twice, this, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -178,6 +178,13 @@ def test_keep_one_of_each(spark, corpus):
     assert kept.columns == docs_of(spark, rows).columns and sorted(x.doc_id for x in kept.collect()) == [1, 4, 5, 6]
 
 
+def test_keep_one_of_each_tells_rows_by_text(spark):
+    text = prose(3, 100, 5000)
+    rows = [(1, text), (2, text), (2, prose(4, 100, 5000)), (3, prose(5, 100, 5000)), (3, prose(5, 100, 5000)), (None, "same words"), (None, "same words")]
+    kept = simhash.keep_one_of_each(docs_of(spark, rows)).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in kept) == sorted((n or 0, t) for n, t in rows[:1] + rows[2:4] + rows[5:])
+
+
 def test_warc(spark):
     html = ["<p>a</p>", None, "", "é" * 300, "x" * 5000, "<p>a</p>", "x" * 5000]
     rows = [(n, f"http://h/{n}", h, "c") for n, h in enumerate(html)] + [(None, None, "<p>a</p>", "c")]
