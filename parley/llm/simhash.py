@@ -25,6 +25,8 @@ from parley.sources.store import materialise
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: A key met by more fingerprints than this is cut further.
 CROWD = 256
+#: Of the pairs at the wanted overlap, the share that is to meet under a segment whatever the size of the table.
+RECALL = 0.99
 #: Bytes of unfolded variants that one task sorts.
 TASK_BYTES = 64 << 20
 
@@ -147,7 +149,19 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 3) -
 
 def _bands(n: int) -> int:
     """Bits of a segment when alike texts are sought: few chance meetings for ``n`` fingerprints."""
-    return min(32, max(16, math.ceil(math.log2(max(2, n))) + 2))
+    return min(32, max(16, math.ceil(math.log2(max(2, n))) - 1))
+
+
+def _bit_odds(similarity: float) -> float:
+    """Odds that a bit differs: overlap j of sets of one size is a cosine of 2j / (1 + j), and a bit differs with the angle over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _words(size: int, similarity: float) -> int:
+    """64-bit words whose segments of ``size`` bits hold one that differs in at most one bit for RECALL of the pairs at ``similarity``."""
+    odds = _bit_odds(similarity)
+    meets = (1 - odds) ** size + size * odds * (1 - odds) ** (size - 1)
+    return math.ceil(math.ceil(math.log(1 - RECALL) / math.log(1 - meets)) * size / 64)
 
 
 def _apart(prints: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -176,27 +190,20 @@ def _forest(node: np.ndarray, prints: list[np.ndarray], distance: int) -> tuple[
     return np.concatenate(a), np.concatenate(b)
 
 
-def _meetings(distance: int, size: int, crowd: int, block: int | None):
-    """Links of rows (key, node, words of the fingerprint) sorted by key and node: one pass that holds a batch and one key's rows.
+def _meetings(distance: int, crowd: int, block: int | None):
+    """Links of rows (key, side, node, words of the fingerprint) sorted by key and node: one pass that holds a batch and one key's rows.
 
     Under a key every row is compared with the least node, then those not both linked to it with one another; a link between
     two rows that are joined anyway may be left out. Keys of more than ``crowd`` rows are searched outwards from the rows
     already reached. A key of more than ``block`` rows is only counted, (key, null, rows), for another pass to cut up.
-    ``size`` is the width of a segment: under a wiped bit only rows unlike in it are compared. 0 compares all.
+    ``side`` is the value of a wiped bit: only rows unlike in it are compared. -1 compares all.
     """
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, node, prints = rows[0], rows[1], rows[2:]
+        key, side, node, prints = rows[0], rows[1], rows[2], rows[3:]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.append(begin, len(key)))
         many = begin[length > 1]
         start, end = np.repeat(begin, length), np.repeat(begin + length, length)
-        side = np.full(len(key), -1, np.int64)
-        if size:
-            piece = key >> 32
-            bit = piece % 65 - 1
-            for n, p in enumerate(prints):
-                at = np.flatnonzero((piece // 260 == n) & (bit >= 0))
-                side[at] = (p[at] >> (piece[at] % 260 // 65 * size + bit[at]).astype(np.uint64)).astype(np.int64) & 1
 
         def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return ((side[i] < 0) | (side[i] != side[j])) & (_apart(prints, i, j) <= distance)
@@ -232,7 +239,7 @@ def _meetings(distance: int, size: int, crowd: int, block: int | None):
         held, over = None, None
         for batch in batches:
             rows = [batch.column(n).to_numpy() for n in range(batch.num_columns)]
-            rows[2:] = [p.view(np.uint64) for p in rows[2:]]
+            rows[3:] = [p.view(np.uint64) for p in rows[3:]]
             if over:
                 here = int(np.searchsorted(rows[0], over[0], side="right"))
                 over[1] += here
@@ -258,46 +265,51 @@ def _meetings(distance: int, size: int, crowd: int, block: int | None):
     return run
 
 
-def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance: int, crowd: int, block: int) -> DataFrame:
+def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance: int, crowd: int, block: int, judged: int = 0) -> DataFrame:
     """Links (a, b) of the classes (node, fp array) that share a segment, whole or with a bit wiped, and lie within ``distance``.
 
-    They join whatever all such links join. ``count`` is the number of classes. Keys of
-    more than ``block`` rows are cut by a hash of the node into parts that meet pair by pair.
+    They join whatever all such links join. ``count`` is the number of classes. Segments lie over all bits, across the borders of
+    words; the first ``judged`` words (0: all) travel and are compared. Keys of more than ``block`` rows are cut by a hash of the
+    node into parts that meet pair by pair.
     """
-    per_word, low = 64 // size, size // 2
-    names = [f"f{n}" for n in range(words_of_64)]
+    segments, low = 64 * words_of_64 // size, size // 2
+    names = [f"f{n}" for n in range(judged or words_of_64)]
     # a segment's variants wiped in one half agree in the other half: they travel as one row and unfold where they meet
     slots = []
-    for n in range(words_of_64):
-        for m in range(per_word):
-            part = F.shiftrightunsigned(F.col("fp")[n], m * size).bitwiseAND(F.lit((1 << size) - 1))
-            for first, end, intact in ((-1, low, F.shiftright(part, low)), (low, size, part.bitwiseAND(F.lit((1 << low) - 1)))):
-                slots.append(F.struct(
-                    F.lit(n * 260 + m * 65).alias("piece"), F.lit(first).alias("first"), F.lit(end - 1).alias("last"),
-                    part.alias("part"), intact.alias("intact")))
+    for m in range(segments):
+        word, at = divmod(m * size, 64)
+        part = F.shiftrightunsigned(F.col("fp")[word], at)
+        if at + size > 64:
+            part = part.bitwiseOR(F.shiftleft(F.col("fp")[word + 1], 64 - at))
+        part = part.bitwiseAND(F.lit((1 << size) - 1))
+        for first, end, intact in ((-1, low, F.shiftright(part, low)), (low, size, part.bitwiseAND(F.lit((1 << low) - 1)))):
+            slots.append(F.struct(
+                F.lit(m * 65).alias("piece"), F.lit(first).alias("first"), F.lit(end - 1).alias("last"), part.alias("part"), intact.alias("intact")))
     held = classes.select("node", *(F.col("fp")[n].alias(c) for n, c in enumerate(names)), F.explode(F.array(*slots)).alias("k")).select(
         "node", *names, "k.*")
 
     def variants(rows: DataFrame) -> DataFrame:
         bit = F.explode(F.sequence("first", "last")).alias("bit")
+        at = F.greatest(F.col("bit"), F.lit(0))
         wiped = F.when(F.col("bit") < 0, F.col("part")).otherwise(
-            F.col("part").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.col("bit"), F.lit(0))))))
+            F.col("part").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), at))))
         key = F.shiftleft((F.col("piece") + 1 + F.col("bit")).cast("long"), 32).bitwiseOR(wiped)
-        return rows.select("*", bit).select(key.alias("key"), "node", *names)
+        side = F.when(F.col("bit") < 0, F.lit(-1)).otherwise(F.call_function("shiftright", F.col("part"), at).bitwiseAND(F.lit(1))).cast("long")
+        return rows.select("*", bit).select(key.alias("key"), side.alias("side"), "node", *names)
 
-    def met(rows: DataFrame, size: int, block: int | None) -> DataFrame:
+    def met(rows: DataFrame, block: int | None) -> DataFrame:
         return materialise(rows.sortWithinPartitions("key", "node").mapInArrow(
-            _meetings(distance, size, crowd, block), "a long, b long, rows long").distinct(), "links")
+            _meetings(distance, crowd, block), "a long, b long, rows long").distinct(), "links")
 
-    tasks = math.ceil(count * words_of_64 * per_word * (size + 1) * 8 * (words_of_64 + 5) / TASK_BYTES)
-    found = met(variants(held.repartition(max(1, tasks), "piece", "first", "intact")), size, block)
+    tasks = math.ceil(count * segments * (size + 1) * 8 * (len(names) + 6) / TASK_BYTES)
+    found = met(variants(held.repartition(max(1, tasks), "piece", "first", "intact")), block)
     over = found.where("b is null").select(F.col("a").alias("key"), F.ceil(F.col("rows") * 4 / block).cast("int").alias("parts"))
     if over.isEmpty():
         return found.select("a", "b")
     cut = variants(held).join(over, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part")
-    cut = cut.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), "node", *names)
-    return found.where("b is not null").unionByName(met(cut.repartition("key"), 0, None)).select("a", "b")
+    cut = cut.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"), F.lit(-1).cast("long").alias("side"), "node", *names)
+    return found.where("b is not null").unionByName(met(cut.repartition("key"), None)).select("a", "b")
 
 
 def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, words_of_64: int = 4, crowd: int = 64,
@@ -305,17 +317,20 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     """The row of least doc_id of each group of near copies, all columns as they are.
 
     Texts whose sets of ``shingle``-word shingles overlap by ``similarity`` differ in too many bits for a bound of three,
-    so a longer fingerprint is used: segments of about log2 of the number of texts, met whole or with one
+    so a longer fingerprint is used: segments of about log2 of the number of texts, as many as RECALL asks for, met whole or with one
     bit wiped, propose pairs, and the angle between the whole fingerprints, which estimates the overlap, decides. Every pair that
     shares a segment is judged or already joined, however many texts share it: beyond ``crowd`` by search, beyond ``block`` in parts.
     Rows without words form no group, nor do rows without doc_id; of repeated rows one stays.
     """
+    size = _bands(documents.count())
+    segment_words = max(words_of_64, _words(size, similarity))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = text_bytes(batch.column("text"))
             texts = [raw[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.record_batch([
-                batch.column("doc_id"), pa.array([fingerprint(t, shingle, words_of_64) for t in texts], pa.list_(pa.int64())),
+                batch.column("doc_id"), pa.array([fingerprint(t, shingle, segment_words) for t in texts], pa.list_(pa.int64())),
                 pa.array([bool(t.split()) for t in texts]), batch.column("sum")], ["doc_id", "fp", "words", "sum"])
 
     row_id, row_sum = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
@@ -324,10 +339,8 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     known = prints.where("words and doc_id is not null")
     classes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     count = classes.count()
-    size = _bands(count)
-    # overlap j of sets is a cosine of 2j / (1 + j); a bit differs with the angle over pi
-    distance = math.floor(64 * words_of_64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    joined = components(forest(_alike(classes, count, words_of_64, size, distance, crowd, block)), "a", "b")
+    distance = math.floor(64 * words_of_64 * _bit_odds(similarity))
+    joined = components(forest(_alike(classes, count, segment_words, size, distance, crowd, block, words_of_64)), "a", "b")
     named = classes.join(joined, classes["node"] == joined["node"], "left").select("fp", F.coalesce("component", classes["node"]).alias("first"))
     gone = known.join(named, "fp").where("doc_id <> first").select(F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum"))
     # rows that repeat a doc_id and its text: all but one go as well

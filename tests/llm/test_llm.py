@@ -185,6 +185,15 @@ def test_keep_one_of_each_tells_rows_by_text(spark):
     assert sorted((x.doc_id or 0, x.text) for x in kept) == sorted((n or 0, t) for n, t in rows[:1] + rows[2:4] + rows[5:])
 
 
+def test_segments_keep_their_recall_as_tables_grow():
+    for overlap in (0.8, 0.85):
+        odds = np.arccos(2 * overlap / (1 + overlap)) / np.pi
+        for n in (16_000, 524_288, 524_289, 6_000_000, 10 ** 9):
+            size = simhash._bands(n)
+            met = (1 - odds) ** size + size * odds * (1 - odds) ** (size - 1)
+            assert (1 - met) ** (64 * simhash._words(size, 0.8) // size) <= 0.01
+
+
 def test_warc(spark):
     html = ["<p>a</p>", None, "", "é" * 300, "x" * 5000, "<p>a</p>", "x" * 5000]
     rows = [(n, f"http://h/{n}", h, "c") for n, h in enumerate(html)] + [(None, None, "<p>a</p>", "c")]
