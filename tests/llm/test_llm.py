@@ -178,6 +178,40 @@ def test_keep_one_of_each(spark, corpus):
     assert kept.columns == docs_of(spark, rows).columns and sorted(x.doc_id for x in kept.collect()) == [1, 4, 5, 6]
 
 
+def test_keep_one_of_each_against_brute_force(spark):
+    """Pairs at overlaps from 0.7 to 0.9, a text whose votes one line rules, rows that share a doc_id or have none."""
+    r, texts = random.Random(9), []
+    for base in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(200)]
+        texts.append(words)
+        for changes in (3, 5, 7, r.randrange(2, 9)):
+            other = list(words)
+            for at in r.sample(range(200), changes):
+                other[at] = f"c{r.randrange(10 ** 6)}"
+            texts.append(other)
+    line = "one very common line of words".split() * 60
+    texts += [line + prose(n, 80, 5000).split() for n in (31, 32)]
+    r.shuffle(texts)
+    sets = [{tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in ([w.translate({c: c + 32 for c in range(65, 91)}) for w in t] for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    want = {n for n in range(len(texts)) if root[n] == n}
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
+    for crowd in (64, 2):
+        kept = {x.doc_id for x in simhash.keep_one_of_each(docs_of(spark, rows), crowd=crowd).select("doc_id").collect()}
+        assert want <= kept and len(kept - want) <= 1 and 60 < len(want) < 160
+
+
 def test_keep_one_of_each_tells_rows_by_text(spark):
     text = prose(3, 100, 5000)
     rows = [(1, text), (2, text), (2, prose(4, 100, 5000)), (3, prose(5, 100, 5000)), (3, prose(5, 100, 5000)), (None, "same words"), (None, "same words")]
