@@ -1,11 +1,9 @@
-"""Byte windows repeated across documents, by a radix sort of suffixes that stops at the window length.
-
-The suffixes that stand at content-chosen cut points are ordered digit by digit, the most significant first, and only
-through ``length`` bytes around the point: the first digit is the seed at the cut point, the second all that windows around it can reach, the
-last the windows themselves. A group of one leaves the sort at once; members of a group that agree as far as windows can
-reach are settled without a look at each suffix; what is left at the end are groups of equal windows, which are exactly
-the repeated ones. Every window holds a cut point, at the same place wherever it occurs, so no suffix is missed
-although most never enter the sort; sorting all of them would write several times the tenfold of the input.
+"""Byte windows repeated across documents, by winnowed hash membership; no suffix is ordered and there is no digit pass.
+
+Each window holds an anchor, a cut point chosen by content, at the same place wherever it occurs. Three rounds of 64-bit hashes ask,
+block by block, whether a hash occurs elsewhere, one bit back for each: that of the seed at the anchor, that of all that windows around
+it can reach, and those of the windows themselves. What leaves no repeated hash leaves the rounds; what is left at the end are equal windows.
+This stands in for a radix sort of suffixes, which would write several times the tenfold of the input by estimate (not measured).
 """
 
 from __future__ import annotations
