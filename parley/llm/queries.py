@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, mixing, neighbours, quality, reputation, simhash, substring, suffix_windows, tokens, warc
+from parley.llm import decontaminate, mixing, neighbours, quality, reputation, rules, simhash, substring, suffix_windows, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,56 @@ FROM (SELECT *, unnest(range(CAST(times AS BIGINT))) AS epoch FROM times WHERE t
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest rows of every row whose vec_id is divisible by 50, by cosine, from all rows."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the quality rules: length, repetition, and the distance to their language."""
+    found = rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: Character classes in SQL; what is left over is the last class.
+_CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "white": r" \t\x0b\f\r", "line": r"\n", "point": r"""\.,;:''"()\-""",
+            "shout": "!\\?", "sign": r"#*$%&|<>", "wide": r"^\x00-\x7F"}
+
+
+def _spread(p: str, q: str) -> str:
+    """SQL of one bin of the Jensen-Shannon divergence of shares."""
+    return (f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + "
+            f"CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END")
+
+
+_COUNTED = ", ".join(f"length(regexp_replace(t, '[{'' if c[0] == '^' else '^'}{c.lstrip('^')}]', '', 'g')) AS {k}" for k, c in _CLASSES.items())
+
+ORACLES["op13_rules"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
+words AS (SELECT rid, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs) x),
+triples AS (SELECT *, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+seen AS (SELECT rid, pos, word, CASE WHEN w3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY rid, word, w2, w3) END AS n FROM triples),
+covered AS (SELECT rid, word, max(n) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > 1 AS again FROM seen),
+worded AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (again) AS n_repeat_words FROM covered GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs),
+dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+base AS (SELECT rid, doc_id, lang, t, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(n_words, 0) < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM docs LEFT JOIN worded USING (rid) LEFT JOIN dups USING (rid)),
+classed AS (SELECT rid, lang, base_failed, n_words, length(t) AS n, {_COUNTED} FROM base),
+bins AS (UNPIVOT (SELECT *, n - ({" + ".join(_CLASSES)}) AS rest FROM classed) ON {", ".join([*_CLASSES, "rest"])} INTO NAME class VALUE x),
+class_ref AS (SELECT lang, class, sum(x) FILTER (NOT base_failed) AS y, sum(sum(x) FILTER (NOT base_failed)) OVER (PARTITION BY lang) AS total FROM bins GROUP BY lang, class),
+char_far AS (SELECT rid, sqrt(greatest(sum({_spread("p", "q")}) / 2, 0)) AS far
+  FROM (SELECT rid, CAST(x AS DOUBLE) / n AS p, CAST(y AS DOUBLE) / total AS q FROM bins JOIN class_ref USING (lang, class) WHERE n_words >= 100) z GROUP BY rid),
+letters AS (SELECT rid, lang, base_failed, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+')) AS word FROM base),
+totals AS (SELECT lang, count(*) AS total FROM letters WHERE NOT base_failed GROUP BY lang),
+common AS (SELECT lang, word, count(*) AS y FROM letters WHERE NOT base_failed GROUP BY lang, word
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, encode(word)) <= 100),
+word_ref AS (SELECT lang, word, y FROM common UNION ALL SELECT lang, NULL, any_value(total) - sum(y) FROM common JOIN totals USING (lang) GROUP BY lang),
+doc_words AS (SELECT l.rid, l.lang, c.word, count(*) AS x FROM letters l LEFT JOIN common c ON l.lang = c.lang AND l.word = c.word GROUP BY ALL),
+doc_totals AS (SELECT rid, lang, sum(x) AS n FROM doc_words GROUP BY rid, lang HAVING sum(x) >= 200),
+word_far AS (SELECT rid, sqrt(greatest(sum({_spread("p", "q")}) / 2, 0)) AS far FROM (
+    SELECT d.rid, coalesce(CAST(w.x AS DOUBLE), 0) / d.n AS p, CAST(r.y AS DOUBLE) / s.total AS q
+    FROM doc_totals d JOIN word_ref r ON d.lang = r.lang JOIN totals s ON d.lang = s.lang
+    LEFT JOIN doc_words w ON w.rid = d.rid AND w.word IS NOT DISTINCT FROM r.word) z GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed
+  OR (s.total >= 5000 AND (coalesce(c.far, 0) > 0.30 OR coalesce(w.far, 0) > 0.40)) IS TRUE) AS kept
+FROM base b LEFT JOIN totals s ON b.lang = s.lang LEFT JOIN char_far c USING (rid) LEFT JOIN word_far w USING (rid)"""
