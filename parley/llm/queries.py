@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, mixing, neighbours, quality, reputation, rules, simhash, substring, suffix_windows, tokens, warc
+from parley.llm import decontaminate, mixing, neighbours, quality, reputation, resampling, rules, simhash, substring, suffix_windows, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -225,3 +225,37 @@ word_far AS (SELECT rid, sqrt(greatest(sum({_spread("p", "q")}) / 2, 0)) AS far
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed
   OR (s.total >= 5000 AND (coalesce(c.far, 0) > 0.30 OR coalesce(w.far, 0) > 0.40)) IS TRUE) AS kept
 FROM base b LEFT JOIN totals s ON b.lang = s.lang LEFT JOIN char_far c USING (rid) LEFT JOIN word_far w USING (rid)"""
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents with 20 words or more, drawn towards the benchmark's words."""
+    return resampling.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, least_words=20, percent=25, seed=7)
+
+
+def _features(source: str, key: str) -> str:
+    """SQL of all features (rid, f) of a table's texts."""
+    return f"""SELECT rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM {source}"""
+
+
+def _split(source: str) -> str:
+    return f"""SELECT row_number() OVER () AS rid, *, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {source}"""
+
+
+ORACLES["op12_resampling"] = f"""
+WITH docs AS MATERIALIZED ({_split("documents")}), marks AS MATERIALIZED ({_split("benchmark")}),
+doc_f AS MATERIALIZED ({_features("docs", "rid")}), mark_f AS MATERIALIZED ({_features("marks", "rid")}),
+steps AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS tab
+  FROM range(256) r(i)),
+hashed AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, octet_length(encode(f))),
+      lambda p: CAST('0x' || substr(hex(encode(f)), 2 * p + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM (SELECT f FROM doc_f UNION ALL SELECT f FROM mark_f) x) y, steps),
+s AS (SELECT bucket, count(*) AS s FROM doc_f JOIN hashed USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM mark_f JOIN hashed USING (f) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM doc_f) + 10000) / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM mark_f) + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT rid, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS BIGINT) / count(*)) AS BIGINT) AS weight FROM doc_f JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY rid),
+scored AS (SELECT rid, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM docs LEFT JOIN weights USING (rid)),
+ranked AS (SELECT *, n_words >= 20 AS fit, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank FROM ranked"""
