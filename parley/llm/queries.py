@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, mixing, neighbours, quality, reputation, resampling, rules, simhash, substring, suffix_windows, tokens, warc
+from parley.llm import alignment, decontaminate, mixing, neighbours, quality, reputation, resampling, rules, simhash, substring, suffix_windows, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -259,3 +259,12 @@ scored AS (SELECT rid, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_f
     (CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM docs LEFT JOIN weights USING (rid)),
 ranked AS (SELECT *, n_words >= 20 AS fit, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 25 * n // 100 THEN place END AS rank FROM ranked"""
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by a byte-level vocabulary and a sentence-piece model, aligned, with corpus-wide counts of their links."""
+    import public_tokenizers
+
+    return alignment.aligned_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
