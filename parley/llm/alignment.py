@@ -10,6 +10,7 @@ its block as units, and the answers come to the block.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -26,27 +27,23 @@ from parley.llm.worker import Memory, kept
 from parley.sources.store import materialise
 
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Units a worker remembers, at least.
-_REMEMBER = 100_000
+_REMEMBER = 60_000
 
 
 def align(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The groups of two id lists over the same bytes, given the bytes of each id."""
-    a_ends = {end: k for k, end in enumerate(accumulate(a_sizes), 1)}
-    b_ends = {end: k for k, end in enumerate(accumulate(b_sizes), 1)}
+    """The groups of two id lists over the same bytes, given the bytes of every id of both vocabularies."""
+    a_ends = {end: k for k, end in enumerate(accumulate([a_sizes[i] for i in a]), 1)}
+    b_ends = {end: k for k, end in enumerate(accumulate([b_sizes[i] for i in b]), 1)}
     out, i, j = [], 0, 0
     for end in sorted(a_ends.keys() & b_ends.keys()):
-        out.append((a[i:a_ends[end]], b[j:b_ends[end]]))
-        i, j = a_ends[end], b_ends[end]
+        m, n = a_ends[end], b_ends[end]
+        out.append((a[i:m], b[j:n]))
+        i, j = m, n
     return out
 
 
-def spelt(groups: list[tuple[list[int], list[int]]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``"""
-    return ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
-
-
 #: What is known of a unit whose tokens do not give back its bytes.
 _NONE = (False, 0, 0, 0, 0, b"", b"")
 
@@ -56,26 +53,42 @@ class Aligner:
 
     def __init__(self, byte_level: str, pieces: str):
         self.a, self.b = units.ByteLevel(byte_level), units.Pieces(pieces)
+        self.a_sizes, self.b_sizes = self.a.sizes.tolist(), self.b.sizes.tolist()
+        self.names = [str(i) for i in range(max(len(self.a_sizes), len(self.b_sizes)))]
         self.memory = Memory(_REMEMBER)
 
+    def _aligned(self, a: list[int], b: list[int]) -> tuple:
+        names, spelt, pairs = self.names, [], array("q")
+        groups = align(a, b, self.a_sizes, self.b_sizes)
+        for left, right in groups:
+            if len(left) == len(right) == 1:
+                spelt.append(f"{left[0]}|{right[0]}")
+                pairs.append(left[0] << 32 | right[0])
+            else:
+                spelt.append(",".join([names[x] for x in left]) + "|" + ",".join([names[y] for y in right]))
+                pairs.extend([x << 32 | y for x in left for y in right])
+        return True, len(a), len(b), len(groups), len(pairs), ";".join(spelt).encode(), pairs.tobytes()
+
     def known(self, wanted: list[bytes]) -> list[tuple]:
-        rows = [self.memory.get(u) for u in wanted]
+        rows = self.memory.rows(wanted)
         new = [k for k, row in enumerate(rows) if row is None]
         texts = [wanted[k] for k in new]
-        for k, unit, a, b in zip(new, texts, self.a.units(texts), self.b.units(texts)):
-            a_bytes, b_bytes = [self.a.bytes[i] for i in a], [self.b.bytes[i] for i in b]
-            if b"".join(a_bytes) != unit or b"".join(b_bytes) != unit:
-                row = _NONE
-            else:
-                groups = align(a, b, list(map(len, a_bytes)), list(map(len, b_bytes)))
-                pairs = [x << 32 | y for left, right in groups for x in left for y in right]
-                row = True, len(a), len(b), len(groups), len(pairs), spelt(groups).encode(), np.array(pairs, np.int64).tobytes()
+        (a_ids, a_whole), (b_ids, b_whole) = self.a.units(texts), self.b.units(texts)
+        for k, unit, a, b, x, y in zip(new, texts, a_ids, b_ids, a_whole, b_whole):
+            row = self._aligned(a, b) if x and y else _NONE
             rows[k] = row
             if len(unit) <= 48:
                 self.memory.put(unit, row)
         return rows
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def _pack(values: np.ndarray) -> bytes:
     """32-bit numbers, their bytes laid out plane by plane."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -127,12 +140,14 @@ def _block(aligner: Aligner, ids: pa.Array, raw: np.ndarray, at: np.ndarray, num
     names, codes = [r[5] for r in rows], code.tolist()
     digests = [hashlib.sha256(b";".join([names[c] for c in codes[lo:hi]])).hexdigest() if n else ""
                for lo, hi, n in zip(edges[:-1].tolist(), edges[1:].tolist(), totals[:, 0].tolist())]
-    pairs, place = np.unique(np.frombuffer(b"".join([r[6] for r in rows]), np.int64), return_inverse=True)
+    links = np.frombuffer(b"".join([r[6] for r in rows]), np.int64)
+    pairs = _distinct(links)
+    place = np.searchsorted(pairs, links)
     n_links, begin = numbers[:, 3], np.cumsum(numbers[:, 3]) - numbers[:, 3]
-    once = np.unique(doc * max(1, len(rows)) + code)
+    once = _distinct(doc * max(1, len(rows)) + code)
     held_doc, held = once // max(1, len(rows)), once % max(1, len(rows))
     seen = np.repeat(held_doc, n_links[held]) * max(1, len(pairs)) + place[_spread(n_links[held], begin[held])]
-    documents = np.bincount(np.unique(seen) % max(1, len(pairs)), minlength=len(pairs))
+    documents = np.bincount(_distinct(seen) % max(1, len(pairs)), minlength=len(pairs))
     by_use = np.empty(len(pairs), np.int64)
     by_use[np.argsort(-documents, kind="stable")] = np.arange(len(pairs))
 

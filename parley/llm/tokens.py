@@ -8,21 +8,23 @@ into memory when they are read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm import files
 from parley.llm.flat import slices, text_bytes
+from parley.llm.units import ByteLevel
+from parley.llm.worker import Memory, kept
 from parley.sources.store import materialise, new_table_path
 
-#: Different pieces a task remembers.
-_REMEMBER = 600_000
+#: Different pieces a worker remembers, at least.
+_REMEMBER = 250_000
 #: Bytes encoded at once.
 _AT_ONCE = 4 << 20
 
@@ -35,11 +37,6 @@ _KIND[127] = _WHITE
 _KIND[48:58] = _DIGIT
 _KIND[65:91] = _KIND[97:123] = _LETTER
 _KIND[39], _KIND[32] = _QUOTE, _SPACE
-#: How byte-level vocabularies spell bytes: printable Latin-1 as itself, the others as the characters from 256 on.
-_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_SPELT = {b: chr(b if b in _PRINTED else 256 + sum(c not in _PRINTED for c in range(b))) for b in range(256)}
-#: A piece that is one word, number or run of marks.
-_SINGLE = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)")
 
 
 def cuts(raw: np.ndarray) -> np.ndarray:
@@ -68,20 +65,10 @@ class Encoder:
     """Encodes many texts at once; each different piece goes through the tokenizer once while it is remembered."""
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.size = self.tokenizer.get_vocab_size()
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-
-    def _piece(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        if _SINGLE.fullmatch(text):
-            ids = [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(_SPELT))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, np.uint32).tobytes()
+        self.vocabulary = ByteLevel(vocabulary, special=True)
+        self.size = len(self.vocabulary.bytes)
+        self.added = [t.content.encode() for t in self.vocabulary.tokenizer.get_added_tokens_decoder().values()]
+        self.known = Memory(_REMEMBER)
 
     def _edges(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the pieces begin. A text that spells out an added token stays in one piece."""
@@ -93,7 +80,9 @@ class Encoder:
                 doc = int(np.searchsorted(at, place, side="right")) - 1
                 found = found[(found <= at[doc]) | (found >= at[doc + 1])]
                 place = text.find(added, int(at[doc + 1]))
-        return np.concatenate(([0], np.union1d(found, at[(at > 0) & (at < len(raw))]), [len(raw)]))
+        begin = np.zeros(len(raw) + 1, bool)
+        begin[found] = begin[at] = begin[0] = True
+        return np.flatnonzero(begin)
 
     def encode(self, raw: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, each with ``end_id`` behind it, and the n + 1 places where they begin."""
@@ -102,17 +91,12 @@ class Encoder:
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [
             None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         different = pieces.dictionary.to_pylist()
-        known = self.known
-        if len(known) > _REMEMBER:
-            known.clear()
-        rows = []
-        for piece in different:
-            row = known.get(piece)
-            if row is None:
-                row = self._piece(piece)
-                if len(piece) <= 64:
-                    known[piece] = row
-            rows.append(row)
+        rows = self.known.rows(different)
+        new = [k for k, row in enumerate(rows) if row is None]
+        for k, ids in zip(new, self.vocabulary.units([different[k] for k in new])[0]):
+            rows[k] = array("I", ids).tobytes()
+            if len(different[k]) <= 64:
+                self.known.put(different[k], rows[k])
         rows.append(np.array([end_id], np.uint32).tobytes())
         sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
         flat = np.frombuffer(b"".join(rows), np.uint32)
@@ -135,7 +119,7 @@ def write(documents: DataFrame, folder: str, vocabulary: str, end_id: int) -> Da
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = Encoder(vocabulary)
+        encoder = kept(("encoder", vocabulary), lambda: Encoder(vocabulary))
         kind = np.dtype("<u2") if max(encoder.size, end_id + 1) <= 1 << 16 else np.dtype("<u4")
         docs, offsets = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
 

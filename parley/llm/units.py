@@ -30,7 +30,10 @@ def cuts(raw: np.ndarray, at: np.ndarray, whole: np.ndarray | None = None) -> np
     found = found[_solid(raw, found - 1)]
     if whole is not None and whole.any():
         found = found[~whole[np.searchsorted(at, found, side="right") - 1]]
-    return np.union1d(found, at[:-1][np.diff(at) > 0]).astype(np.int64)
+    begin = np.zeros(len(raw), bool)
+    begin[found] = True
+    begin[at[:-1][np.diff(at) > 0]] = True
+    return np.flatnonzero(begin)
 
 
 def coded(raw: np.ndarray, begins: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -41,39 +44,41 @@ def coded(raw: np.ndarray, begins: np.ndarray) -> tuple[list[bytes], np.ndarray]
     return units.dictionary.to_pylist(), units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def encode(units: list[bytes], batch: Callable[[list[str]], list[list[int]]], sizes: np.ndarray) -> list[list[int]]:
-    """The ids of each unit. ``sizes`` has the bytes of each id; where they don't add up to the units of a call, each of these is encoded alone."""
-    parts: list[list[int]] = []
-    run: list[int] = []
-    for k, unit in enumerate(units):
-        if unit[0] == 32 and len(unit) < 4096 and (32 < unit[-1] < 127 or unit[-1] > 127 and _solid(np.frombuffer(unit, np.uint8), np.array([len(unit) - 1]))[0]):
-            run.append(k)
-            if len(run) == _TOGETHER:
-                parts.append(run)
-                run = []
-        else:
-            parts.append([k])
-    if run:
-        parts.append(run)
-    out: list = [None] * len(units)
-    again: list[int] = []
-    for part, ids in zip(parts, batch([b"".join([units[k] for k in part]).decode() for part in parts])):
-        if len(part) == 1:
-            out[part[0]] = ids
+def _joins(unit: bytes) -> bool:
+    """Whether another unit may follow this one, and this one another."""
+    last = unit[-1]
+    solid = 32 < last < 127 or last > 127 and unit[-2] != 0xC2 and not 0xE1 <= unit[-3] <= 0xE3 if len(unit) > 2 else 32 < last < 127
+    return solid and unit[0] == 32 and len(unit) < 4096
+
+
+def encode(units: list[bytes], batch: Callable[[list[str]], list[list[int]]], spelt: list[bytes], sizes: np.ndarray) -> tuple[list[list[int]], list[bool]]:
+    """The ids of each unit, and whether their bytes are those of the unit. ``spelt`` and ``sizes`` have the bytes of each id and how many they are.
+
+    Units that join are encoded together; where the bytes of a call are not those of its units, each is encoded alone.
+    """
+    joins = [_joins(unit) for unit in units]
+    run = [k for k, fits in enumerate(joins) if fits]
+    parts = [run[k: k + _TOGETHER] for k in range(0, len(run), _TOGETHER)]
+    again = [k for k, fits in enumerate(joins) if not fits]
+    out, whole = [[]] * len(units), [True] * len(units)
+    texts = [b"".join([units[k] for k in part]) for part in parts]
+    for part, text, ids in zip(parts, texts, batch([t.decode() for t in texts]) if texts else ()):
+        if b"".join([spelt[i] for i in ids]) != text:
+            again.extend(part)
             continue
-        ends = np.concatenate(([0], np.cumsum(sizes[ids])))
         wanted = np.cumsum([len(units[k]) for k in part])
+        ends = np.cumsum(sizes[ids])
         at = np.searchsorted(ends, wanted)
-        if at[-1] >= len(ends) or (ends[at] != wanted).any() or at[-1] + 1 != len(ends):
+        if (ends[at] != wanted).any():
             again.extend(part)
             continue
         lo = 0
-        for k, hi in zip(part, at.tolist()):
+        for k, hi in zip(part, (at + 1).tolist()):
             out[k] = ids[lo:hi]
             lo = hi
     for k, ids in zip(again, batch([units[k].decode() for k in again]) if again else ()):
-        out[k] = ids
-    return out
+        out[k], whole[k] = ids, b"".join([spelt[i] for i in ids]) == units[k]
+    return out, whole
 
 
 #: How byte-level vocabularies spell bytes: printable Latin-1 as itself, the others as the characters from 256 on.
@@ -82,14 +87,14 @@ _SPELT = {chr(b if b in _PRINTED else 256 + sum(c not in _PRINTED for c in range
 
 
 class ByteLevel:
-    """A byte-level vocabulary file of the tokenizers library; special tokens spelt out in a text are plain text."""
+    """A byte-level vocabulary file of the tokenizers library; special tokens spelt out in a text are plain text unless ``special``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.bytes = [b""] * self.tokenizer.get_vocab_size()
         for token, n in self.tokenizer.get_vocab().items():
             self.bytes[n] = bytes(_SPELT[c] for c in token) if all(c in _SPELT for c in token) else token.encode()
@@ -98,8 +103,8 @@ class ByteLevel:
     def batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def units(self, units: list[bytes]) -> list[list[int]]:
-        return encode(units, self.batch, self.sizes)
+    def units(self, units: list[bytes]) -> tuple[list[list[int]], list[bool]]:
+        return encode(units, self.batch, self.bytes, self.sizes)
 
 
 class Pieces:
@@ -117,5 +122,5 @@ class Pieces:
     def batch(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode([t[1:] for t in texts], num_threads=1)
 
-    def units(self, units: list[bytes]) -> list[list[int]]:
-        return encode(units, self.batch, self.sizes)
+    def units(self, units: list[bytes]) -> tuple[list[list[int]], list[bool]]:
+        return encode(units, self.batch, self.bytes, self.sizes)

@@ -25,11 +25,15 @@ class Memory:
     def __init__(self, limit: int):
         self.limit, self.new, self.old = limit, {}, {}
 
-    def get(self, key: bytes) -> Any:
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
+    def rows(self, keys: list[bytes]) -> list:
+        """The values of ``keys``, None where there is none."""
+        new, old = self.new, self.old
+        rows = [new.get(key) for key in keys]
+        for k, row in enumerate(rows):
+            if row is None and (row := old.get(keys[k])) is not None:
+                rows[k] = row
+                self.put(keys[k], row)
+        return rows
 
     def put(self, key: bytes, value: Any) -> None:
         if len(self.new) >= self.limit:
