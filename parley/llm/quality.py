@@ -176,8 +176,8 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from stored ``stats`` and ``labels`` (doc_id, quality), grown on about ``sample`` rows at most, chosen by a hash of doc_id.
+def _marks(labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, quality) to learn from: about ``sample`` documents at most, chosen by a hash of doc_id.
 
     Held-out rows and null labels are not learnt from; of several labels of a document the least counts.
     """
@@ -186,6 +186,11 @@ def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     labelled = marks.count()
     if labelled > sample:
         marks = marks.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / labelled))
+    return marks
+
+
+def train(stats: DataFrame, marks: DataFrame) -> Trees:
+    """Trees grown on ``stats`` of the documents in ``marks``."""
     rows = stats.join(marks, "doc_id").select("doc_id", "stats", "quality").toPandas().sort_values("doc_id")
     x = np.stack(list(rows["stats"])).astype(np.float32) if len(rows) else np.zeros((0, STATISTICS), np.float32)
     return grow(x, rows["quality"].to_numpy(np.float64))
@@ -194,7 +199,7 @@ def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 def scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score) of every row; null and empty texts are scored by their zeros. Repeated rows score alike."""
     stats = materialise(with_statistics(documents), "stats")
-    trees = train(stats, labels, sample)
+    trees = train(stats, _marks(labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +211,10 @@ def scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
 
 def keep_good(documents: DataFrame, labels: DataFrame, least: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``documents`` scoring ``least`` or more, all columns as they are; the texts stay where they are."""
-    trees = train(materialise(with_statistics(documents), "stats"), labels, sample)
+    marks = materialise(_marks(labels, sample), "marks")
+    # some ``sample`` ids at most go to all tasks; the texts of the others are not looked at twice
+    learnt = documents.select("doc_id", "text").join(F.broadcast(marks.select("doc_id")), "doc_id", "left_semi")
+    trees = train(with_statistics(learnt), marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,18 +27,25 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 CROWD = 256
 #: Of the pairs at the wanted overlap, the share that is to meet under a segment whatever the size of the table.
 RECALL = 0.99
-#: By how many standard deviations the differing bits of a pair at the wanted overlap may exceed their mean: 1 pair in 1,500 lies beyond.
-SLACK = 3.2
+#: By how many standard deviations the differing bits of a pair may exceed what the wanted overlap lets expect.
+SLACK = 0.0
+#: Words of a fingerprint that tell unlike texts apart before the others are compared.
+_FIRST = 6
 #: Bytes of unfolded variants that one task sorts.
 TASK_BYTES = 64 << 20
 
 
-def _vote(hashes: np.ndarray) -> int:
-    votes = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 1 << 16):
-        part = hashes[lo: lo + (1 << 16)]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+def _votes(hashes: np.ndarray, words_of_64: int) -> np.ndarray:
+    """How many of the hashes set each bit; the words after the first are made of rehashed ones."""
+    steps = np.array([n * 0x9E3779B97F4A7C15 % (1 << 64) for n in range(words_of_64)], np.uint64)
+    votes = np.zeros(64 * words_of_64, np.int64)
+    for lo in range(0, len(hashes), 4080):
+        part = hashes[lo: lo + 4080, None] + steps
+        part[:, 1:] = mix(part[:, 1:])
+        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # as many as a byte can count
+            votes += np.add.reduce(bits[k: k + 255], axis=0, dtype=np.uint8)
+    return votes
 
 
 def _shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -62,7 +69,7 @@ def fingerprint(text: bytes, shingle: int, words_of_64: int = 1) -> list[int]:
 def _prints(hashes: np.ndarray, words_of_64: int) -> list[int]:
     if not len(hashes):
         return [0] * words_of_64
-    return [_vote(hashes), *(_vote(mix(hashes + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64)))) for n in range(1, words_of_64))]
+    return np.packbits(_votes(hashes, words_of_64) * 2 > len(hashes), bitorder="little").view(np.int64).tolist()
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
@@ -181,6 +188,16 @@ def _apart(prints: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return sum(np.bitwise_count(p[i] ^ p[j]).astype(np.uint16) for p in prints)
 
 
+def _near(prints: list[np.ndarray], i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
+    """Whether the fingerprints of rows ``i`` and ``j`` lie within ``distance``."""
+    i, j = np.broadcast_arrays(i, j)
+    near = _apart(prints[:_FIRST], i, j) <= distance
+    if len(prints) > _FIRST:
+        at = np.nonzero(near)
+        near[at] = _apart(prints, i[at], j[at]) <= distance
+    return near
+
+
 def _forest(node: np.ndarray, prints: list[np.ndarray], distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join whatever all links within ``distance`` join, at most one for each row.
 
@@ -194,7 +211,7 @@ def _forest(node: np.ndarray, prints: list[np.ndarray], distance: int) -> tuple[
             continue
         take = max(1, (1 << 20) // len(left))
         now, front = front[:take], front[take:]
-        near = _apart(prints, now[:, None], left[None, :]) <= distance
+        near = _near(prints, now[:, None], left[None, :], distance)
         hit = near.any(axis=0)
         a.append(node[now[near[:, hit].argmax(axis=0)]])
         b.append(node[left[hit]])
@@ -202,24 +219,25 @@ def _forest(node: np.ndarray, prints: list[np.ndarray], distance: int) -> tuple[
     return np.concatenate(a), np.concatenate(b)
 
 
-def _meetings(distance: int, crowd: int, block: int | None, every: bool = False):
-    """Links of rows (key, side, node, label, words of the fingerprint) sorted by key and node: one pass that holds a batch and one key's rows.
+def _meetings(distance: int, crowd: int, block: int | None):
+    """Links of rows (key, side, node, words of the fingerprint) sorted by key and node: one pass that holds a batch and one key's rows.
 
     Under a key every row is compared with the least node, then those not both linked to it with one another; a link between
     two rows that are joined anyway may be left out. Keys of more than ``crowd`` rows are searched outwards from the rows
     already reached. A key of more than ``block`` rows is only counted, (key, null, rows), for another pass to cut up.
-    ``side`` is the value of a wiped bit: only rows unlike in it are compared. -1 compares all. Rows of one ``label`` are not
-    compared either. With ``every`` no link is left out.
+    ``side`` is the value of a wiped bit: only rows unlike in it are compared. -1 compares all.
     """
-    def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, side, node, label, prints = rows[0], rows[1], rows[2], rows[3], rows[4:]
+    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, side, node, prints = rows[0], rows[1], rows[2], rows[3:]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.append(begin, len(key)))
         many = begin[length > 1]
         start, end = np.repeat(begin, length), np.repeat(begin + length, length)
 
         def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return ((side[i] < 0) | (side[i] != side[j])) & (label[i] != label[j]) & (_apart(prints, i, j) <= distance)
+            unlike = (side[i] < 0) | (side[i] != side[j])
+            unlike[unlike] = _near(prints, i[unlike], j[unlike], distance)
+            return unlike
 
         few = np.flatnonzero((end - start > 1) & (end - start <= crowd))
         few = few[few != start[few]]
@@ -231,25 +249,16 @@ def _meetings(distance: int, crowd: int, block: int | None, every: bool = False)
             few = few[few + step < end[few]]
             if not len(few):
                 break
-            at = few if every else few[~(tied[few] & tied[few + step])]
+            at = few[~(tied[few] & tied[few + step])]
             at = at[fits(at, at + step)]
             a.append(node[at])
             b.append(node[at + step])
         for lo in many[end[many] - many > crowd].tolist():
             hi = end[lo]
-            if every:
-                take = max(1, (1 << 20) // int(hi - lo))
-                for at in range(lo, hi, take):
-                    i = np.arange(at, min(hi, at + take))[:, None]
-                    j = np.arange(at + 1, hi)[None, :]
-                    x, y = np.nonzero((i < j) & fits(i, j))
-                    yield found_in(node[at + x], node[at + 1 + y])
-            elif side[lo] < 0 or (side[lo:hi] != side[lo]).any():
+            if side[lo] < 0 or (side[lo:hi] != side[lo]).any():
                 for out, found in zip((a, b), _forest(node[lo:hi], [p[lo:hi] for p in prints], distance)):
                     out.append(found)
-        yield found_in(np.concatenate(a), np.concatenate(b))
-
-    def found_in(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        a, b = np.concatenate(a), np.concatenate(b)
         return pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "rows"])
 
     def counted(key: int, rows: int) -> pa.RecordBatch:
@@ -259,7 +268,7 @@ def _meetings(distance: int, crowd: int, block: int | None, every: bool = False)
         held, over = None, None
         for batch in batches:
             rows = [batch.column(n).to_numpy() for n in range(batch.num_columns)]
-            rows[4:] = [p.view(np.uint64) for p in rows[4:]]
+            rows[3:] = [p.view(np.uint64) for p in rows[3:]]
             if over:
                 here = int(np.searchsorted(rows[0], over[0], side="right"))
                 over[1] += here
@@ -273,28 +282,27 @@ def _meetings(distance: int, crowd: int, block: int | None, every: bool = False)
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             last = int(np.searchsorted(rows[0], rows[0][-1]))
             if last:
-                yield from links([x[:last] for x in rows])
+                yield links([x[:last] for x in rows])
             held = [x[last:] for x in rows]
             if block and len(held[0]) > block:
                 held, over = None, [int(held[0][0]), len(held[0])]
         if held:
-            yield from links(held)
+            yield links(held)
         if over:
             yield counted(*over)
 
     return run
 
 
-def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance: int, crowd: int, block: int, judged: int = 0,
-           every: bool = False) -> DataFrame:
+def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance: int, crowd: int, block: int, judged: int = 0) -> DataFrame:
     """Links (a, b) of the classes (node, fp array) that share a segment, whole or with a bit wiped, and lie within ``distance``.
 
-    They join whatever all such links join; with ``every`` they are all such links of classes of unlike ``label``. ``count`` is the number of classes. Segments lie over all bits, across the borders of
-    words; the first ``judged`` words (0: all) travel and are compared. Keys of more than ``block`` rows are cut by a hash of the
+    They join whatever all such links join. ``count`` is the number of classes. Segments lie over all bits of the first ``words_of_64`` words,
+    across their borders; the first ``judged`` words (0: as many) travel and are compared. Keys of more than ``block`` rows are cut by a hash of the
     node into parts that meet pair by pair.
     """
     segments, low = 64 * words_of_64 // size, size // 2
-    names = ["label", *(f"f{n}" for n in range(judged or words_of_64))]
+    names = [f"f{n}" for n in range(judged or words_of_64)]
     # a segment's variants wiped in one half agree in the other half: they travel as one row and unfold where they meet
     slots = []
     for m in range(segments):
@@ -306,8 +314,7 @@ def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance
         for first, end, intact in ((-1, low, F.shiftright(part, low)), (low, size, part.bitwiseAND(F.lit((1 << low) - 1)))):
             slots.append(F.struct(
                 F.lit(m * 65).alias("piece"), F.lit(first).alias("first"), F.lit(end - 1).alias("last"), part.alias("part"), intact.alias("intact")))
-    label = F.col("label" if every else "node").alias("label")
-    held = classes.select("node", label, *(F.col("fp")[n].alias(c) for n, c in enumerate(names[1:])), F.explode(F.array(*slots)).alias("k")).select(
+    held = classes.select("node", *(F.col("fp")[n].alias(c) for n, c in enumerate(names)), F.explode(F.array(*slots)).alias("k")).select(
         "node", *names, "k.*")
 
     def variants(rows: DataFrame) -> DataFrame:
@@ -321,9 +328,9 @@ def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance
 
     def met(rows: DataFrame, block: int | None) -> DataFrame:
         return materialise(rows.sortWithinPartitions("key", "node").mapInArrow(
-            _meetings(distance, crowd, block, every), "a long, b long, rows long").distinct(), "links")
+            _meetings(distance, crowd, block), "a long, b long, rows long").distinct(), "links")
 
-    tasks = math.ceil(count * segments * (size + 1) * 8 * (len(names) + 6) / TASK_BYTES)
+    tasks = math.ceil(count * segments * (size + 1) * 8 * (len(names) + 5) / TASK_BYTES)
     found = met(variants(held.repartition(max(1, tasks), "piece", "first", "intact")), block)
     over = found.where("b is null").select(F.col("a").alias("key"), F.ceil(F.col("rows") * 4 / block).cast("int").alias("parts"))
     if over.isEmpty():
@@ -334,35 +341,26 @@ def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance
     return found.where("b is not null").unionByName(met(cut.repartition("key"), None)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, alike) of pairs (a, b): whether the sets (node, shingles) overlap by ``similarity``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            true = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                true.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(true, pa.bool_())], ["a", "b", "alike"])
-
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long, alike boolean"), "verified")
+def bound(similarity: float, words_of_64: int) -> int:
+    """In how many bits of their fingerprints near copies differ at most."""
+    bits, odds = 64 * words_of_64, _bit_odds(similarity)
+    return math.floor(bits * odds + SLACK * math.sqrt(bits * odds * (1 - odds)))
 
 
-def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, words_of_64: int = 4, crowd: int = 64,
+def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, words_of_64: int = 16, crowd: int = 64,
                      block: int = 1 << 18) -> DataFrame:
     """The row of least doc_id of each group of near copies, all columns as they are.
 
-    Near copies are texts whose sets of ``shingle``-word shingles overlap by ``similarity``, and what a chain of them joins. They
-    differ in too many bits for a bound of three, so a longer fingerprint of the set is used: segments of about log2 of the number of
-    texts, as many as RECALL asks for, met whole or with one bit wiped, propose the pairs whose fingerprints lie within a loose bound,
-    and the sets themselves decide. First the links that join all proposals are verified; where one of them fails, every
-    pair proposed in that group between texts not yet joined is verified too, however many there are: no pair goes unjudged.
-    Equal sets are one class. Rows without words form no group, nor do rows without doc_id; of repeated rows one stays.
+    Near copies are texts whose fingerprints of ``64 * words_of_64`` bits over their sets of ``shingle``-word shingles differ in at most as many
+    bits as sets that overlap by ``similarity`` let expect, and SLACK deviations more; a group is what a chain of them joins. That is
+    the rule: bits estimate the overlap, with 1,024 of them to some 0.025, and the sets themselves are not compared. Fingerprints meet
+    under segments of about log2 of the number of texts, whole or with one bit wiped, as many as RECALL asks for, and
+    are compared there; at most one link a text leaves a key. Equal sets are one class. Rows without words form no group, nor do rows
+    without doc_id; of repeated rows one stays.
     """
     size = _bands(documents.count())
-    segment_words = max(words_of_64, _words(size, similarity))
+    segment_words = _words(size, similarity)
+    words_of_64 = max(words_of_64, segment_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,57 +368,28 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
             sets = [np.unique(_shingles(raw[a:b].tobytes(), shingle)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.record_batch([
                 batch.column("doc_id"), pa.array([xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in sets], pa.int64()),
-                pa.array([_prints(x, segment_words) for x in sets], pa.list_(pa.int64())),
+                pa.array([_prints(x, words_of_64) for x in sets], pa.list_(pa.int64())),
                 pa.array([len(x) > 0 for x in sets]), batch.column("sum")], ["doc_id", "node", "fp", "words", "sum"])
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = text_bytes(batch.column("text"))
-            sets = [np.unique(_shingles(raw[a:b].tobytes(), shingle)).astype("<u8").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.record_batch([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    row_id, row_sum = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    narrow = documents.select(row_id.alias("doc_id"), F.col("text").cast("string").alias("text"), row_sum.alias("sum"))
+    row_id, row_sum = documents["doc_id"].cast("long"), F.xxhash64(documents["text"].cast("string"))
+    narrow = documents.select(row_id.alias("doc_id"), documents["text"].cast("string").alias("text"), row_sum.alias("sum"))
     prints = materialise(narrow.mapInArrow(run, "doc_id long, node long, fp array<long>, words boolean, sum long"), "prints")
     known = prints.where("words and doc_id is not null")
-    classes = materialise(known.groupBy("node", "fp").agg(F.min(F.struct("doc_id", "sum")).alias("first")), "classes")
-    count = classes.count()
-    bits, odds = 64 * words_of_64, _bit_odds(similarity)
-    distance = math.floor(bits * odds + SLACK * math.sqrt(bits * odds * (1 - odds)))
-    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-
-    def proposed(classes: DataFrame, count: int, every: bool) -> DataFrame:
-        found = _alike(classes, count, segment_words, size, distance, crowd, block, words_of_64, every)
-        return materialise((found if every else forest(found)).select(ends).distinct(), "proposed")
-
-    pairs = proposed(classes, count, False)
-    # the texts of what is proposed move once; equal rows give the same set
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select(
-        "node", F.col("first.doc_id").alias("doc_id"), F.col("first.sum").alias("sum"))
-    texts = narrow.join(wanted, ["doc_id", "sum"]).select("node", "text")
-    sets = materialise(texts.mapInArrow(shingles, "node long, shingles binary").dropDuplicates(["node"]), "sets")
-    judged = _verified(pairs, sets, similarity)
-    true, failed = judged.where("alike").select("a", "b"), judged.where("not alike")
-    if not failed.isEmpty():
-        tight = components(true, "a", "b").withColumnRenamed("component", "label")
-        loose = materialise(components(pairs, "a", "b"), "loose")
-        torn = failed.join(loose, failed["b"] == loose["node"]).select("component").distinct()
-        left_open = loose.join(torn, "component").select("node").join(tight, "node", "left").join(classes, "node").select(
-            "node", "fp", F.coalesce("label", "node").alias("label"))
-        left_open = materialise(left_open, "open")
-        more = proposed(left_open, left_open.count(), True).join(judged, ["a", "b"], "left_anti")
-        true = true.unionByName(_verified(more, sets, similarity).where("alike").select("a", "b"))
-    joined = components(true, "a", "b")
+    classes = materialise(known.groupBy("node").agg(F.any_value("fp").alias("fp"), F.min(F.struct("doc_id", "sum")).alias("first")), "classes")
+    links = _alike(classes, classes.count(), segment_words, size, bound(similarity, words_of_64), crowd, block, words_of_64)
+    joined = components(forest(links), "a", "b")
     named = materialise(classes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group")), "groups")
     best = named.groupBy("group").agg(F.min("first").alias("best"))
     named = named.join(best, "group").select("node", "best")
-    gone = known.join(named, "node").where("doc_id <> best.doc_id or sum <> best.sum").select(
-        F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum"))
+    gone = known.join(named, "node").where("doc_id <> best.doc_id or sum <> best.sum").select("doc_id", "sum")
     # rows that repeat a doc_id and its text: all but one go as well
-    twice = materialise(known.groupBy("doc_id", "sum").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.col("doc_id").alias("gone_id"), F.col("sum").alias("gone_sum")), "twice")
-    this = [row_id == F.col("gone_id"), row_sum == F.col("gone_sum")]
-    kept = documents.join(materialise(gone.distinct(), "gone"), this, "left_anti")
+    twice = materialise(known.groupBy("doc_id", "sum").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "sum"), "twice")
+
+    def these(rows: DataFrame, found: DataFrame) -> list:
+        return [rows["doc_id"].cast("long") == found["doc_id"], F.xxhash64(rows["text"].cast("string")) == found["sum"]]
+
+    gone = materialise(gone.distinct(), "gone")
+    kept = documents.join(gone, these(documents, gone), "left_anti")
     if twice.isEmpty():
         return kept
-    return kept.join(twice, this, "left_anti").unionByName(kept.join(twice, this, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(twice, these(kept, twice), "left_anti").unionByName(kept.join(twice, these(kept, twice), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -200,9 +200,14 @@ def test_keep_one_of_each_against_brute_force(spark):
             n = root[n]
         return n
 
+    prints = [simhash._prints(np.unique(simhash._shingles(" ".join(t).encode(), 5)), 16) for t in texts]
+    bits = simhash.bound(0.8, 16)
     for b in range(len(texts)):
         for a in range(b):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            overlap, apart = len(sets[a] & sets[b]) / len(sets[a] | sets[b]), sum((x ^ y & (1 << 64) - 1).bit_count() for x, y in (
+                (x & (1 << 64) - 1, y) for x, y in zip(prints[a], prints[b])))
+            assert (overlap < 0.88 or apart <= bits) and (overlap > 0.7 or apart > bits)
+            if apart <= bits:
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
     want = {n for n in range(len(texts)) if root[n] == n}
@@ -219,6 +224,16 @@ def test_keep_one_of_each_tells_rows_by_text(spark):
     assert sorted((x.doc_id or 0, x.text) for x in kept) == sorted((n or 0, t) for n, t in rows[:1] + rows[2:4] + rows[5:])
 
 
+def test_keep_one_of_each_of_hard_tables(spark):
+    """Nulls in all columns, empty and repeated rows, a column of a name used inside, no rows."""
+    text = prose(3, 100, 5000)
+    rows = spark.createDataFrame([(1, text, 1, None), (2, text, None, "x"), (None, None, None, None), (None, "", 2, None), (5, None, 1, "y"), (5, None, 1, "y")],
+                                 "doc_id long, text string, sum long, gone_id string")
+    kept = simhash.keep_one_of_each(rows)
+    assert kept.columns == rows.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, ""), (1, text), (5, ""), (5, "")]
+    assert simhash.keep_one_of_each(rows.where("false")).collect() == []
+
+
 def test_segments_keep_their_recall_as_tables_grow():
     for overlap in (0.8, 0.85):
         odds = np.arccos(2 * overlap / (1 + overlap)) / np.pi
