@@ -116,7 +116,7 @@ def _check(spark: SparkSession, query: str) -> None:
 
 
 def publish(spark: SparkSession, archive_id, views: dict[str, DataFrame]) -> SparkSession:
-    """A session of its own with the views of one archive and the ``sessions_at`` table function.
+    """A session of its own with the views of one archive (all archives, if None) and the ``sessions_at`` table function.
 
     Sessions share the cluster and its cached data, not their views: several archives are open at once, and a query
     sees the one its session was made for. Settings are those of ``spark`` at this moment.
@@ -131,7 +131,7 @@ def publish(spark: SparkSession, archive_id, views: dict[str, DataFrame]) -> Spa
     for name, df in views.items():
         if name not in VIEWS:
             raise ValueError(f"{name} is not a published view")
-        shown = df.where(F.col("archive_id") == F.lit(archive_id))
+        shown = df if archive_id is None else df.where(F.col("archive_id") == F.lit(archive_id))
         dataset.ofRows(session._jsparkSession, shown._jdf.logicalPlan()).createOrReplaceTempView(name)
     if "messages" in views:
         session.sql(SESSIONS_AT_SQL)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parley.operators import sessions as S
 from parley.operators.ordered import with_time_slices
 from parley.operators.views import v_media, v_messages, v_searchable
+from parley.plans import adhoc
 from parley.plans import reports as P
 from parley.registry import sqltext as Q
 from parley.registry.core import query
@@ -53,9 +54,9 @@ def _(w):
 
 @query("sessions_at_sql", _SESSIONS_AT)
 def _(w):
-    w.events.messages.createOrReplaceTempView("messages")
-    w.spark.sql(S.SESSIONS_AT_SQL)
-    return w.spark.sql("SELECT archive_id, msg_id, is_start, session_no FROM sessions_at(2.0D)")
+    # a session of its own: the caller's views and functions stay as they are
+    session = adhoc.publish(w.spark, None, {"messages": w.events.messages})
+    return session.sql("SELECT archive_id, msg_id, is_start, session_no FROM sessions_at(2.0D)")
 
 
 @query("time_slices", f"""WITH {Q.RAW_E} SELECT archive_id, CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS slice_hour, count(*) AS messages
