@@ -24,24 +24,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return below.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def shrink(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join whatever the links between ``a`` and ``b`` join: one for each node but the least of its group."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    left, right = at[: len(a)], at[len(a):]
+    least = np.arange(len(nodes))
+    while (least[left] != least[right]).any():
+        x, y = least[left], least[right]
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least != least[least]).any():
+            least = least[least]
+    rest = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[least[rest]], nodes[rest]
+
+
 def forest(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Links (a, b) that join whatever the links (a, b) of ``edges`` join: of each ``block`` links one for each node but the least of its group.
 
     A dense group has far more links than nodes; the joins that follow then meet the nodes only. Links hold no nulls.
     """
-    def shrink(links: list[np.ndarray]) -> pa.RecordBatch:
-        nodes, at = np.unique(np.concatenate(links), return_inverse=True)
-        a, b = at[: len(links[0])], at[len(links[0]):]
-        least = np.arange(len(nodes))
-        while True:
-            la, lb = least[a], least[b]
-            if (la == lb).all():
-                break
-            np.minimum.at(least, np.maximum(la, lb), np.minimum(la, lb))
-            while (least != least[least]).any():
-                least = least[least]
-        rest = np.flatnonzero(least != np.arange(len(nodes)))
-        return pa.record_batch([pa.array(nodes[least[rest]]), pa.array(nodes[rest])], ["a", "b"])
+    def shrunk(held: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x) for x in shrink(*(np.concatenate(x) for x in zip(*held)))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -49,10 +52,10 @@ def forest(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
             held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
             rows += len(batch)
             if rows >= block:
-                yield shrink([np.concatenate(x) for x in zip(*held)])
+                yield shrunk(held)
                 held, rows = [], 0
         if rows:
-            yield shrink([np.concatenate(x) for x in zip(*held)])
+            yield shrunk(held)
 
     return edges.select("a", "b").coalesce(max(1, -(-edges.count() // block))).mapInArrow(run, "a long, b long")
 
@@ -72,3 +75,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if now == before or not now[0]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
+
+
+def groups(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node with a link (a, b) to another, the least of each group included."""
+    joined = materialise(components(edges, "a", "b"), "joined")
+    return joined.unionByName(joined.select(F.col("component").alias("node"), "component")).distinct()

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.flat import mix, text_bytes
-from parley.llm.graph import components, forest
+from parley.llm.graph import components, forest, groups, shrink
+from parley.operators.skew import spread_join
 from parley.sources.store import materialise
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -27,8 +28,9 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 CROWD = 256
 #: Of the pairs at the wanted overlap, the share that is to meet under a segment whatever the size of the table.
 RECALL = 0.99
-#: By how many standard deviations the differing bits of a pair may exceed what the wanted overlap lets expect.
-SLACK = 0.0
+#: By how many standard deviations the differing bits of a pair may exceed what the wanted overlap lets expect: in the whole fingerprint, which
+#: decides, and in its first words, which only propose.
+SLACK, LOOSE = 0.0, 3.2
 #: Words of a fingerprint that tell unlike texts apart before the others are compared.
 _FIRST = 6
 #: Bytes of unfolded variants that one task sorts.
@@ -223,11 +225,11 @@ def _meetings(distance: int, crowd: int, block: int | None):
     """Links of rows (key, side, node, words of the fingerprint) sorted by key and node: one pass that holds a batch and one key's rows.
 
     Under a key every row is compared with the least node, then those not both linked to it with one another; a link between
-    two rows that are joined anyway may be left out. Keys of more than ``crowd`` rows are searched outwards from the rows
+    two rows that are joined anyway may be left out, and of what a task finds only a forest leaves it. Keys of more than ``crowd`` rows are searched outwards from the rows
     already reached. A key of more than ``block`` rows is only counted, (key, null, rows), for another pass to cut up.
     ``side`` is the value of a wiped bit: only rows unlike in it are compared. -1 compares all.
     """
-    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
+    def links(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         key, side, node, prints = rows[0], rows[1], rows[2], rows[3:]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.append(begin, len(key)))
@@ -258,15 +260,21 @@ def _meetings(distance: int, crowd: int, block: int | None):
             if side[lo] < 0 or (side[lo:hi] != side[lo]).any():
                 for out, found in zip((a, b), _forest(node[lo:hi], [p[lo:hi] for p in prints], distance)):
                     out.append(found)
-        a, b = np.concatenate(a), np.concatenate(b)
+        return np.concatenate(a), np.concatenate(b)
+
+    def joined(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = shrink(*(np.concatenate(x) for x in zip(*found)))
         return pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "rows"])
 
     def counted(key: int, rows: int) -> pa.RecordBatch:
         return pa.record_batch([pa.array([key]), pa.nulls(1, pa.int64()), pa.array([rows], pa.int64())], ["a", "b", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, over = None, None
+        held, over, found, n = None, None, [], 0
         for batch in batches:
+            if n > 1 << 20:
+                yield joined(found)
+                found, n = [], 0
             rows = [batch.column(n).to_numpy() for n in range(batch.num_columns)]
             rows[3:] = [p.view(np.uint64) for p in rows[3:]]
             if over:
@@ -282,12 +290,15 @@ def _meetings(distance: int, crowd: int, block: int | None):
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             last = int(np.searchsorted(rows[0], rows[0][-1]))
             if last:
-                yield links([x[:last] for x in rows])
+                found.append(links([x[:last] for x in rows]))
+                n += len(found[-1][0])
             held = [x[last:] for x in rows]
             if block and len(held[0]) > block:
                 held, over = None, [int(held[0][0]), len(held[0])]
         if held:
-            yield links(held)
+            found.append(links(held))
+        if found:
+            yield joined(found)
         if over:
             yield counted(*over)
 
@@ -341,10 +352,10 @@ def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance
     return found.where("b is not null").unionByName(met(cut.repartition("key"), None)).select("a", "b")
 
 
-def bound(similarity: float, words_of_64: int) -> int:
+def bound(similarity: float, words_of_64: int, slack: float = SLACK) -> int:
     """In how many bits of their fingerprints near copies differ at most."""
     bits, odds = 64 * words_of_64, _bit_odds(similarity)
-    return math.floor(bits * odds + SLACK * math.sqrt(bits * odds * (1 - odds)))
+    return math.floor(bits * odds + slack * math.sqrt(bits * odds * (1 - odds)))
 
 
 def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8, words_of_64: int = 16, crowd: int = 64,
@@ -354,8 +365,9 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     Near copies are texts whose fingerprints of ``64 * words_of_64`` bits over their sets of ``shingle``-word shingles differ in at most as many
     bits as sets that overlap by ``similarity`` let expect, and SLACK deviations more; a group is what a chain of them joins. That is
     the rule: bits estimate the overlap, with 1,024 of them to some 0.025, and the sets themselves are not compared. Fingerprints meet
-    under segments of about log2 of the number of texts, whole or with one bit wiped, as many as RECALL asks for, and
-    are compared there; at most one link a text leaves a key. Equal sets are one class. Rows without words form no group, nor do rows
+    under segments of about log2 of the number of texts, whole or with one bit wiped, as many as RECALL asks for. First only their
+    first 256 bits travel and propose links, at most one a text for each key, under a looser bound; the whole fingerprints verify these. Texts of a
+    group where a link fails meet once more, with all their bits, which decide at once. Equal sets are one class. Rows without words form no group, nor do rows
     without doc_id; of repeated rows one stays.
     """
     size = _bands(documents.count())
@@ -376,11 +388,23 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     prints = materialise(narrow.mapInArrow(run, "doc_id long, node long, fp array<long>, words boolean, sum long"), "prints")
     known = prints.where("words and doc_id is not null")
     classes = materialise(known.groupBy("node").agg(F.any_value("fp").alias("fp"), F.min(F.struct("doc_id", "sum")).alias("first")), "classes")
-    links = _alike(classes, classes.count(), segment_words, size, bound(similarity, words_of_64), crowd, block, words_of_64)
-    joined = components(forest(links), "a", "b")
-    named = materialise(classes.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("group")), "groups")
-    best = named.groupBy("group").agg(F.min("first").alias("best"))
-    named = named.join(best, "group").select("node", "best")
+    count, bits = classes.count(), bound(similarity, words_of_64)
+    first_words = min(words_of_64, max(4, segment_words))
+    proposed = materialise(forest(_alike(classes, count, segment_words, size, bound(similarity, first_words, LOOSE), crowd, block, first_words)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    apart = sum(F.bit_count(F.col("left")[n].bitwiseXOR(F.col("right")[n])) for n in range(words_of_64))
+    ends = [classes.select(F.col("node").alias(n), F.col("fp").alias(fp)) for n, fp in (("a", "left"), ("b", "right"))]
+    judged = materialise(proposed.join(ends[0], "a").join(ends[1], "b").select("a", "b", (apart <= bits).alias("alike")), "judged")
+    links, failed = judged.where("alike").select("a", "b"), judged.where("not alike")
+    if not failed.isEmpty():
+        loose = materialise(groups(proposed), "loose")
+        torn = failed.join(loose, failed["b"] == loose["node"]).select("component").distinct()
+        left_open = materialise(loose.join(torn, "component").select("node").join(classes, "node").select("node", "fp"), "open")
+        links = links.unionByName(forest(_alike(left_open, left_open.count(), segment_words, size, bits, crowd, block, words_of_64)))
+    linked = materialise(classes.select("node", "first").join(groups(links), "node"), "linked")
+    best = linked.groupBy("component").agg(F.min("first").alias("best"))
+    best = spread_join(linked, best, ["component"], ["node"], salts=8).select("node", "best")
+    named = classes.select("node", "first").join(best, "node", "left").select("node", F.coalesce("best", "first").alias("best"))
     gone = known.join(named, "node").where("doc_id <> best.doc_id or sum <> best.sum").select("doc_id", "sum")
     # rows that repeat a doc_id and its text: all but one go as well
     twice = materialise(known.groupBy("doc_id", "sum").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "sum"), "twice")
