@@ -31,6 +31,10 @@ RECALL = 0.99
 #: By how many standard deviations the differing bits of a pair may exceed what the wanted overlap lets expect: in the whole fingerprint, which
 #: decides, and in its first words, which only propose.
 SLACK, LOOSE = 0.0, 3.2
+#: Words of a fingerprint that travel to propose links.
+PROPOSE = 4
+#: Rows of two numbers that go to all tasks instead of moving the texts, some 60 MB.
+BROADCAST_ROWS = 1 << 21
 #: Words of a fingerprint that tell unlike texts apart before the others are compared.
 _FIRST = 6
 #: Bytes of unfolded variants that one task sorts.
@@ -372,7 +376,7 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     """
     size = _bands(documents.count())
     segment_words = _words(size, similarity)
-    words_of_64 = max(words_of_64, segment_words)
+    words_of_64 = max(words_of_64, segment_words, PROPOSE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,8 +393,7 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
     known = prints.where("words and doc_id is not null")
     classes = materialise(known.groupBy("node").agg(F.any_value("fp").alias("fp"), F.min(F.struct("doc_id", "sum")).alias("first")), "classes")
     count, bits = classes.count(), bound(similarity, words_of_64)
-    first_words = min(words_of_64, max(4, segment_words))
-    proposed = materialise(forest(_alike(classes, count, segment_words, size, bound(similarity, first_words, LOOSE), crowd, block, first_words)).select(
+    proposed = materialise(forest(_alike(classes, count, segment_words, size, bound(similarity, PROPOSE, LOOSE), crowd, block, PROPOSE)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
     apart = sum(F.bit_count(F.col("left")[n].bitwiseXOR(F.col("right")[n])) for n in range(words_of_64))
     ends = [classes.select(F.col("node").alias(n), F.col("fp").alias(fp)) for n, fp in (("a", "left"), ("b", "right"))]
@@ -413,6 +416,8 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
         return [rows["doc_id"].cast("long") == found["doc_id"], F.xxhash64(rows["text"].cast("string")) == found["sum"]]
 
     gone = materialise(gone.distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     kept = documents.join(gone, these(documents, gone), "left_anti")
     if twice.isEmpty():
         return kept
