@@ -10,7 +10,7 @@ from parley.operators.sessions import drop_system
 from parley.plans import ingest
 from parley.registry import sqltext as Q
 from parley.registry.core import query
-from parley.sources import adapters, exports, store
+from parley.sources import adapters, exports, store, zips
 
 A = "archive_id"
 
@@ -77,6 +77,63 @@ def _(w):
     return T.parse_lines(lines).select("file", "ts", "sender", "text")
 
 
+def _bundles(w) -> str:
+    """A folder of zips written from the conversations, 25 to each: a transcript, attachments, an entry that tries to escape; some zips are cut off."""
+    folder = store.new_table_path(w.spark, "bundles")
+
+    def write(group):
+        import io
+        import zipfile
+
+        group = group.sort_values(["conv_id", "turn"])
+        bundle = int(group["conv_id"].iloc[0]) // 25
+        chat = "".join(f"12/08/2023, 21:14 - {role}: {text}\n" for role, text in zip(group["role"], group["text"]))
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("export/_chat.txt", chat.encode("utf-16" if bundle % 3 == 2 else "utf-8"))
+            z.writestr("notes.txt", "x")
+            for conv, turns in group.groupby("conv_id").size().items():
+                z.writestr(f"media/IMG-{conv}.jpg", b"x" * turns)
+            z.writestr("../evil.txt", "x" * 5000)
+        system, place = zips._file_system(folder)
+        system.create_dir(place, recursive=True)
+        for name, data in ((f"bundle-{bundle}.zip", buffer.getvalue()), (f"broken-{bundle}.zip", buffer.getvalue()[:40] if bundle % 4 == 1 else None)):
+            if data is not None:
+                with system.open_output_stream(f"{place}/{name}") as out:
+                    out.write(data)
+        return pd.DataFrame({"bundle": [bundle]})
+
+    rows = w.table("conversations").where("conv_id is not null").withColumn("bundle", F.expr("conv_id DIV 25"))
+    store.materialise(rows.groupBy("bundle").applyInPandas(write, "bundle long"), "written-bundles")
+    return folder
+
+
+_TALK = "'12/08/2023, 21:14 - ' || role || ': ' || text || chr(10)"
+_BUNDLED = f"""WITH talk AS (SELECT conv_id // 25 AS bundle, string_agg({_TALK}, '' ORDER BY conv_id, turn) AS chat FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL)"""
+
+
+@query("read_zip_files", _BUNDLED + """, entries AS (
+    SELECT bundle, 'export/_chat.txt' AS name, 'export/_chat.txt' AS member, CASE WHEN bundle % 3 = 2 THEN 2 * length(chat) + 2 ELSE strlen(chat) END AS size FROM talk
+    UNION ALL SELECT bundle, 'notes.txt', 'notes.txt', 1 FROM talk UNION ALL SELECT bundle, '../evil.txt', NULL, 5000 FROM talk
+    UNION ALL SELECT conv_id // 25, 'media/IMG-' || conv_id || '.jpg', 'media/IMG-' || conv_id || '.jpg', count(*) FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id)
+    SELECT 'bundle-' || bundle || '.zip' AS export, name, member, CAST(size AS BIGINT) AS size, member IS NULL AS unsafe, false AS broken FROM entries
+    UNION ALL SELECT 'broken-' || bundle || '.zip', NULL, NULL, NULL, false, true FROM talk WHERE bundle % 4 = 1""")
+def _(w):
+    """Zips in a folder, listed from their central directories."""
+    listed = zips.list_members(w.spark, _bundles(w))
+    return listed.select(F.substring_index("export", "/", -1).alias("export"), "name", "member", "size", "unsafe", F.col("error").isNotNull().alias("broken"))
+
+
+@query("zip_transcripts", _BUNDLED + """, parts AS (SELECT bundle, string_split(rtrim(chat, chr(10)), chr(10)) AS lines FROM talk)
+    SELECT 'bundle-' || bundle || '.zip' AS file, CAST(unnest(range(1, len(lines) + 1)) AS BIGINT) AS line_no, unnest(lines) AS line,
+        CASE WHEN bundle % 3 = 2 THEN 'utf-16' ELSE 'utf-8-sig' END AS encoding FROM parts
+    UNION ALL SELECT 'broken-' || bundle || '.zip', 0, NULL, NULL FROM talk WHERE bundle % 4 = 1""")
+def _(w):
+    """The transcript lines of zips in a folder; no attachment is unpacked."""
+    lines = zips.read_transcripts(w.spark, _bundles(w))
+    return lines.select(F.substring_index("file", "/", -1).alias("file"), "line_no", "line", "encoding")
+
+
 _MEMBER = """CASE length(url) % 4 WHEN 0 THEN regexp_replace(url, '^https?://', '') WHEN 1 THEN replace(url, '/', '\\\\')
     WHEN 2 THEN regexp_replace(url, '^https?:/', '') ELSE 'x/./../' || url END"""
 

@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,20 +29,25 @@ BATCH_BYTES = 16 * 1024 * 1024
 
 def _members(batches):
     def frame(rows):
-        return pd.DataFrame(rows, columns=["export", "name", "size", "content"])
+        return pd.DataFrame(rows, columns=["export", "name", "size", "content", "error"])
 
     rows, held = [], 0
     for files in batches:
         for path, content in zip(files["path"], files["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for info in archive.infolist():
-                    if info.is_dir():
-                        continue
-                    rows.append((path, info.filename, info.file_size, archive.read(info)))
-                    held += info.file_size
-                    if held >= BATCH_BYTES or len(rows) >= 10_000:
-                        yield frame(rows)
-                        rows, held = [], 0
+            name = None
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for info in archive.infolist():
+                        if info.is_dir():
+                            continue
+                        name = info.filename
+                        rows.append((path, name, info.file_size, archive.read(info), None))
+                        held += info.file_size
+                        if held >= BATCH_BYTES or len(rows) >= 10_000:
+                            yield frame(rows)
+                            rows, held = [], 0
+            except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError) as e:
+                rows.append((path, name, None, None, f"{type(e).__name__}: {e}"))
     if rows:
         yield frame(rows)
 
@@ -53,16 +59,17 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zip_members(zips: DataFrame) -> DataFrame:
-    """Members of zips (path, content) as (export, name, member, size, content, unsafe).
+    """Members of zips (path, content) as (export, name, member, size, content, unsafe, error).
 
-    Unsafe entries stay as rows without content, so they can be counted.
+    Unsafe entries stay as rows without content, so they can be counted. A zip that breaks off gives a row with its error behind
+    the members before it. Zips lie whole in their rows here; ``zips.py`` reads them in pieces.
     """
     members = zips.select("path", "content").mapInPandas(
-        _members, "export string, name string, size bigint, content binary")
+        _members, "export string, name string, size bigint, content binary, error string")
     member = safe_member_path("name")
     return (
-        members.withColumn("member", member).withColumn("unsafe", F.col("member").isNull())
-        .withColumn("content", F.when(~F.col("unsafe"), F.col("content")))
+        members.withColumn("member", member).withColumn("unsafe", F.col("member").isNull() & F.col("error").isNull())
+        .withColumn("content", F.when(F.col("member").isNotNull(), F.col("content")))
     )
 
 
@@ -70,7 +77,7 @@ def pick_transcript(members: DataFrame, keys: list[str] = ("export",)) -> DataFr
     """The transcript among the text members of every export."""
     name = F.lower(base_name("member"))
     tier = (F.when(name.isin("_chat.txt", "chat.txt"), 1).when(name.contains("whatsapp chat"), 2).otherwise(3))
-    texts = members.where(F.col("member").endswith(".txt")).withColumn("tier", tier)
+    texts = members.where(F.col("member").endswith(".txt") & F.col("size").isNotNull()).withColumn("tier", tier)
     # Conventional names by path; otherwise the largest, the first by path among equals.
     order = F.struct(F.col("tier"), F.when(F.col("tier") == 3, -F.col("size")).otherwise(0), F.col("member"))
     keep = [c for c in members.columns if c not in keys]
