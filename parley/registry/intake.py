@@ -95,7 +95,7 @@ def _bundles(w) -> str:
             for conv, turns in group.groupby("conv_id").size().items():
                 z.writestr(f"media/IMG-{conv}.jpg", b"x" * turns)
             z.writestr("../evil.txt", "x" * 5000)
-        system, place = zips._file_system(folder)
+        system, place = exports.file_system(folder)
         system.create_dir(place, recursive=True)
         for name, data in ((f"bundle-{bundle}.zip", buffer.getvalue()), (f"broken-{bundle}.zip", buffer.getvalue()[:40] if bundle % 4 == 1 else None)):
             if data is not None:
@@ -160,6 +160,40 @@ def _(w):
     return catalog_columns(adapters.media_files(w.spark, w.dir)).drop("content_hash")
 
 
+def _attachments(w) -> str:
+    """A folder of files written from the pages: some beyond two MiB, some hidden, and a transcript."""
+    folder = store.new_table_path(w.spark, "attachments")
+
+    def write(batches):
+        system, place = exports.file_system(folder)
+        for rows in batches:
+            for page, url in zip(rows["page_id"], rows["url"]):
+                name = f".hidden-{page}" if page % 100 == 7 else (f"IMG-{page}.jpg", f"VID-{page}.mp4", f"notes-{page}.xyz")[page % 3]
+                body = f"{page}|{url}\n".encode() * (60_000 if page % 200 == 0 else 1 + page % 7)
+                system.create_dir(f"{place}/{page % 16}", recursive=True)
+                with system.open_output_stream(f"{place}/{page % 16}/{name}") as out:
+                    out.write(body)
+                if page == 0:
+                    with system.open_output_stream(f"{place}/_chat.txt") as out:
+                        out.write(b"a transcript")
+            yield rows[["page_id"]]
+
+    rows = w.table("pages").where("page_id is not null and url is not null").select("page_id", "url")
+    store.materialise(rows.mapInPandas(write, "page_id long"), "written-attachments")
+    return folder
+
+
+@query("content_hash", """WITH bodies AS (SELECT page_id, repeat(page_id || '|' || url || chr(10), CASE WHEN page_id % 200 = 0 THEN 60000 ELSE 1 + page_id % 7 END) AS body FROM pages
+        WHERE page_id % 100 <> 7 AND url IS NOT NULL)
+    SELECT CASE page_id % 3 WHEN 0 THEN 'IMG-' || page_id || '.jpg' WHEN 1 THEN 'VID-' || page_id || '.mp4' ELSE 'notes-' || page_id || '.xyz' END AS filename,
+        CASE page_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'video' ELSE 'other' END AS kind, CAST(strlen(body) AS BIGINT) AS size_bytes, page_id % 3 < 2 AS readable,
+        sha256(strlen(body) || substr(body, 1, 1048576) || CASE WHEN strlen(body) > 2097152 THEN right(body, 1048576) ELSE '' END) AS content_hash FROM bodies""")
+def _(w):
+    """Files in a folder, hashed at both ends; the transcript is left out."""
+    folder = _attachments(w)
+    return exports.scan_media_files(w.spark, folder, f"{folder}/_chat.txt").select("filename", "kind", "size_bytes", "readable", "content_hash")
+
+
 # --- store ----------------------------------------------------------------------------
 
 

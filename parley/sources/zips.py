@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from parley.operators.parse import HEADER
-from parley.sources.exports import ENCODINGS, pick_transcript, safe_member_path
+from parley.sources.exports import ENCODINGS, file_system, pick_transcript, safe_member_path
 
 #: Zips of a task, in bytes, each counted with the cost of opening it.
 TASK_BYTES = 128 << 20
@@ -32,16 +32,10 @@ BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotIm
 _LISTED = "export string, name string, size long, error string"
 
 
-def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = uri.replace("file:/", "file:///", 1)
-    return fs.FileSystem.from_uri(uri)
-
-
 def _members(path: str) -> Iterator[tuple]:
     """(export, name, size, error) of the entries of a zip; folders are left out."""
     try:
-        system, place = _file_system(path)
+        system, place = file_system(path)
         with system.open_input_file(place) as file, zipfile.ZipFile(file) as archive:
             for info in archive.infolist():
                 if not info.is_dir():
@@ -61,7 +55,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Zips]:
         """Zips below the folder, small ones together."""
-        system, place = _file_system(self.folder)
+        system, place = file_system(self.folder)
         prefix = self.folder[: len(self.folder) - len(place)] if self.folder.endswith(place) else ""
         found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(place, recursive=True))
                        if f.type == fs.FileType.File and f.path.lower().endswith(".zip"))
@@ -119,7 +113,7 @@ class _Failed(NamedTuple):
 
 def _pieces(path: str, name: str, piece: int) -> Iterator[bytes | _Failed]:
     try:
-        system, place = _file_system(path)
+        system, place = file_system(path)
         with system.open_input_file(place) as file, zipfile.ZipFile(file) as archive, archive.open(name) as member:
             while data := member.read(piece):
                 yield data

@@ -67,7 +67,22 @@ def test_media_files_and_hash(spark, tmp_path):
     got = {r.filename: r for r in exports.scan_media_files(spark, str(tmp_path)).collect()}
     assert set(got) == {"IMG-1.webp", "VID-2.mp4"} and got["IMG-1.webp"].kind == "sticker" and got["VID-2.mp4"].readable
     assert got["IMG-1.webp"].content_hash == hashlib.sha256(b"3" + b"abc").hexdigest()
-    assert got["VID-2.mp4"].content_hash == hashlib.sha256(str(len(big)).encode() + big).hexdigest()
+    ends = big[: 1 << 20] + big[-(1 << 20):]
+    assert got["VID-2.mp4"].content_hash == hashlib.sha256(str(len(big)).encode() + ends).hexdigest()
+    left = exports.scan_media_files(spark, str(tmp_path), str(tmp_path / "VID-2.mp4")).collect()
+    assert [r.filename for r in left] == ["IMG-1.webp"]
+
+
+def test_hash_of_files_beyond_two_gigabytes(spark, tmp_path):
+    size = (2 << 30) + 12345
+    with open(tmp_path / "VID-9.mp4", "wb") as f:
+        f.write(b"head")
+        f.truncate(size - 4)  # a hole on disk
+        f.seek(size - 4)
+        f.write(b"tail")
+    got = exports.scan_media_files(spark, str(tmp_path)).first()
+    ends = b"head" + bytes((1 << 20) - 4) + bytes((1 << 20) - 4) + b"tail"
+    assert got.size_bytes == size and got.content_hash == hashlib.sha256(str(size).encode() + ends).hexdigest()
 
 
 def test_replace_touches_one_archive(spark, tmp_path):
