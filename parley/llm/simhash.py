@@ -165,10 +165,12 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 3) -
     Every row gives a row, repeated ones too; an empty table gives none; other columns of ``documents`` are not read.
     """
     prints = materialise(fingerprints(documents, shingle), "prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    joined = components(links(classes, distance), "a", "b")
-    named = classes.join(joined, classes["node"] == joined["node"], "left").select(
-        "fp", F.coalesce("component", classes["node"]).alias("component_id"))
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    # a fingerprint is its own node, so those of rows without doc_id pass links on
+    linked = materialise(classes.join(groups(links(classes.select(F.col("fp").alias("node"), "fp"), distance)), F.col("fp") == F.col("node")).drop("node"), "linked")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    least = spread_join(linked, least, ["component"], ["fp"], salts=8).select("fp", "least")
+    named = classes.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

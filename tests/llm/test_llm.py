@@ -124,6 +124,16 @@ def test_links_of_close_fingerprints(spark):
         assert {(min(x), max(x)) for x in got} == want
 
 
+def test_fingerprints_without_doc_id_pass_links_on(spark, monkeypatch):
+    rows = [(5, 0), (None, 0b111), (7, 0b111111), (9, 1 << 60 | 0xFFFF), (9, -1), (None, 1 << 40 | 0xFFFFFFF), (11, 1 << 40 | 0xFFFFFFF)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda documents, shingle: spark.createDataFrame(rows, "doc_id long, fp long"))
+    found = simhash.near_duplicates(None).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in found) == [(0, 5), (0, 11), (5, 5), (7, 5), (9, 9), (9, 9), (11, 11)]
+    empty = spark.createDataFrame([], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda documents, shingle: empty)
+    assert simhash.near_duplicates(None).collect() == []
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(n, n + 1) for n in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges, "a", "b").collect()}
