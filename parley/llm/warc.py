@@ -235,8 +235,9 @@ def summary(archives: DataFrame) -> DataFrame:
         "page_id", "type", "refers_to", F.octet_length("payload").cast("long").alias("size"), F.substring("digest", 6, 32).alias("sha"), "segments")
     read = materialise(read, "records")
     responses = read.where("type = 'response'")
-    known = responses.groupBy(F.col("page_id").alias("refers_to")).agg(F.max("size").alias("first_size"))
-    revisits = read.where("type = 'revisit'").join(known, "refers_to", "left").withColumn("size", F.col("first_size"))
+    # rows may repeat a page_id with other payloads: the digest tells which response is meant
+    known = responses.groupBy(F.col("page_id").alias("refers_to"), "sha").agg(F.max("size").alias("first_size"))
+    revisits = read.where("type = 'revisit'").join(known, ["refers_to", "sha"], "left").withColumn("size", F.col("first_size"))
     both = responses.select("page_id", "type", "refers_to", "size", "sha", "segments").unionByName(
         revisits.select("page_id", "type", "refers_to", "size", "sha", "segments"))
     return both.select("page_id", F.col("size").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("type").alias("record_type"),

@@ -271,6 +271,13 @@ def test_warc(spark):
     assert {r.page_id: bytes(r.payload) for r in kept} == {n: body for body, n in first.items()}
 
 
+def test_warc_of_repeated_page_ids(spark):
+    pages = spark.createDataFrame([(1, "u", "a", 1), (1, "u", "bbb", 2), (2, "u", "a", 3)], "page_id long, url string, html string, size int")
+    found = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.summary(warc.archive(pages)).collect())
+    assert found == [(1, 1, "response", None), (1, 3, "response", None), (2, 1, "revisit", 1)]
+    assert warc.summary(warc.archive(pages.where("false"))).collect() == []
+
+
 def test_warc_tells_missing_segments(spark):
     pages = spark.createDataFrame([(1, "u", "y" * 3000)], "page_id long, url string, html string")
     found = warc.records(warc.archive(pages, segment_bytes=700))
