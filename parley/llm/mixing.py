@@ -8,11 +8,12 @@ an order seeded by the epoch. Whole numbers throughout, so the same rows come ou
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators.skew import BROADCAST_ROWS, skew_join
 from parley.sources.store import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,42 +90,55 @@ def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def by_leaf(rows: DataFrame, leaves: DataFrame, spread: str, on: Sequence[str] = _LEVELS, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined to a stored table with one row for each leaf, that is domain, lang and source.
+
+    Up to a counted ``most`` leaves travel to the rows, which stay where they are; beyond, only a leaf of more than a million rows
+    is salted, by ``spread``. No leaf is gathered in one task either way.
+    """
+    if leaves.count() <= most:
+        return rows.join(F.broadcast(leaves), list(on))
+    return skew_join(rows, leaves, list(on), [spread])
+
+
 def cutoffs(counted: DataFrame, shared: DataFrame, seed: int) -> DataFrame:
     """(domain, lang, source, whole, cut): whole epochs of each leaf, and the last key of the one begun.
 
     Keys are cut into 4,096 slices whose token sums locate the slice where the prefix ends; only that slice is gone
-    through row by row, so a leaf of any size is never ordered in one place. Equal keys go in or stay out together.
+    through row by row, with the sum of each different key, so a leaf of any size is never ordered in one place. Equal keys go in or stay out together.
     """
     leaf = list(_LEVELS)
-    need = shared.where("tokens > 0").select(
-        *leaf, F.expr("budget DIV tokens").alias("whole"), F.expr("budget - (budget DIV tokens) * tokens").alias("left_over"))
-    keyed = counted.join(need, leaf).select(*leaf, "whole", "left_over", "n_tokens", order_key(seed, F.col("whole"), F.col("doc_id")).alias("key"))
+    need = materialise(shared.where("tokens > 0").select(
+        *leaf, F.expr("budget DIV tokens").alias("whole"), F.expr("budget - (budget DIV tokens) * tokens").alias("left_over")), "need")
+    keyed = by_leaf(counted, need, "doc_id").select(*leaf, "whole", "left_over", "n_tokens", order_key(seed, F.col("whole"), F.col("doc_id")).alias("key"))
     keyed = keyed.withColumn("slice", F.substring("key", 1, 3))
     upto = Window.partitionBy(*leaf).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = keyed.groupBy(*leaf, "slice").agg(F.sum("n_tokens").alias("n"), F.first("left_over").alias("left_over")).select(
         "*", F.sum("n").over(upto).alias("upto"))
-    edge = sums.where("upto > left_over").groupBy(*leaf).agg(F.min(F.struct("slice", (F.col("upto") - F.col("n")).alias("before"))).alias("e")).select(
-        *leaf, "e.*")
-    running = Window.partitionBy(*leaf, "slice").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = keyed.join(edge, [*leaf, "slice"]).withColumn("run", F.col("before") + F.sum("n_tokens").over(running)).where(
-        "run <= left_over").groupBy(*leaf).agg(F.max("key").alias("last"))
+    edge = materialise(sums.where("upto > left_over").groupBy(*leaf).agg(
+        F.min(F.struct("slice", (F.col("upto") - F.col("n")).alias("before"))).alias("e")).select(
+        *leaf, F.col("e.slice").alias("edge"), "e.before"), "edges")
+    running = Window.partitionBy(*leaf).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = by_leaf(keyed, edge, "key").where("slice = edge").groupBy(*leaf, "key").agg(
+        F.sum("n_tokens").alias("n"), F.first("before").alias("before"), F.first("left_over").alias("left_over"))
+    last = inside.withColumn("run", F.col("before") + F.sum("n").over(running)).where("run <= left_over").groupBy(*leaf).agg(F.max("key").alias("last"))
     return need.join(edge, leaf, "left").join(last, leaf, "left").select(
-        *leaf, "whole", F.when(F.col("left_over") > 0, F.coalesce("last", "slice")).otherwise("").alias("cut"))
+        *leaf, "whole", F.when(F.col("left_over") > 0, F.coalesce("last", "edge")).otherwise("").alias("cut"))
 
 
-def with_leaf(documents: DataFrame, domains: Mapping[str, str]) -> DataFrame:
-    """Documents with ``leaf``: domain, lang and source, nulls as empty names."""
+def leaf_of(domains: Mapping[str, str]) -> list[Column]:
+    """Domain, lang and source of a document, nulls as empty names."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source"))
-    return documents.withColumn("leaf", F.struct(domain_of(source, domains).alias("domain"), lang.alias("lang"), source.alias("source")))
+    return [domain_of(source, domains).alias("domain"), lang.alias("lang"), source.alias("source")]
 
 
 def plan(documents: DataFrame, domains: Mapping[str, str], weights: Mapping[str, Mapping[str, int]], share: float, epochs: int, seed: int) -> DataFrame:
-    """The stored cutoffs of each leaf, for a budget of ``share`` of all tokens."""
-    counted = materialise(with_leaf(documents, domains).select("doc_id", "leaf.*", count_tokens(F.col("text").cast("string")).alias("n_tokens")), "counted")
+    """The cutoffs of each leaf, for a budget of ``share`` of all tokens."""
+    counted = materialise(documents.select("doc_id", *leaf_of(domains), count_tokens(F.col("text").cast("string")).alias("n_tokens")), "counted")
     leaves = materialise(counted.groupBy(*_LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     budget = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
     shared = materialise(budgets(leaves, weights, budget, epochs), "budgets")
-    return materialise(cutoffs(counted, shared, seed), "cutoffs")
+    return cutoffs(counted, shared, seed)
 
 
 def mix(documents: DataFrame, domains: Mapping[str, str], weights: Mapping[str, Mapping[str, int]], share: float = 1.0, epochs: int = 2,
@@ -132,13 +146,19 @@ def mix(documents: DataFrame, domains: Mapping[str, str], weights: Mapping[str,
     """``documents`` with ``mix_domain``, ``mix_epoch``: a row for each epoch that takes a document.
 
     Tokens are words of the whole text. A null lang or source is the leaf of the empty name, a null text has no
-    tokens, and a leaf without any gives no rows; rows that repeat a doc_id go in or stay out together. All other columns pass unchanged. Only the leaves'
-    cutoffs travel: the texts stay where they are.
+    tokens, and a leaf without any gives no rows; rows that repeat a doc_id go in or stay out together. An empty table gives no rows.
+    All other columns pass unchanged, whatever their names; only columns called mix_domain or mix_epoch give way to the new ones.
+    Only the leaves' cutoffs travel: the texts stay where they are.
     """
-    cut = plan(documents, domains, weights, share, epochs, seed).select(
-        F.struct(*_LEVELS).alias("mix_leaf"), F.col("whole").alias("mix_whole"), F.col("cut").alias("mix_cut"))
-    rows = with_leaf(documents, domains).withColumnRenamed("leaf", "mix_leaf").join(cut, "mix_leaf")
-    begun = order_key(seed, F.col("mix_whole"), F.col("doc_id")) <= F.col("mix_cut")
-    rows = rows.withColumn("mix_times", F.col("mix_whole") + begun.cast("long")).where("mix_times > 0")
-    rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_times") - 1)))
-    return rows.select(*documents.columns, F.col("mix_leaf.domain").alias("mix_domain"), "mix_epoch")
+    mark = "mix"
+    while any(c.lower().startswith(f"{mark}_") for c in documents.columns):
+        mark += "_"
+    names = [f"{mark}_{n}" for n in (*_LEVELS, "whole", "cut", "epoch")]
+    domain, lang, source, whole, last, epoch = names
+    cut = materialise(plan(documents, domains, weights, share, epochs, seed).toDF(domain, lang, source, whole, last), "cuts")
+    rows = documents.select("*", *(c.alias(n) for c, n in zip(leaf_of(domains), names)))
+    rows = by_leaf(rows, cut, "doc_id", on=[domain, lang, source])
+    times = F.col(whole) + (order_key(seed, F.col(whole), F.col("doc_id")) <= F.col(last)).cast("long")
+    rows = rows.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(times, F.lit(1)) - 1))).where(times > 0)
+    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("mix_domain", "mix_epoch")]
+    return rows.select(*kept, F.col(domain).alias("mix_domain"), F.col(epoch).alias("mix_epoch"))
