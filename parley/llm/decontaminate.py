@@ -2,14 +2,17 @@
 
 An item of m characters within k edits of a part of a text shares at least m + 1 - (k + 1) q of its q-grams with it, on
 diagonals (place in the text less place in the item) at most k apart. Hits are counted in overlapping bands of
-diagonals; a band with enough of them is aligned, and nothing else is. Documents stay in their partitions: only the
-benchmark travels, in blocks of at most ``block_chars`` characters.
+diagonals; a band with enough of them is aligned, and nothing else is. Items too short for q-grams of the usual length
+take the longest that the lemma allows, and items of fewer than q characters, which have no edits to spend at the usual
+rate, are looked up as they are. Documents stay in their partitions: only the benchmark travels, in blocks of at most
+``block_chars`` characters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,28 +56,46 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
     return int(cost[best]), len(item) + low + best
 
 
+class _Grams:
+    """The q-grams of the items that go by one q."""
+
+    def __init__(self, q: int, items: dict[int, np.ndarray]):
+        self.q = q
+        grams = [Sums(mix(c), "word").each(q) for c in items.values()]
+        hashes = np.concatenate(grams)
+        item = np.repeat(np.array(list(items), np.int64), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
+        self.table = np.zeros(_TABLE, bool)
+        self.table[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+
+
 class Benchmark:
     """Items with their q-grams, ready to be looked up."""
 
     def __init__(self, ids: list[int], texts: list[str], q: int, rate: float):
-        self.q = q
-        kept = [(i, normal(t)) for i, t in zip(ids, texts)]
-        kept = [(i, _codes(t)) for i, t in kept if len(t) >= q]
+        kept = [(i, t) for i, t in zip(ids, map(normal, texts)) if t]
         self.ids = [i for i, _ in kept]
-        self.items = [c for _, c in kept]
+        self.items = [_codes(t) for _, t in kept]
         size = np.array([len(c) for c in self.items], np.int64)
-        # as many edits as the rate gives and the lemma can still see
-        self.edits = np.minimum((size * rate).astype(np.int64), (size - q) // q)
-        self.enough = size + 1 - (self.edits + 1) * q
+        self.edits = (size * rate).astype(np.int64)
+        # the longest q-grams of which a match is bound to share one
+        width = np.minimum(q, size // (self.edits + 1))
+        self.enough = size + 1 - (self.edits + 1) * width
         self.step = self.edits + 8
-        grams = [Sums(mix(c), "word").each(q) for c in self.items]
-        hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
-        self.table = np.zeros(_TABLE, bool)
-        self.table[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+        short = (size < q) & (self.edits == 0)
+        self.short = None
+        if short.any():
+            self.short = ahocorasick.Automaton()
+            same: dict[str, list[int]] = {}
+            for j in np.flatnonzero(short).tolist():
+                same.setdefault(kept[j][1], []).append(j)
+            for text, numbers in same.items():
+                self.short.add_word(text, (len(text), numbers))
+            self.short.make_automaton()
+        self.grams = [_Grams(w, {j: self.items[j] for j in np.flatnonzero(~short & (width == w)).tolist()})
+                      for w in np.unique(width[~short]).tolist()]
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item number, begin, end, edits) of the best matches that do not overlap, in normal characters."""
@@ -90,21 +111,35 @@ class Benchmark:
         return out
 
     def _slice(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        if self.short is not None:
+            for t, text in enumerate(texts):
+                upto: dict[int, int] = {}
+                for last, (m, numbers) in self.short.iter(text):
+                    if last + 1 - m >= upto.get(numbers[0], 0):
+                        upto[numbers[0]] = last + 1
+                        for j in numbers:
+                            yield t, j, last + 1 - m, last + 1, 0
+        if not self.grams:
+            return
         codes = [_codes(t) for t in texts]
         flat = np.concatenate([np.append(c, np.uint32(0xFFFFFFFF)) for c in codes])
-        if not len(self.hashes) or len(flat) < self.q:
-            return
         begins = np.cumsum([0, *(len(c) + 1 for c in codes)])
-        grams = Sums(mix(flat), "word").each(self.q)
-        at = np.flatnonzero(self.table[(grams >> np.uint64(42)).astype(np.int64)])
-        left, right = np.searchsorted(self.hashes, grams[at], "left"), np.searchsorted(self.hashes, grams[at], "right")
+        sums = Sums(mix(flat), "word")
+        for grams in self.grams:
+            if len(flat) >= grams.q:
+                yield from self._near(codes, begins, sums, grams)
+
+    def _near(self, codes: list[np.ndarray], begins: np.ndarray, sums: Sums, known: _Grams) -> Iterator[tuple[int, int, int, int, int]]:
+        grams = sums.each(known.q)
+        at = np.flatnonzero(known.table[(grams >> np.uint64(42)).astype(np.int64)])
+        left, right = np.searchsorted(known.hashes, grams[at], "left"), np.searchsorted(known.hashes, grams[at], "right")
         count = right - left
         if not count.sum():
             return
         at = np.repeat(at, count)
         entry = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        item, text = self.item[entry], np.searchsorted(begins, at, side="right") - 1
-        diagonal = at - begins[text] - self.place[entry]
+        item, text = known.item[entry], np.searchsorted(begins, at, side="right") - 1
+        diagonal = at - begins[text] - known.place[entry]
         step, edits = self.step[item], self.edits[item]
         band = diagonal // step
         low = diagonal - band * step < edits  # close enough to the band below to belong to it as well
@@ -141,9 +176,10 @@ def _blocks(benchmark: DataFrame, q: int, rate: float, block_chars: int) -> Iter
 def contaminated(documents: DataFrame, benchmark: DataFrame, q: int = 12, rate: float = 0.06, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, begin, end, edits): where a document holds an item within ``rate`` of its length in edits.
 
-    Both sides are lowered and white space counts as one space; places count characters of that form. Items shorter than
-    ``q`` characters match nowhere; short ones allow only as many edits as the lemma can see. Null texts hold nothing, repeated rows
-    match alike, other columns are not read.
+    Both sides are lowered and white space counts as one space; places count characters of that form. Every item with a
+    character in that form takes part and allows ``rate`` of its length in edits, rounded down; items of fewer than ``q`` characters without
+    an edit are found wherever they stand, inside words too. Null texts hold nothing, repeated rows and items
+    match alike, empty tables give no rows, other columns are not read.
     """
     schema = "doc_id long, item_id long, begin long, end long, edits int"
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

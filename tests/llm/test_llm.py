@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -373,6 +374,73 @@ def test_decontamination(spark):
     assert {x.doc_id for x in clean} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_short_benchmark_items(spark):
+    r = random.Random(8)
+    letters = "abc "
+    items = ["ab", "cab", " ", None, "Ab", "a b", "c" * 11, "".join(r.choice("abcdefgh") for _ in range(17)), "".join(r.choice("abcdefgh") for _ in range(35))]
+    rows = [(n, "".join(r.choice(letters) for _ in range(r.randint(0, 14)))) for n in range(60)]
+    for n in range(100, 130):
+        s = list(items[7] if n % 2 else items[8])
+        for _ in range(r.randint(0, 3)):
+            s[r.randrange(len(s))] = "x"
+        rows.append((n, "zz " + "".join(s) + " zz"))
+    rows += [(200, None), (201, "C" * 23), (201, "ab")]
+    bench = spark.createDataFrame([(n, t, "x") for n, t in enumerate(items)], "item_id long, text string, doc_id string")
+    got = decontaminate.contaminated(docs_of(spark, rows), bench).collect()
+    want = set()
+    for d, t in rows:
+        for j, i in enumerate(items):
+            i = decontaminate.normal(i or "")
+            if i and t and (e := edits(i, decontaminate.normal(t))) <= int(len(i) * 0.06):
+                want.add((d, j, e))
+    assert {(x.doc_id, x.item_id, x.edits) for x in got} == want and {7, 8} <= {j for _, j, _ in want}
+    texts = dict(rows[:60])
+    places = sorted((x.begin, x.end) for x in got if x.doc_id == 3 and x.item_id == 0)
+    assert places == [(m.start(), m.end()) for m in re.finditer("ab", decontaminate.normal(texts[3]))]
+    assert sorted((x.begin, x.end) for x in got if x.doc_id == 201 and x.item_id == 6) == [(0, 11), (11, 22)]
+    clean = decontaminate.keep_clean(docs_of(spark, rows), bench)
+    assert {x.doc_id for x in clean.collect()} == {d for d, _ in rows} - {d for d, _, _ in want}
+    assert decontaminate.contaminated(docs_of(spark, rows), bench.where("false")).count() == 0
+    assert decontaminate.contaminated(docs_of(spark, []), bench).count() == 0
+
+
+def mixed_by_hand(rows, share, epochs, seed):
+    """(doc_id, epoch) of a table with a single leaf; equal keys go in or stay out together."""
+    total = sum(n for *_, n in rows)
+    budget = int(total * share)
+    out = []
+    whole, left = divmod(min(budget, total * epochs), total)
+    key = {d: hashlib.md5(f"{seed}:{whole}:{'' if d is None else d}".encode()).hexdigest() for d, *_ in rows}
+    sums, run = {}, 0
+    for d, *_, n in rows:
+        sums[key[d]] = sums.get(key[d], 0) + n
+    inside = set()
+    for k in sorted(sums):
+        run += sums[k]
+        if run <= left:
+            inside.add(k)
+    for d, *_, n in rows:
+        out += [(d, e) for e in range(whole + (key[d] in inside))]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_mixing_of_one_leaf_with_ties_and_clashing_names(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing.by_leaf, "__defaults__", (mixing.by_leaf.__defaults__[0], most))
+    r = random.Random(4)
+    rows = [(n if n % 7 else None if n % 2 else 5, "w " * r.randint(1, 9), "en", "s", r.randint(1, 9), "x", "old") for n in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, leaf int, mix_leaf string, mix_epoch string")
+    docs = docs.withColumn("slice", F.lit(1)).withColumn("key", F.lit(2)).withColumn("cut", F.lit(3)).withColumn("domain", F.lit(4))
+    counted = [(d, t.count("w")) for d, t, *_ in rows]
+    for share, epochs in ((0.4, 2), (1.3, 2), (5.0, 2)):
+        got = mixing.mix(docs, {"s": "d"}, {}, share, epochs, 7)
+        assert got.columns == [c for c in docs.columns if c != "mix_epoch"] + ["mix_domain", "mix_epoch"]
+        assert sorted(((x.doc_id, x.mix_epoch) for x in got.collect()), key=str) == mixed_by_hand(counted, share, epochs, 7)
+    assert mixing.mix(docs.where("false"), {}, {}).count() == 0
+    blank = docs.withColumn("text", F.lit(None).cast("string"))
+    assert mixing.mix(blank, {}, {}).count() == 0
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(300, 16)).astype(np.float32)
