@@ -19,6 +19,9 @@ CHUNK_SIZE, CHUNK_OVERLAP = 25, 5
 TOP_K = 12
 RRF_DAMPING = 60
 K1, B = 1.2, 0.75
+# Message ids in a block of the spans; blocks that are named to the scan.
+SPAN_IDS = 4096
+SPAN_BLOCKS = 1000
 CONTEXT = 10
 SILENT = {"media": "(sent an attachment)", "deleted": "(deleted a message)", "system": "(system notice)"}
 
@@ -298,28 +301,64 @@ def rrf_fuse(hits: DataFrame, k: int = TOP_K, damping: int = RRF_DAMPING, payloa
     return ordered.drop("_first", "_rank")
 
 
-def chunk_of_message(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Map message hits to the first chunk that covers them, by an equi join on message ids."""
-    covered = chunks.select(
-        "archive_id", "chunk_id", F.explode(F.sequence("start_msg_id", "end_msg_id")).alias("msg_id"))
-    return checked_broadcast(hits).join(covered, ["archive_id", "msg_id"]).groupBy(*hits.columns).agg(F.min("chunk_id").alias("chunk_id"))
+def chunk_spans(chunks: DataFrame) -> DataFrame:
+    """Which chunks reach into which block of message ids: a row for each chunk and block, to be stored with the chunks."""
+    first, last = (F.floor(F.col(c) / SPAN_IDS).cast("long") for c in ("start_msg_id", "end_msg_id"))
+    return chunks.select("archive_id", F.explode(F.sequence(first, last)).alias("id_block"), "chunk_id", "start_msg_id", "end_msg_id")
 
 
-def search_chat(content: DataFrame, postings: DataFrame, stats: DataFrame, query: str | None = None, k: int = TOP_K,
+def chunk_of_message(hits: DataFrame, spans: DataFrame) -> DataFrame:
+    """Message hits with the first chunk that covers them, null where none does.
+
+    Few hits name their blocks, so that a stored table of spans is read there only.
+    """
+    cols = hits.columns
+    hits = checked_broadcast(hits.withColumn("id_block", F.floor(F.col("msg_id") / SPAN_IDS).cast("long")))
+    blocks = [r.id_block for r in hits.select("id_block").distinct().limit(SPAN_BLOCKS + 1).collect()]
+    if len(blocks) <= SPAN_BLOCKS:
+        spans = spans.where(F.col("id_block").isin(blocks))
+    inside = F.col("msg_id").between(F.col("start_msg_id"), F.col("end_msg_id"))
+    found = spans.join(hits, ["archive_id", "id_block"]).where(inside).groupBy("archive_id", "msg_id").agg(F.min("chunk_id").alias("chunk_id"))
+    return hits.join(found, ["archive_id", "msg_id"], "left").select(*cols, "chunk_id")
+
+
+def _told(content: DataFrame, fused: DataFrame, messages: DataFrame, chunks: DataFrame | None) -> DataFrame:
+    """Fused keys with their times, people and text: of the message, or of the chunk."""
+    said = F.concat(F.date_format("ts", "dd MMM yyyy HH:mm"), F.lit(" "), F.coalesce("sender", F.lit("")), F.lit(": "), F.coalesce("content", F.lit("")))
+    who = F.when(F.col("sender").isNull(), F.array().cast("array<string>")).otherwise(F.array("sender"))
+    rows = messages.select(
+        "archive_id", F.concat(F.lit("m"), F.col("msg_id").cast("string")).alias("key"), F.col("ts").alias("start_ts"), F.col("ts").alias("end_ts"),
+        who.alias("participants"), said.alias("text"))
+    if chunks is not None:
+        wanted = fused.where("NOT startswith(key, 'm')").select("archive_id", F.col("key").cast("long").alias("chunk_id"))
+        rows = rows.unionByName(chunks.select("archive_id", F.col("chunk_id").cast("long").alias("chunk_id"), "start_ts", "end_ts", "participants", "body").join(
+            checked_broadcast(wanted), ["archive_id", "chunk_id"]).select(
+            "archive_id", F.col("chunk_id").cast("string").alias("key"), "start_ts", "end_ts", "participants", F.col("body").alias("text")))
+    return fused.join(rows, ["archive_id", "key"], "left").withColumn("note", F.lit(None).cast("string"))
+
+
+def search_chat(content: DataFrame, postings: DataFrame | None, stats: DataFrame | None, query: str | None = None, k: int = TOP_K,
                 participant: str | None = None, after: str | None = None, before: str | None = None,
                 chunks: DataFrame | None = None, vectors: DataFrame | None = None,
-                embed: Callable | None = None, interleave: bool = False) -> DataFrame:
-    """Hybrid search. Without a query it reads the window; without chunks it is keyword only.
+                embed: Callable | None = None, interleave: bool = False, spans: DataFrame | None = None) -> DataFrame:
+    """Hybrid search: (archive_id, key, source, rank, fusion_score, start_ts, end_ts, participants, text, note).
 
     With ``interleave`` message hits and chunk hits stay separate keys; otherwise a message
-    hit counts for the chunk that covers it, so that the two rankings reinforce each other.
+    hit counts for the chunk that covers it, so that the two rankings reinforce each other. ``spans`` are the stored
+    ``chunk_spans``. Without chunks and vectors it is keyword only, and without postings the newest substring matches take the place of the ranking.
+    An archive where nothing is found gets one row, the transcript of the time range, if there is a range.
+    Without a query the window alone is read, as ``read_window`` gives it.
     """
     if not (query or "").strip():
         if not (participant or after or before):
             raise ValueError("give something to search for, a date range or a participant")
         return read_window(content_filter(content, participant, after, before))
-    keyword = bm25_search(content, postings, stats, query, k, participant, after, before).select(
-        "archive_id", "msg_id", "rank")
+    if postings is None:
+        matched = keyword_like_search(content, query, k, participant, after, before)
+    else:
+        matched = bm25_search(content, postings, stats, query, k, participant, after, before)
+    matched = checked_broadcast(matched.select("archive_id", "msg_id", "rank", "ts", "sender", "content"))
+    keyword = matched.select("archive_id", "msg_id", "rank")
     as_message = F.concat(F.lit("m"), F.col("msg_id").cast("string"))
     semantic = None
     if vectors is not None and chunks is not None and embed is not None:
@@ -328,13 +367,23 @@ def search_chat(content: DataFrame, postings: DataFrame, stats: DataFrame, query
         found = vector_search(described, list(embed([query])[0]), k, participant, after, before)
         semantic = found.select("archive_id", F.col("chunk_id").cast("string").alias("key"), "rank",
                                 F.lit("semantic").alias("source"))
+    key = as_message
     if semantic is not None and not interleave:
-        per_chunk = chunk_of_message(keyword, chunks).groupBy("archive_id", "chunk_id").agg(F.min("rank").alias("rank"))
-        listed = per_chunk.select("archive_id", F.col("chunk_id").cast("string").alias("key"), "rank",
-                                  F.lit("keyword").alias("source"))
-    else:
-        listed = keyword.select("archive_id", as_message.alias("key"), "rank", F.lit("keyword").alias("source"))
-    return rrf_fuse(listed if semantic is None else semantic.unionByName(listed), k)
+        keyword = chunk_of_message(keyword, chunk_spans(chunks) if spans is None else spans)
+        key = F.coalesce(F.col("chunk_id").cast("string"), as_message)
+    listed = keyword.groupBy("archive_id", key.alias("key")).agg(F.min("rank").alias("rank")).withColumn("source", F.lit("keyword"))
+    fused = checked_broadcast(rrf_fuse(listed if semantic is None else semantic.unionByName(listed), k))
+    told = _told(content, fused, matched, None if semantic is None else chunks)
+    if not (after or before):
+        return told
+    lost = content_filter(content, participant, after, before).join(fused.select("archive_id").distinct(), "archive_id", "left_anti")
+    times = lost.where("msg_type <> 'system'").groupBy("archive_id").agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.sort_array(F.collect_set("sender")).alias("participants"))
+    window = read_window(lost).join(times, "archive_id").select(
+        "archive_id", F.lit("window").alias("key"), F.lit("window").alias("source"), F.lit(1).alias("rank"),
+        F.lit(None).cast("double").alias("fusion_score"), "start_ts", "end_ts", "participants", F.col("transcript").alias("text"),
+        F.lit(f"nothing matched {query!r}; this is the conversation of that time").alias("note"))
+    return told.select(window.columns).unionByName(window)
 
 
 def get_context(content: DataFrame, hits: DataFrame, before: int = CONTEXT, after: int = CONTEXT) -> DataFrame:

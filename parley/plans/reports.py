@@ -207,9 +207,11 @@ def top_words(messages: DataFrame, people: DataFrame, k: int = 60, min_length: i
     return top(uses, k, [F.desc("uses"), F.asc("word")])
 
 
-def longest_messages(messages: DataFrame, people: DataFrame, k: int = 10) -> DataFrame:
+def longest_messages(messages: DataFrame, people: DataFrame, k: int = 10, preview: int = 300) -> DataFrame:
+    """The longest texts by words: their first ``preview`` characters, and ``chars``, how many there are."""
     texts = talk(messages).where("msg_type = 'text'").select(
-        A, "participant_id", "msg_id", "ts", "word_count", F.substring("text", 1, 300).alias("preview")
+        A, "participant_id", "msg_id", "ts", "word_count", F.substring("text", 1, preview).alias("preview"),
+        F.length("text").cast("long").alias("chars")
     )
     best = top(texts, k, [F.desc("word_count"), F.asc("msg_id")])
     return with_name(best, people).drop("participant_id")

@@ -137,6 +137,10 @@ class World:
     def doc_chunks(self) -> DataFrame:
         return materialise(R.chunk_table(R.build_chunks(self.content_of(self.by_source))), "doc-chunks")
 
+    @cached_property
+    def doc_spans(self) -> DataFrame:
+        return materialise(R.chunk_spans(self.doc_chunks), "doc-spans", ["archive_id", "id_block"])
+
     @cached_property
     def docs(self) -> DataFrame:
         return self.table("documents").selectExpr("0 AS archive_id", "doc_id", "text AS content")

@@ -97,10 +97,26 @@ def _(w):
     return R.keyword_like_search(w.content_of(w.by_source), "LICH")
 
 
-@query("search_chat", _bm25(*_TERMS) + """SELECT 0 AS archive_id, 'm' || doc_id AS key, 'keyword' AS source, rank, 1.0::DOUBLE / (60 + rank) AS fusion_score FROM (
-    SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 12""")
+_SAID = "strftime(ts, '%d %b %Y %H:%M') || ' ' || sender || ': ' || coalesce(text, '')"
+_HITS = "SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc"
+
+
+def _rows(found):
+    return found.withColumn("participants", F.array_join("participants", ";")).withColumn("fusion_score", F.round("fusion_score", 9))
+
+
+@query("search_chat", _bm25(*_TERMS).replace("WITH d AS", Q.DM + ", d AS", 1) + f"""SELECT 0 AS archive_id, 'm' || doc_id AS key, 'keyword' AS source, rank, round(1.0::DOUBLE / (60 + rank), 9) AS fusion_score,
+    ts AS start_ts, ts AS end_ts, sender AS participants, {_SAID} AS text, CAST(NULL AS VARCHAR) AS note FROM ({_HITS}) JOIN m ON msg_id = doc_id WHERE rank <= 12""")
 def _(w):
-    return R.search_chat(w.content_of(w.by_source), w.postings, w.index_stats, QUERY)
+    return _rows(R.search_chat(w.content_of(w.by_source), w.postings, w.index_stats, QUERY))
+
+
+# No index: substrings, newest first.
+@query("search_substrings", Q.DM + f"""SELECT archive_id, 'm' || msg_id AS key, 'keyword' AS source, rank, round(1.0::DOUBLE / (60 + rank), 9) AS fusion_score,
+    ts AS start_ts, ts AS end_ts, sender AS participants, {_SAID} AS text, CAST(NULL AS VARCHAR) AS note FROM (
+    {Q.top("SELECT archive_id, msg_id, ts, sender, text FROM m WHERE contains(lower(text), 'lich')", 12, "ts DESC, msg_id DESC")})""")
+def _(w):
+    return _rows(R.search_chat(w.content_of(w.by_source), None, None, "LICH"))
 
 
 # --- vectors --------------------------------------------------------------------------
@@ -169,32 +185,72 @@ def _(w):
     return R.embed_texts(bodies, R.hash_embedding, "body_hash", "body")
 
 
-@query("hybrid_search")
+# The given vectors stand for those of the chunks of the documents chat, by number; the query's vector is the first of them.
+_HYBRID = _bm25(*_TERMS).replace("WITH d AS", CH_D + ", d AS", 1) + f""", q AS (SELECT embedding AS qv FROM embeddings ORDER BY vec_id LIMIT 1),
+sem AS (SELECT CAST(chunk_id AS VARCHAR) AS key, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS rank, 0 AS first FROM (
+    SELECT chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) AS score FROM ch JOIN embeddings ON vec_id = chunk_id, q) QUALIFY rank <= 12),
+kw AS (SELECT doc_id, rank FROM ({_HITS}) WHERE rank <= 12),
+said AS (SELECT 'm' || msg_id AS key, ts AS start_ts, ts AS end_ts, sender AS participants, {_SAID} AS text FROM m JOIN kw ON doc_id = msg_id
+    UNION ALL SELECT CAST(chunk_id AS VARCHAR), start_ts, end_ts, participants, body FROM ch),
+"""
+_FUSED = """f AS (SELECT key, sum(1.0::DOUBLE / (60 + rank)) AS score, min(first) AS first, min(rank) AS best FROM (SELECT key, rank, first FROM sem UNION ALL SELECT key, rank, 1 FROM {keyword}) GROUP BY key)
+SELECT 0 AS archive_id, f.key, CASE first WHEN 0 THEN 'semantic' ELSE 'keyword' END AS source, row_number() OVER (ORDER BY round(score, 12) DESC, first, best, f.key) AS rank,
+    round(score, 9) AS fusion_score, start_ts, end_ts, participants, text, CAST(NULL AS VARCHAR) AS note FROM f JOIN said USING (key) QUALIFY rank <= 12"""
+
+
+def _hybrid(w, **how):
+    vectors = w.table("embeddings").selectExpr("0 AS archive_id", "vec_id AS chunk_id", "embedding")
+    first = _first_vector(w)
+    return _rows(R.search_chat(w.content_of(w.by_source), w.postings, w.index_stats, QUERY, chunks=w.doc_chunks, vectors=vectors,
+                               embed=lambda texts: [first], spans=w.doc_spans, **how))
+
+
+@query("hybrid_search", _HYBRID + """byc AS (SELECT coalesce(CAST(c AS VARCHAR), 'm' || doc_id) AS key, min(rank) AS rank FROM (
+    SELECT doc_id, rank, min(chunk_id) AS c FROM kw LEFT JOIN ch ON doc_id BETWEEN start_msg_id AND end_msg_id GROUP BY ALL) GROUP BY ALL),
+""" + _FUSED.format(keyword="byc"))
 def _(w):
-    """Both rankings fused over the chunks of the documents chat."""
-    vectors, _ = R.embed_missing(w.doc_chunks, w.doc_chunks.limit(0).select(A, "chunk_id"),
-                                 w.doc_chunks.limit(0).select("body_hash", F.array(F.lit(0.0).cast("float")).alias("embedding")), R.hash_embedding)
-    return R.search_chat(w.content_of(w.by_source), w.postings, w.index_stats, QUERY, chunks=w.doc_chunks, vectors=vectors, embed=R.hash_embedding)
+    return _hybrid(w)
+
+
+@query("search_interleaved", _HYBRID + _FUSED.format(keyword="(SELECT 'm' || doc_id AS key, rank FROM kw)"))
+def _(w):
+    return _hybrid(w, interleave=True)
 
 
 # --- reading --------------------------------------------------------------------------
 
 from parley.registry.insight import _LINES  # noqa: E402
 
+_RARE = "known 1"
 _IN_RANGE = ", win AS (SELECT * FROM content WHERE ts >= TIMESTAMP '2024-01-09 00:00:00' AND ts <= TIMESTAMP '2024-01-10 23:59:59')"
 
 
-@query("read_window", Q.CONTENT + _IN_RANGE + _LINES.format(scope="0", src="win") + """,
+_READ = _LINES.format(scope="0", src="{src}") + """,
 full_text AS (SELECT archive_id, string_agg(txt, chr(10) ORDER BY line) AS body, CAST(sum(said) AS BIGINT) AS messages_with_text, CAST(sum(held) AS BIGINT) AS attachments FROM lt GROUP BY archive_id),
 head AS (SELECT archive_id, count(*) AS message_count, CASE WHEN CAST(min(ts) AS DATE) = CAST(max(ts) AS DATE) THEN '[' || strftime(min(ts), '%A, %d %B %Y') || ']'
-    ELSE '[' || strftime(min(ts), '%d %b %Y') || ' to ' || strftime(max(ts), '%d %b %Y') || ']' END AS h FROM win GROUP BY archive_id)
-SELECT archive_id, CASE WHEN length(h || chr(10) || body) > 2000 THEN '[earlier messages omitted]' || chr(10) || right(h || chr(10) || body, 2000) ELSE h || chr(10) || body END AS transcript,
-    message_count, messages_with_text, attachments, message_count - messages_with_text - attachments AS empty_messages, length(h || chr(10) || body) > 2000 AS truncated
-FROM head JOIN full_text USING (archive_id)""")
+    ELSE '[' || strftime(min(ts), '%d %b %Y') || ' to ' || strftime(max(ts), '%d %b %Y') || ']' END AS h FROM {src} GROUP BY archive_id),
+rw AS (SELECT archive_id, CASE WHEN length(h || chr(10) || body) > {limit} THEN '[earlier messages omitted]' || chr(10) || right(h || chr(10) || body, {limit}) ELSE h || chr(10) || body END AS transcript,
+    message_count, messages_with_text, attachments, message_count - messages_with_text - attachments AS empty_messages, length(h || chr(10) || body) > {limit} AS truncated
+FROM head JOIN full_text USING (archive_id))
+"""
+
+
+@query("read_window", Q.CONTENT + _IN_RANGE + _READ.format(src="win", limit=2000) + "SELECT * FROM rw")
 def _(w):
     return read_window(R.content_filter(w.content, after="2024-01-09", before="2024-01-10"), limit=2000)
 
 
+# Some chats hold the word in these days and give its messages; the others give what was said then.
+@query("search_window", Q.CONTENT + _IN_RANGE + f""", found AS ({Q.top(f"SELECT archive_id, msg_id, ts, sender, content AS text FROM win WHERE contains(lower(content), '{_RARE}')", 12, "ts DESC, msg_id DESC")}),
+lost AS (SELECT * FROM win WHERE archive_id NOT IN (SELECT archive_id FROM found))""" + _READ.format(src="lost", limit=5500) + f"""
+SELECT archive_id, 'm' || msg_id AS key, 'keyword' AS source, rank, round(1.0::DOUBLE / (60 + rank), 9) AS fusion_score,
+    ts AS start_ts, ts AS end_ts, sender AS participants, {_SAID} AS text, CAST(NULL AS VARCHAR) AS note FROM found
+UNION ALL SELECT archive_id, 'window', 'window', 1, NULL, min(ts), max(ts), string_agg(DISTINCT sender, ';' ORDER BY sender), any_value(transcript),
+    'nothing matched ''{_RARE}''; this is the conversation of that time' FROM lost JOIN rw USING (archive_id) GROUP BY archive_id""")
+def _(w):
+    return _rows(R.search_chat(w.content, None, None, _RARE, after="2024-01-09", before="2024-01-10"))
+
+
 @query("get_context", Q.C + """, hit AS (SELECT msg_id AS c FROM m WHERE contains(lower(text), 'ción'))
     SELECT archive_id, c AS center_msg_id, msg_id, ts, sender, msg_type, text AS content FROM hit JOIN m ON msg_id BETWEEN c - 10 AND c + 10""")
 def _(w):
@@ -452,7 +508,7 @@ def _(w):
 _LEVELS = {"message_counts": "warning", "media_counts": "warning", "future_dates": "warning", "missing_files": "warning"}
 _DOCTOR = DAMAGED.rstrip() + _WINDOWS.format(src="(SELECT *, text AS content FROM m)", said="text") + " UNION ALL ".join(
     f"SELECT archive_id, '{_LEVELS.get(n, 'error')}' AS level, '{n}' AS \"check\", CAST(n AS BIGINT) AS n FROM ({sql})"
-    for n, sql in CHECK_SQL.items() if n not in ("dangling_media", "missing_files")) + f"""
+    for n, sql in CHECK_SQL.items() if n != "dangling_media") + f"""
     UNION ALL SELECT archive_id, 'warning', 'uncovered_messages', n FROM ({_UNCOVERED})
     UNION ALL SELECT archive_id, 'note', 'partial_vectors', count(*) FILTER (hour(start_ts) < 12) - count(*) FILTER (hour(start_ts) < 6) FROM ch GROUP BY archive_id"""
 
@@ -461,7 +517,7 @@ _DOCTOR = DAMAGED.rstrip() + _WINDOWS.format(src="(SELECT *, text AS content FRO
 def _(w):
     chunks = w.chunks.where("hour(start_ts) < 12")
     vectors = chunks.where("hour(start_ts) < 6")
-    return audit.doctor(_damaged(w), w.events.participants, w.media, chunks, vectors, as_of=AS_OF)
+    return audit.doctor(_damaged(w), w.events.participants, w.media, chunks, vectors, files=w.files.where("kind <> 'voice'"), as_of=AS_OF)
 
 
 @query("doctor_verdict", DAMAGED + """SELECT DISTINCT archive_id, false AS ok FROM m UNION ALL SELECT DISTINCT archive_id + 100, true FROM m""")

@@ -224,7 +224,7 @@ def _(w):
     return P.top_words(w.by_source.messages, w.by_source.participants)
 
 
-@query("longest_messages", Q.DM + Q.top("""SELECT archive_id, msg_id, ts, word_count, left(text, 300) AS preview, sender FROM m""",
+@query("longest_messages", Q.DM + Q.top("""SELECT archive_id, msg_id, ts, word_count, left(text, 300) AS preview, length(text) AS chars, sender FROM m""",
     10, "word_count DESC, msg_id"))
 def _(w):
     return P.longest_messages(w.by_source.messages, w.by_source.participants)

@@ -187,6 +187,39 @@ def test_hybrid_reinforces_and_interleaves(spark):
         R.search_chat(c, postings, stats, "")
 
 
+def test_search_tells_what_it_found_and_falls_back(spark):
+    rows = [(0, i, i // 4, AT + dt.timedelta(days=i), "Ann" if i % 2 else "Bob", "text", f"line {i} " + ("Zebra" if i in (2, 9) else "horse")) for i in range(12)]
+    rows += [(1, i, 0, AT + dt.timedelta(days=i), "Cy", "text", f"nothing {i}") for i in range(3)] + [(2, 0, 0, AT - dt.timedelta(days=9), "Di", "text", "zebra")]
+    c = spark.createDataFrame(rows, CONTENT)
+    docs = c.select("archive_id", F.col("msg_id").alias("doc_id"), "content")
+    postings, stats = R.build_postings(docs), R.index_stats(docs)
+    ranked = R.search_chat(c, postings, stats, "zebra", 5).collect()
+    assert {(r.archive_id, r.key) for r in ranked} == {(0, "m2"), (0, "m9"), (2, "m0")} and {r.note for r in ranked} == {None}
+    first = next(r for r in ranked if r.key == "m2")
+    assert first.text == "03 Jan 2024 10:00 Bob: line 2 Zebra" and first.participants == ["Bob"] and first.start_ts == first.end_ts == AT + dt.timedelta(days=2)
+    plain = R.search_chat(c, None, None, "ZEBRA").orderBy("archive_id", "rank").collect()
+    assert [(r.archive_id, r.key, r.rank) for r in plain] == [(0, "m9", 1), (0, "m2", 2), (2, "m0", 1)]
+    for index in ((postings, stats), (None, None)):
+        ranged = {(r.archive_id, r.key): r for r in R.search_chat(c, *index, "zebra", after="2024-01-01", before="2024-01-05").collect()}
+        assert set(ranged) == {(0, "m2"), (1, "window")}  # the third chat has nothing in those days
+        told = ranged[1, "window"]
+        assert told.text.endswith("10:00 Cy: nothing 0\n10:00 Cy: nothing 1\n10:00 Cy: nothing 2") and "zebra" in told.note and told.participants == ["Cy"]
+    assert R.search_chat(c, postings, stats, "giraffe").count() == 0
+    assert R.search_chat(c.where("false"), None, None, "zebra", after="2024-01-01").count() == 0
+
+
+@pytest.mark.parametrize("block, most", [(4096, 1000), (3, 1000), (3, 0)])
+def test_messages_find_their_chunk(spark, monkeypatch, block, most):
+    monkeypatch.setattr(R, "SPAN_IDS", block)
+    monkeypatch.setattr(R, "SPAN_BLOCKS", most)
+    c = content(spark, [(i // 40, "A", "text" if i % 9 else "system", f"t{i}") for i in range(90)])
+    chunks = R.chunk_table(R.build_chunks(c, 7, 2))
+    hits = c.select("archive_id", "msg_id", (F.col("msg_id") + 1).alias("rank"))
+    held = [(r.chunk_id, r.start_msg_id, r.end_msg_id) for r in chunks.collect()]
+    want = {m: min((i for i, a, b in held if a <= m <= b), default=None) for m in range(90)}
+    assert {r.msg_id: r.chunk_id for r in R.chunk_of_message(hits, R.chunk_spans(chunks)).collect()} == want and None in want.values()
+
+
 def test_run_sql(spark):
     rows = spark.createDataFrame([(0, i, AT, "p", "text", None, "it's; a 'drop'") for i in range(600)] + [(1, 0, AT, "q", "text", None, "other")],
                                  "archive_id int, msg_id long, ts timestamp_ntz, participant_id string, msg_type string, gap_seconds double, text string")
