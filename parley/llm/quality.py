@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.flat import slices, text_bytes, word_hashes
+from parley.llm.worker import tidy
 from parley.sources.store import materialise
 
 #: Labelled rows the trees are grown on, at most.
@@ -220,4 +221,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, least: float = 0.3, sampl
         for batch in batches:
             yield batch.filter(pa.array(trees.score(_all_statistics(batch.column("text"))) >= least))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
