@@ -24,9 +24,9 @@ from parley.llm.worker import Memory, kept
 from parley.sources.store import materialise, new_table_path
 
 #: Different pieces a worker remembers, at least.
-_REMEMBER = 250_000
+_REMEMBER = 100_000
 #: Bytes encoded at once.
-_AT_ONCE = 4 << 20
+_AT_ONCE = 2 << 20
 
 # Kinds of bytes: letters, digits, marks, apostrophe, space, other white space and controls, and bytes beyond ASCII.
 _LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _WHITE, _WIDE = range(7)
