@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import media as M
 from parley.operators import retrieval as R
+from parley.operators.blocks import build_blocks
 from parley.operators.ordered import block_of
 from parley.operators.views import v_media, v_messages, v_searchable
 from parley.plans import ingest
@@ -150,6 +151,10 @@ class World:
         """The index keeps the rows of a term together, so a query reads few row groups."""
         return materialise(R.build_postings(self.docs).repartitionByRange("term", "doc_id"), "postings", ["term", "doc_id"])
 
+    @cached_property
+    def index_blocks(self) -> DataFrame:
+        return materialise(build_blocks(self.docs), "index-blocks", ["archive_id", "term", "doc_block"])
+
     @cached_property
     def index_stats(self) -> DataFrame:
         return materialise(R.index_stats(self.docs), "index-stats")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from parley.operators import blocks as X
 from parley.operators import media as M
 from parley.operators import retrieval as R
 from parley.operators.transcript import read_window
@@ -92,6 +93,33 @@ def _(w):
     return found.select(A, "msg_id", "sender", "rank", F.round("score", 6).alias("score"))
 
 
+_BLOCKS = f"""SELECT term, doc_id // {X.BLOCK_IDS} AS doc_block, CAST(count(*) AS INT) AS n, max(tf) AS max_tf, min(CAST(dl AS DOUBLE) / tf) AS min_share,
+    string_agg(doc_id % {X.BLOCK_IDS}, ',' ORDER BY doc_id) AS places, string_agg(tf, ',' ORDER BY doc_id) AS tf, string_agg(dl, ',' ORDER BY doc_id) AS dl FROM {{src}} GROUP BY ALL"""
+
+
+@query("build_blocks", _INDEX + f"SELECT 0 AS archive_id, term, doc_block, n, CAST(max_tf AS INT) AS max_tf, round(min_share, 6) AS min_share, places, tf, dl FROM ({_BLOCKS.format(src='post')})")
+def _(w):
+    return w.index_blocks.select(A, "term", "doc_block", "n", "max_tf", F.round("min_share", 6).alias("min_share"), *(F.array_join(c, ",").alias(c) for c in ("places", "tf", "dl")))
+
+
+@query("bm25_top", _bm25(*_TERMS) + """SELECT 0 AS archive_id, doc_id AS msg_id, source AS sender, rank, round(score, 6) AS score, md5(text) AS said FROM (
+    SELECT sc.*, source, text, row_number() OVER (ORDER BY round(score, 9) DESC, sc.doc_id) AS rank FROM sc JOIN documents USING (doc_id)) WHERE rank <= 12""")
+def _(w):
+    found = X.bm25_top(w.content_of(w.by_source), w.index_blocks, w.index_stats, QUERY)
+    return found.select(A, "msg_id", "sender", "rank", F.round("score", 6).alias("score"), F.md5("content").alias("said"))
+
+
+# Three are wanted: the ranges opened are the three with the highest bounds, and those whose bound reaches the third score.
+@query("blocks_read", _bm25(*_TERMS) + f""", bl AS ({_BLOCKS.format(src='hit')}),
+bd AS (SELECT doc_block, sum(ln((stat.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * 2.2::DOUBLE / (1 + 0.3::DOUBLE / max_tf + 0.9::DOUBLE * min_share / av)) AS bound
+    FROM bl JOIN df USING (term), stat GROUP BY doc_block),
+fi AS (SELECT doc_block FROM bd ORDER BY round(bound, 9) DESC, doc_block LIMIT 3),
+fl AS (SELECT min(score) AS floor FROM (SELECT score FROM sc WHERE doc_id // {X.BLOCK_IDS} IN (FROM fi) ORDER BY round(score, 9) DESC, doc_id LIMIT 3))
+SELECT 0 AS archive_id, count(*) AS ranges, count(*) FILTER (doc_block IN (FROM fi)) AS first, count(*) FILTER (doc_block NOT IN (FROM fi) AND bound + {X.MARGIN} >= floor) AS late FROM bd, fl""")
+def _(w):
+    return X.blocks_read(X.rank_blocks(w.index_blocks, w.index_stats, QUERY, 3).ranges)
+
+
 @query("keyword_like_search", Q.DM + Q.top("SELECT archive_id, msg_id, ts, sender, text AS content, 1.0::DOUBLE AS score FROM m WHERE contains(lower(text), 'lich')", 12, "ts DESC, msg_id DESC"))
 def _(w):
     return R.keyword_like_search(w.content_of(w.by_source), "LICH")
