@@ -138,15 +138,17 @@ def publish(spark: SparkSession, archive_id, views: dict[str, DataFrame]) -> Spa
     return session
 
 
-def run_sql(spark: SparkSession, query: str, max_rows: int = MAX_ROWS) -> DataFrame:
+def run_sql(spark: SparkSession, query: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """One read-only query over the views of a session that ``publish`` made: up to ``max_rows`` rows, and in ``truncated`` whether there were more.
 
-    Spark's own parser decides what the text is. Raises PermissionError for anything but a
+    With None all rows are given, spread as the query leaves them. Spark's own parser decides what the text is. Raises PermissionError for anything but a
     query over published names, and Spark's ParseException for several statements.
     """
     if not query or not query.strip():
         raise PermissionError("empty query")
     _check(spark, query)
+    if max_rows is None:
+        return spark.sql(query).withColumn("truncated", F.lit(False))
     if max_rows < 1:
         raise ValueError("max_rows must be positive")
     # one row beyond the cap tells; the windows see no more rows than that

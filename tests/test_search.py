@@ -246,6 +246,19 @@ def test_run_sql(spark):
     assert (told.t, told.i, told.r, told.f, told.h, told.s) == ("IT'S; A 'DROP'!", 1, 1, [2], "10", "2")
 
 
+def test_run_sql_gives_all_rows(spark, tmp_path):
+    rows = spark.range(700).selectExpr("0 AS archive_id", "id AS msg_id")
+    whole = adhoc.run_sql(adhoc.publish(spark, 0, {"v_messages": rows}), "SELECT msg_id FROM v_messages", max_rows=None)
+    assert whole.count() == 700 and not whole.where("truncated").count()
+    # the registered query, over a chat of 600 people
+    spark.sql("""SELECT id AS event_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT)) AS ts, id * 10 + 4 AS user_id, 'view' AS event_type,
+        1.0D AS value, '{"k": 1}' AS props FROM range(600)""").write.parquet(str(tmp_path / "events.parquet"))
+    import __spark_entry__ as entry
+
+    got = entry.queries()["run_sql"](spark, str(tmp_path))
+    assert got.count() == 600 and got.where("started > 0").count() == 1 and not got.where("truncated").count()
+
+
 def test_functions_are_allowed_by_name(spark):
     spark.udf.register("leak", lambda: "x")
     for text in ("SELECT leak()", "SELECT current_user()", "SELECT input_file_name()", "SELECT spark_partition_id()", "SELECT no_such_function(1)",
