@@ -11,9 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.text import tokens
-from parley.operators.retrieval import B, K1, TOP_K, _top, content_filter, query_terms
-from parley.operators.skew import checked_broadcast
+from parley.operators.retrieval import B, K1, TOP_K, _top, content_filter, counted_terms, query_terms
+from parley.operators.skew import checked_broadcast, parts_of
 from parley.sources.store import materialise
 
 A = "archive_id"
@@ -29,24 +28,22 @@ def build_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
     """(archive_id, doc_id, content) to (archive_id, term, doc_block, n, max_tf, min_share, places, tf, dl) of non-empty content.
 
     ``places`` are distances from the first id of the block, ascending; ``dl`` is the length of a document, ``min_share`` the least
-    length for each use of the term. Terms are counted within their row, and one range shuffle serves both the grouping and the
-    order of the files, so a hot term is spread over its blocks and a group has at most ``block_ids`` documents. ``doc_id`` names a
+    length for each use of the term. Terms are counted within their row, and the
+    texts are shuffled by ranges of blocks, not the postings: a task holds the blocks of a bounded share of the documents, and a group has at
+    most ``block_ids`` documents. Each file of a stored index holds some blocks of all terms, in order. ``doc_id`` names a
     document within its archive; rows without one are left out.
     """
-    words = docs.where("content IS NOT NULL AND content <> '' AND doc_id IS NOT NULL").select(
-        A, F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(tokens("content")).alias("_t")).where(F.size("_t") > 0)
-    t, n = F.col("_t"), F.size("_t")
-    begins = words.select(A, "doc_id", "_t", F.filter(
-        F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1))).alias("_b"))
-    counted = F.transform("_b", lambda place, j: F.struct(
-        F.get(t, place).alias("term"), (F.coalesce(F.get(F.col("_b"), j + 1), n) - place).alias("tf")))
-    postings = begins.select(A, "doc_id", n.alias("dl"), F.explode(counted).alias("p")).select(
-        A, "p.term", F.floor(F.col("doc_id") / block_ids).cast("long").alias("doc_block"),
-        F.pmod("doc_id", F.lit(block_ids)).cast("int").alias("place"), "p.tf", "dl")
-    grouped = postings.repartitionByRange(A, "term", "doc_block").groupBy(A, "term", "doc_block").agg(
+    block = F.floor(F.col("doc_id").cast("long") / block_ids).cast("long").alias("doc_block")
+    rows = docs.where("content IS NOT NULL AND content <> '' AND doc_id IS NOT NULL").select(
+        A, F.col("doc_id").cast("long").alias("doc_id"), "content", F.struct(A, block).alias("_part"))
+    # one column, so that the groups stay where their texts are also where the archive is a constant
+    placed = rows.repartitionByRange(max(2, parts_of(rows, "content")), "_part")
+    postings = counted_terms(placed, "_part").select(
+        "_part", "term", F.pmod("doc_id", F.lit(block_ids)).cast("int").alias("place"), "tf", "dl")
+    grouped = postings.groupBy("_part", "term").agg(
         F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min(F.col("dl") / F.col("tf")).alias("min_share"),
         F.sort_array(F.collect_list(F.struct("place", "tf", "dl"))).alias("_p"))
-    return grouped.select(A, "term", "doc_block", *HEAD, F.col("_p.place").alias("places"), "_p.tf", "_p.dl")
+    return grouped.select(f"_part.{A}", "term", "_part.doc_block", *HEAD, F.col("_p.place").alias("places"), "_p.tf", "_p.dl")
 
 
 class Ranking(NamedTuple):

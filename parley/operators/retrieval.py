@@ -11,7 +11,7 @@ from parley.functions.text import body_hash, display_date, strip, tokens
 from parley.operators.answers import remember
 from parley.operators.media import EMBED_BATCH
 from parley.operators.ordered import block_of, dense_ids, totals_across
-from parley.operators.skew import checked_broadcast, skew_join, spread_join
+from parley.operators.skew import checked_broadcast, parts_of, skew_join, spread, spread_join
 from parley.operators.transcript import read_window
 
 # Fixed values.
@@ -48,6 +48,8 @@ def build_chunks(content: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
         "archive_id", "session_id", "msg_id", "ts", "sender", "msg_type", "content",
         F.explode(F.sequence(lowest, F.floor(p / step))).alias("window"),
     )
+    # windows of a bounded number of bytes meet in a task
+    windows = windows.repartition(parts_of(content, "content"), "archive_id", "session_id", "window")
     text = strip(F.coalesce("content", F.lit("")))
     silent = None
     for kind, words in SILENT.items():
@@ -82,16 +84,28 @@ def chunk_table(chunks: DataFrame) -> DataFrame:
 # --- keyword search -------------------------------------------------------------------
 
 
+def counted_terms(docs: DataFrame, *keep: str) -> DataFrame:
+    """(archive_id, doc_id, keep..., dl, term, tf) of non-empty content; terms are counted within their row, so nothing is shuffled.
+
+    The outer explode keeps the optimiser from testing the size of the words first, which would cut each text twice.
+    """
+    words = docs.where("content IS NOT NULL AND content <> ''").select(
+        "archive_id", "doc_id", *keep, F.sort_array(tokens("content")).alias("_t"))
+    t, n = F.col("_t"), F.size("_t")
+    begins = words.select("archive_id", "doc_id", *keep, "_t", F.filter(
+        F.sequence(F.lit(0), n), lambda i: (i < n) & ((i == 0) | (F.get(t, i) != F.get(t, i - 1)))).alias("_b"))
+    counted = F.transform("_b", lambda place, j: F.struct(
+        F.get(t, place).alias("term"), (F.coalesce(F.get(F.col("_b"), j + 1), n) - place).alias("tf")))
+    return begins.select("archive_id", "doc_id", *keep, n.alias("dl"), F.explode_outer(counted).alias("p")).where("p IS NOT NULL").select(
+        "archive_id", "doc_id", *keep, "dl", "p.term", "p.tf")
+
+
 def build_postings(docs: DataFrame) -> DataFrame:
-    """(archive_id, doc_id, content) to (archive_id, term, doc_id, tf, dl) of non-empty content."""
-    words = (
-        docs.where("content IS NOT NULL AND content <> ''")
-        .select("archive_id", "doc_id", tokens("content").alias("_t"))
-    )
-    return (
-        words.select("archive_id", "doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-        .groupBy("archive_id", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """(archive_id, doc_id, content) to (archive_id, term, doc_id, tf, dl) of non-empty content; a document is one row.
+
+    The texts are shuffled, not the postings: a task holds the postings of a bounded share of the documents.
+    """
+    return counted_terms(spread(docs.select("archive_id", "doc_id", "content"), ["archive_id", "doc_id"], "content")).select("archive_id", "term", "doc_id", "dl", F.col("tf").cast("long").alias("tf"))
 
 
 def index_stats(docs: DataFrame) -> DataFrame:
@@ -222,17 +236,18 @@ def hash_embedding(texts, dims: int = 64):
 
 
 def embed_texts(texts: DataFrame, embed: Callable, key: str, body: str, batch: int = EMBED_BATCH) -> DataFrame:
-    """(key, embedding) through the pluggable model, in calls of ``batch`` texts."""
+    """(key, embedding) through the pluggable model, in calls of ``batch`` texts; no more texts than that are Python strings at a time."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at:at + batch]
-                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(embed(part[body].tolist()))})
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                vectors = pa.array([list(v) for v in embed(part.column(1).to_pylist())], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], [key, "embedding"])
 
-    return texts.select(key, body).mapInPandas(run, f"{key} string, embedding array<float>")
+    return texts.select(F.col(key).cast("string").alias(key), body).mapInArrow(run, f"{key} string, embedding array<float>")
 
 
 def embed_or_tell(texts: DataFrame, embed: Callable, key: str, body: str, batch: int = EMBED_BATCH) -> DataFrame:

@@ -15,6 +15,9 @@ HEAVY_ROWS = 1_000_000
 MAX_HEAVY_KEYS = 10_000
 # Rows of ids and scores, some 100 bytes each.
 BROADCAST_ROWS = 200_000
+# Bytes of rows a task gets where rows are sorted or handed to Python, and what a row takes besides its texts.
+TASK_BYTES = 8 << 20
+ROW_BYTES = 128
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -28,6 +31,24 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
+def parts_of(df: DataFrame, *texts: str) -> int:
+    """How many parts of ``TASK_BYTES`` the rows of ``df`` and their ``texts`` fill. ``df`` is read for it: it should be stored."""
+    size = F.lit(ROW_BYTES).cast("long")
+    for text in texts:
+        size = size + F.coalesce(F.octet_length(text), F.lit(0))
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return max(1, -(-total // TASK_BYTES))
+
+
+def spread(df: DataFrame, keys: list[str], *texts: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` into ``parts_of`` parts.
+
+    Adaptive execution merges the parts of its own shuffles up to a compressed size, and what a task sorts grows with the
+    data; a number that is named stays.
+    """
+    return df.repartition(parts_of(df, *texts), *keys)
+
+
 def spread_join(left: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "inner",
                 salts: int = SALTS) -> DataFrame:
     """Join a side with one row per ``on`` key: each of its rows is copied to every salt."""

@@ -148,8 +148,8 @@ class World:
 
     @cached_property
     def postings(self) -> DataFrame:
-        """The index keeps the rows of a term together, so a query reads few row groups."""
-        return materialise(R.build_postings(self.docs).repartitionByRange("term", "doc_id"), "postings", ["term", "doc_id"])
+        """Each file of the index keeps the rows of a term together, so a query reads few pages of it."""
+        return materialise(R.build_postings(self.docs), "postings", ["term", "doc_id"])
 
     @cached_property
     def index_blocks(self) -> DataFrame:

@@ -93,3 +93,15 @@ def test_one_shuffle_builds_and_heads_are_read_alone(spark, stored, tmp_path):
     heads = spark.read.parquet(f"{tmp_path}/index").where("term = 'tree'").groupBy("term").agg(F.sum("n"))
     plan = heads._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<term:string,n:int>" in plan and "EqualTo(term,tree)" in plan
+
+
+def test_indexes_move_texts_not_postings(spark):
+    """Terms are counted within their row: one shuffle, of the texts, also where the archive is a constant."""
+    docs = spark.range(300).selectExpr("0 AS archive_id", "id AS doc_id", "concat('red red blue w', id % 7) AS content")
+    for index in (R.build_postings(docs), X.build_blocks(docs)):
+        plan = index._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Generate" in plan.split("Exchange")[0]
+    uses = {(r.term, r.doc_id): r.tf for r in R.build_postings(docs).where("doc_id < 9").collect()}
+    assert uses["red", 8] == 2 and uses["blue", 8] == 1 and uses["w1", 8] == 1 and len(uses) == 27
+    blank = spark.createDataFrame([(0, 1, ""), (0, 2, None), (0, 3, "?!"), (0, 4, "x")], "archive_id int, doc_id long, content string")
+    assert [tuple(r) for r in R.build_postings(blank).collect()] == [(0, "x", 4, 1, 1)]
