@@ -22,25 +22,30 @@ def _zip_exports(batches):
     import io
     import zipfile
 
+    import pyarrow as pa
+
     names = ["_chat.txt", "WhatsApp Chat with X.txt", "group.txt"]
-    for pdf in batches:
-        out = []
-        for conv, turn, role, text in zip(pdf["conv_id"], pdf["turn"], pdf["role"], pdf["text"]):
-            buffer = io.BytesIO()
-            body = f"12/08/2023, 21:14 - {role}: {text}\n"
-            encoding = ("utf-8", "utf-8-sig", "utf-16")[turn % 3]
-            with zipfile.ZipFile(buffer, "w") as z:
-                z.writestr(f"export\\{names[turn % 3]}", body.encode(encoding))
-                z.writestr("a.txt", "x")
-                z.writestr("media/IMG-1.jpg", b"x" * (turn + 1))
-                z.writestr("../evil.txt", "x" * 5000)
-                z.writestr("/abs.txt", "x")
-            out.append((f"{conv}-{turn}", buffer.getvalue()))
-        yield pd.DataFrame(out, columns=["path", "content"])
+
+    def rows():
+        for batch in batches:
+            for conv, turn, role, text in zip(*(batch.column(c) for c in ("conv_id", "turn", "role", "text"))):
+                conv, turn, role, text = conv.as_py(), turn.as_py(), role.as_py(), text.as_py()
+                buffer = io.BytesIO()
+                body = f"12/08/2023, 21:14 - {role}: {text}\n"
+                encoding = ("utf-8", "utf-8-sig", "utf-16")[turn % 3]
+                with zipfile.ZipFile(buffer, "w") as z:
+                    z.writestr(f"export\\{names[turn % 3]}", body.encode(encoding))
+                    z.writestr("a.txt", "x")
+                    z.writestr("media/IMG-1.jpg", b"x" * (turn + 1))
+                    z.writestr("../evil.txt", "x" * 5000)
+                    z.writestr("/abs.txt", "x")
+                yield f"{conv}-{turn}", buffer.getvalue()
+
+    yield from exports.in_pieces(rows(), pa.schema([("path", pa.string()), ("content", pa.binary())]), lambda r: len(r[1]))
 
 
 def _exports(w):
-    return exports.zip_members(w.table("conversations").mapInPandas(_zip_exports, "path string, content binary"))
+    return exports.zip_members(w.table("conversations").mapInArrow(_zip_exports, "path string, content binary"))
 
 
 _TRANSCRIPT = """CASE turn % 3 WHEN 0 THEN '_chat.txt' WHEN 1 THEN 'WhatsApp Chat with X.txt' ELSE 'group.txt' END"""

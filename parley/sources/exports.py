@@ -1,12 +1,11 @@
 """Export files: zips, transcripts in any encoding, attachments."""
 
 import hashlib
-import io
 import re
 import zipfile
 import zlib
+from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,32 +34,45 @@ def safe_member_path(name) -> Column:
 
 
 # Members are handed on in batches of about this many bytes, which bounds the memory of a task.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def in_pieces(rows, schema: pa.Schema, size: Callable):
+    """Record batches of ``rows`` (tuples), each of about ``BATCH_BYTES`` by ``size`` of a row."""
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    held, weight = [], 0
+    for row in rows:
+        held.append(row)
+        weight += size(row)
+        if weight >= BATCH_BYTES or len(held) >= 10_000:
+            yield batch()
+            held, weight = [], 0
+    if held:
+        yield batch()
+
+
+_MEMBERS = pa.schema([("export", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
 
 
 def _members(batches):
-    def frame(rows):
-        return pd.DataFrame(rows, columns=["export", "name", "size", "content", "error"])
+    """One zip at a time is a Python value."""
+    def rows():
+        for files in batches:
+            for path, content in zip(files.column("path"), files.column("content")):
+                path, name = path.as_py(), None
+                try:
+                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
+                        for info in archive.infolist():
+                            if info.is_dir():
+                                continue
+                            name = info.filename
+                            yield path, name, info.file_size, archive.read(info), None
+                except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError) as e:
+                    yield path, name, None, None, f"{type(e).__name__}: {e}"
 
-    rows, held = [], 0
-    for files in batches:
-        for path, content in zip(files["path"], files["content"]):
-            name = None
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for info in archive.infolist():
-                        if info.is_dir():
-                            continue
-                        name = info.filename
-                        rows.append((path, name, info.file_size, archive.read(info), None))
-                        held += info.file_size
-                        if held >= BATCH_BYTES or len(rows) >= 10_000:
-                            yield frame(rows)
-                            rows, held = [], 0
-            except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError) as e:
-                rows.append((path, name, None, None, f"{type(e).__name__}: {e}"))
-    if rows:
-        yield frame(rows)
+    yield from in_pieces(rows(), _MEMBERS, lambda r: len(r[3] or b""))
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +87,7 @@ def zip_members(zips: DataFrame) -> DataFrame:
     Unsafe entries stay as rows without content, so they can be counted. A zip that breaks off gives a row with its error behind
     the members before it. Zips lie whole in their rows here; ``zips.py`` reads them in pieces.
     """
-    members = zips.select("path", "content").mapInPandas(
+    members = zips.select("path", "content").mapInArrow(
         _members, "export string, name string, size bigint, content binary, error string")
     member = safe_member_path("name")
     return (
@@ -100,23 +112,26 @@ def _decode(batches):
 
     # The flag is for Java only; its pattern is otherwise common ground.
     header = regex.compile(HEADER.replace("(?d)", ""), regex.MULTILINE)
+
+    def decoded(content):
+        for encoding in ENCODINGS:
+            try:
+                text = content.decode(encoding)
+            except UnicodeError:
+                continue
+            if header.search(text) or encoding == "latin-1":
+                return text, encoding
+
     for files in batches:
-        out = []
-        for content in files["content"]:
-            for encoding in ENCODINGS:
-                try:
-                    text = content.decode(encoding)
-                except UnicodeError:
-                    continue
-                if header.search(text) or encoding == "latin-1":
-                    break
-            out.append((text, encoding))
-        yield files.drop(columns="content").assign(text=[t for t, _ in out], encoding=[e for _, e in out])
+        key = files.schema.field(0)
+        schema = pa.schema([key, ("text", pa.string()), ("encoding", pa.string())])
+        rows = ((k.as_py(), *decoded(c.as_py())) for k, c in zip(*files.columns))
+        yield from in_pieces(rows, schema, lambda r: 2 * len(r[1]))
 
 
 def decode_transcript(files: DataFrame, key: str = "file") -> DataFrame:
-    """Binary transcripts (file, content) as text: the first decoding that shows a header."""
-    return files.select(key, "content").mapInPandas(_decode, f"{key} string, text string, encoding string")
+    """Binary transcripts (file, content) as text: the first decoding that shows a header. One text at a time is decoded."""
+    return files.select(key, "content").mapInArrow(_decode, f"{key} string, text string, encoding string")
 
 
 def transcript_lines(decoded: DataFrame, key: str = "file") -> DataFrame:
