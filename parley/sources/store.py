@@ -43,13 +43,21 @@ def materialise(df: DataFrame, name: str, sort: list[str] | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows that one task sorts and writes.
+TASK_ROWS = 250_000
+
+
 def write_messages(df: DataFrame, path: str, mode: str = "errorifexists",
                    rows_per_file: int = 5_000_000) -> None:
     """Store a table with one partition folder per archive.
 
-    Ranges of message ids spread a big archive over many tasks; a small one stays in one file.
+    Ranges of message ids spread a big archive over many tasks; a small one stays in one file. There are as many parts as ranges,
+    so that a task sorts a few ranges however large the table is.
     """
-    spread = df.repartition(F.col("archive_id"), F.pmod(F.xxhash64("archive_id", F.floor(F.col("msg_id") / rows_per_file)), F.lit(1 << 20)))
+    rows = min(rows_per_file, TASK_ROWS)
+    piece = F.floor(F.col("msg_id") / rows).cast("long")
+    parts = df.select("archive_id", piece.alias("piece")).distinct().count()
+    spread = df.repartition(max(1, 2 * parts), F.col("archive_id"), piece)
     (
         spread.sortWithinPartitions("archive_id", "msg_id")
         .write.mode(mode)

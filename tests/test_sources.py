@@ -100,3 +100,35 @@ def test_upsert_latest(spark):
     old = spark.createDataFrame([("a", "1", 1), ("b", "1", 1)], "key string, value string, version int")
     new = spark.createDataFrame([("a", "2", 2), ("c", "3", 2)], "key string, value string, version int")
     assert {r.key: r.value for r in store.upsert_latest(old, new, ["key"], "version").collect()} == {"a": "2", "b": "1", "c": "3"}
+
+
+def test_members_are_handed_on_in_small_pieces(monkeypatch):
+    import io
+
+    import pyarrow as pa
+
+    def zipped(n):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for i in range(n):
+                z.writestr(f"{i}.txt", b"x" * 100)
+        return held.getvalue()
+
+    monkeypatch.setattr(exports, "BATCH_BYTES", 250)
+    given = pa.RecordBatch.from_pydict({"path": ["a", "b", "c"], "content": [zipped(2), zipped(5), b"no zip"]})
+    got = list(exports._members([given]))
+    assert max(b.num_rows for b in got) == 3
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["export"] for r in rows] == ["a"] * 2 + ["b"] * 5 + ["c"] and rows[0]["content"] == b"x" * 100 and "BadZipFile" in rows[-1]["error"]
+    texts = pa.RecordBatch.from_pydict({"file": list("abcdefg"), "content": [CHAT.encode("utf-16")] * 7})
+    told = list(exports._decode([texts]))
+    assert len(told) > 1 and [t for b in told for t in b.column("text").to_pylist()] == [CHAT] * 7
+
+
+def test_a_task_writes_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 100)
+    rows = spark.range(3000).selectExpr("0 AS archive_id", "id AS msg_id", "concat('t', id) AS text")
+    store.write_messages(rows, f"{tmp_path}/m")
+    stored = spark.read.parquet(f"{tmp_path}/m")
+    most = stored.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert stored.count() == 3000 and most < 1000
