@@ -8,6 +8,7 @@ from parley.operators.linkage import assign_keys, assign_small_keys, tag_partici
 from parley.operators.ordered import (
     SLICE_ROWS, block_of, count_across, dense_ids, micros, with_time_slices,
 )
+from parley.operators.skew import spread
 
 GAP_HOURS = 4.0
 
@@ -53,7 +54,9 @@ def stream_features(messages: DataFrame, gap_hours: float = GAP_HOURS,
     part = ["archive_id"]
     sliced, keys, any_cut = with_time_slices(messages, part, rows=slice_rows)
     slices = keys[1:]
-    narrow = sliced
+    if not any_cut:
+        # whole hours, which hold all equal messages; cut hours must not meet again in one task
+        sliced = spread(sliced, [*part, "_hour"], "text")
     limit = gap_hours * 3600.0
     within = Window.partitionBy(*keys).orderBy("ts", "line_no")
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -73,7 +76,7 @@ def stream_features(messages: DataFrame, gap_hours: float = GAP_HOURS,
     between = Window.partitionBy(*part).orderBy(*slices)
     before = between.rowsBetween(Window.unboundedPreceding, -1)
     edges = (
-        steps(narrow).groupBy(*keys).agg(
+        steps(sliced).groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_first"), F.max("ts").alias("_last"),
             F.max_by("participant_id", "_rn").alias("_speaker"), F.sum("_cut").alias("_inner"),
         )

@@ -113,3 +113,13 @@ def test_worker_functions_travel_with_the_task():
     import parley
 
     assert parley.__name__ in cloudpickle.list_registry_pickle_by_value()
+
+
+def test_load_spreads_by_size(spark, monkeypatch):
+    """Adaptive merging does not put more into a task than its share."""
+    monkeypatch.setattr(skew, "TASK_BYTES", 4096)
+    raw = spark.range(400).selectExpr("CAST(id % 2 AS INT) AS archive_id", "id AS line_no", "CAST(timestamp_seconds(1704067200 + id * 3600) AS TIMESTAMP_NTZ) AS ts",
+                                      "'a' AS sender", "'text' AS msg_type", "repeat('x', 100) AS text", "CAST(NULL AS STRING) AS attachment")
+    got = sessions.enrich(raw)
+    assert got.count() == 400 and got.groupBy(F.spark_partition_id()).count().count() > 10
+    assert sorted(r.msg_id for r in got.collect()) == sorted([*range(200)] * 2)
