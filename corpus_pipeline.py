@@ -7,21 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import decontaminate, mixing, quality, simhash, tokens
 from parley.llm.queries import DOMAINS, WEIGHTS
+from parley.llm.worker import small_batches
 from parley.sources.store import materialise
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go."""
+    small_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), least=0.3)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    small_batches(spark)
     return simhash.keep_one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), q=12, rate=0.06)
 
 
@@ -32,6 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and what they say of each document."""
+    small_batches(spark)
     return tokens.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.flat import Sums, mix
+from parley.llm.worker import tidied
 
 #: Characters of the benchmark sent to tasks at once.
 BLOCK_CHARS = 4 << 20
@@ -209,5 +210,5 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, q: int = 12, rate: fl
                 clean[[t for t, *_ in block.matches(batch.column("text").to_pylist())]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, documents.schema)
+        out = out.mapInArrow(tidied(run), documents.schema)
     return out

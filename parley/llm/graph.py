@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.worker import tidied
 from parley.sources.store import materialise
 
 
@@ -57,7 +58,7 @@ def forest(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
         if rows:
             yield shrunk(held)
 
-    return edges.select("a", "b").coalesce(max(1, -(-edges.count() // block))).mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").coalesce(max(1, -(-edges.count() // block))).mapInArrow(tidied(run), "a long, b long")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

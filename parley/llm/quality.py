@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.flat import slices, text_bytes, word_hashes
+from parley.llm.worker import tidied
 from parley.sources.store import materialise
 
 #: Labelled rows the trees are grown on, at most.
@@ -99,7 +100,7 @@ def with_statistics(documents: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), rows], ["doc_id", "stats"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, stats array<float>")
+        tidied(run), "doc_id long, stats array<float>")
 
 
 class Trees(NamedTuple):
@@ -220,4 +221,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, least: float = 0.3, sampl
         for batch in batches:
             yield batch.filter(pa.array(trees.score(_all_statistics(batch.column("text"))) >= least))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidied(run), documents.schema)

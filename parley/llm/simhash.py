@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.flat import mix, text_bytes
 from parley.llm.graph import components, forest, groups, shrink
+from parley.llm.worker import tidied
 from parley.operators.skew import spread_join
 from parley.sources.store import materialise
 
@@ -345,7 +346,7 @@ def _alike(classes: DataFrame, count: int, words_of_64: int, size: int, distance
 
     def met(rows: DataFrame, block: int | None) -> DataFrame:
         return materialise(rows.sortWithinPartitions("key", "node").mapInArrow(
-            _meetings(distance, crowd, block), "a long, b long, rows long").distinct(), "links")
+            tidied(_meetings(distance, crowd, block)), "a long, b long, rows long").distinct(), "links")
 
     tasks = math.ceil(count * segments * (size + 1) * 8 * (len(names) + 5) / TASK_BYTES)
     found = met(variants(held.repartition(max(1, tasks), "piece", "first", "intact")), block)
@@ -391,7 +392,7 @@ def keep_one_of_each(documents: DataFrame, shingle: int = 5, similarity: float =
 
     row_id, row_sum = documents["doc_id"].cast("long"), F.xxhash64(documents["text"].cast("string"))
     narrow = documents.select(row_id.alias("doc_id"), documents["text"].cast("string").alias("text"), row_sum.alias("sum"))
-    prints = materialise(narrow.mapInArrow(run, "doc_id long, node long, fp array<long>, words boolean, sum long"), "prints")
+    prints = materialise(narrow.mapInArrow(tidied(run), "doc_id long, node long, fp array<long>, words boolean, sum long"), "prints")
     known = prints.where("words and doc_id is not null")
     classes = materialise(known.groupBy("node").agg(F.any_value("fp").alias("fp"), F.min(F.struct("doc_id", "sum")).alias("first")), "classes")
     count, bits = classes.count(), bound(similarity, words_of_64)

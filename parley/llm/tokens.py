@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from parley.llm import files
 from parley.llm.flat import slices, text_bytes
 from parley.llm.units import ByteLevel
-from parley.llm.worker import Memory, kept
+from parley.llm.worker import Memory, kept, tidied
 from parley.sources.store import materialise, new_table_path
 
 #: Different pieces a worker remembers, at least.
@@ -144,7 +144,7 @@ def write(documents: DataFrame, folder: str, vocabulary: str, end_id: int) -> Da
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = ranged.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    listed = materialise(ranged.mapInArrow(run, "part int, path string, width int, documents long, tokens long"), "token-files")
+    listed = materialise(ranged.mapInArrow(tidied(run), "part int, path string, width int, documents long, tokens long"), "token-files")
     # one row per file, so a window over all of them stays small
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return materialise(listed.select("*", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")), "token-index")

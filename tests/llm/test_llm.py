@@ -531,3 +531,48 @@ def test_pipeline(spark):
         sizes.append(docs.count())
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0 and sizes[4] > 0
     assert corpus_pipeline.run(spark, folder).count() == sizes[4]
+
+
+@pytest.mark.parametrize("name", ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "token-ID / binary output"])
+def test_pipeline_hands_texts_to_python_in_small_batches(spark, name):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 900).alias("text"))
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs.limit(20), folder)
+        largest, rows = wide.mapInArrow(sizes, "size long, n long").agg(F.max("size"), F.sum("n")).first()
+    finally:
+        spark.conf.set(key, before)
+    assert rows == 3000 and largest < 3 << 20
+
+
+def test_a_task_hands_its_free_memory_back():
+    from parley.llm.worker import tidied
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))) >> 10
+
+    last = []
+
+    def run(batches):
+        pieces = [bytes(1000) for _ in range(150_000)]
+        last.append(bytes(1000))  # above them all: the allocator can't shrink past it
+        yield from batches
+        del pieces
+
+    before = held()
+    list(run(iter([])))
+    kept = held() - before
+    before = held()
+    list(tidied(run)(iter([])))
+    assert kept > 100 and held() - before < -80
