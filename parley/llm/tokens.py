@@ -8,8 +8,8 @@ into memory when they are read.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from parley.llm import files
 from parley.llm.flat import slices, text_bytes
 from parley.llm.units import ByteLevel
-from parley.llm.worker import Memory, kept, tidied
+from parley.llm.worker import kept, tidied
 from parley.sources.store import materialise, new_table_path
 
-#: Different pieces a worker remembers, at least.
-_REMEMBER = 100_000
+#: Different pieces a worker remembers, at least; twice as many at most.
+_REMEMBER = 120_000
+#: What uses of a piece count for after each further call.
+_FADE = np.float32(0.97)
 #: Bytes encoded at once.
 _AT_ONCE = 2 << 20
 
@@ -61,6 +63,42 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut) + 1
 
 
+def _binary(edges: np.ndarray, data: np.ndarray) -> pa.LargeBinaryArray:
+    """Bytes laid end to end as rows that begin and end at ``edges``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [
+        None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+class Known:
+    """Different pieces and their ids; of more than twice ``limit``, the ``limit`` that were used most of late stay."""
+
+    def __init__(self, limit: int):
+        self.limit, self.used = limit, np.zeros(0, np.float32)
+        self.place: dict[bytes, int] = {}
+        self.ids = _binary(np.zeros(1, np.int64), np.zeros(0, np.uint8))
+
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where the ids of each piece stand in ``ids``, -1 for those not known."""
+        return np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def use(self, places: np.ndarray, times: np.ndarray) -> None:
+        self.used *= _FADE
+        self.used[places] += times
+
+    def add(self, pieces: list[bytes], ids: pa.LargeBinaryArray, times: np.ndarray) -> None:
+        short = np.fromiter(map(len, pieces), np.int64, len(pieces)) <= 64
+        if not short.all():
+            pieces, ids, times = [pieces[k] for k in np.flatnonzero(short).tolist()], ids.filter(pa.array(short)), times[short]
+        self.place.update(zip(pieces, range(len(self.used), len(self.used) + len(pieces))))
+        self.ids, self.used = pa.concat_arrays([self.ids, ids]), np.concatenate((self.used, times.astype(np.float32)))
+        if len(self.used) > 2 * self.limit:
+            most = np.sort(np.argpartition(self.used, -self.limit)[-self.limit:])
+            stay = np.zeros(len(self.used), bool)
+            stay[most] = True
+            self.place = {piece: k for k, piece in enumerate(compress(self.place, stay.tolist()))}
+            self.ids, self.used = self.ids.take(pa.array(most)), self.used[most]
+
+
 class Encoder:
     """Encodes many texts at once; each different piece goes through the tokenizer once while it is remembered."""
 
@@ -68,7 +106,7 @@ class Encoder:
         self.vocabulary = ByteLevel(vocabulary, special=True)
         self.size = len(self.vocabulary.bytes)
         self.added = [t.content.encode() for t in self.vocabulary.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Memory(_REMEMBER)
+        self.known = Known(_REMEMBER)
 
     def _edges(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the pieces begin. A text that spells out an added token stays in one piece."""
@@ -88,26 +126,24 @@ class Encoder:
         """Ids of texts laid end to end, each with ``end_id`` behind it, and the n + 1 places where they begin."""
         n = len(at) - 1
         edges = self._edges(raw, at) if len(raw) else np.zeros(1, np.int64)
-        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [
-            None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-        different = pieces.dictionary.to_pylist()
-        rows = self.known.rows(different)
-        new = [k for k, row in enumerate(rows) if row is None]
-        for k, ids in zip(new, self.vocabulary.units([different[k] for k in new])[0]):
-            rows[k] = array("I", ids).tobytes()
-            if len(different[k]) <= 64:
-                self.known.put(different[k], rows[k])
-        rows.append(np.array([end_id], np.uint32).tobytes())
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        flat = np.frombuffer(b"".join(rows), np.uint32)
-        begin = np.cumsum(sizes) - sizes
+        pieces = _binary(edges, raw).dictionary_encode()
+        different, index = (x.to_numpy(zero_copy_only=False) for x in (pieces.dictionary, pieces.indices))
+        different = different.tolist()
+        times = np.bincount(index, minlength=len(different))
+        places = self.known.places(different)
+        old, new = places >= 0, np.flatnonzero(places < 0)
+        self.known.use(places[old], times[old])
+        places[new] = np.arange(len(new)) + len(self.known.ids)
+        fresh = [different[k] for k in new.tolist()]
+        ids, counts, _ = self.vocabulary.flat(fresh)
+        found = _binary(4 * np.concatenate(([0], np.cumsum(counts))), ids.astype(np.uint32).view(np.uint8))
+        rows = pa.concat_arrays([self.known.ids, found, pa.array([np.array([end_id], np.uint32).tobytes()], pa.large_binary())])
         ends = np.searchsorted(edges, at[1:]) if len(raw) else np.zeros(n, np.int64)
-        codes = np.insert(pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(rows) - 1)
-        out = np.cumsum(sizes[codes])
-        lengths = sizes[codes]
-        ids = flat[np.repeat(begin[codes] - (out - lengths), lengths) + np.arange(int(out[-1]) if len(out) else 0)]
-        places = ends + np.arange(1, n + 1)
-        return ids, np.concatenate(([0], out[places - 1] if n else np.zeros(0, np.int64)))
+        taken = rows.take(pa.array(np.insert(places[index], ends, len(rows) - 1)))
+        self.known.add(fresh, found, times[new])
+        _, out, ids = taken.buffers()
+        out = np.frombuffer(out, np.int64)[: len(taken) + 1] // 4
+        return np.frombuffer(ids, np.uint32)[: int(out[-1])], out[np.concatenate(([0], ends + np.arange(1, n + 1)))]
 
 
 def write(documents: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:

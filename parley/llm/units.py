@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,41 +45,96 @@ def coded(raw: np.ndarray, begins: np.ndarray) -> tuple[list[bytes], np.ndarray]
     return units.dictionary.to_pylist(), units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _joins(unit: bytes) -> bool:
-    """Whether another unit may follow this one, and this one another."""
-    last = unit[-1]
-    solid = 32 < last < 127 or last > 127 and unit[-2] != 0xC2 and not 0xE1 <= unit[-3] <= 0xE3 if len(unit) > 2 else 32 < last < 127
-    return solid and unit[0] == 32 and len(unit) < 4096
+def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places ``begin .. begin + length`` of each entry, end to end."""
+    out = np.cumsum(lengths)
+    return np.arange(int(out[-1]) if len(out) else 0) + np.repeat(begins - (out - lengths), lengths)
 
 
-def encode(units: list[bytes], batch: Callable[[list[str]], list[list[int]]], spelt: list[bytes], sizes: np.ndarray) -> tuple[list[list[int]], list[bool]]:
-    """The ids of each unit, and whether their bytes are those of the unit. ``spelt`` and ``sizes`` have the bytes of each id and how many they are.
+class Spelling:
+    """The bytes of every id of a vocabulary, end to end."""
+
+    def __init__(self, spelt: list[bytes]):
+        self.sizes = np.array(list(map(len, spelt)), np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(spelt), np.uint8)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return self.letters[_spans(self.begins[ids], self.sizes[ids])]
+
+
+def _ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some texts end to end, and how many each has."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of so many neighbours each."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def _like(ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, lengths: np.ndarray, spelling: Spelling) -> np.ndarray:
+    """Which of some texts laid end to end have ids that spell out just their bytes."""
+    like = _sums(spelling.sizes[ids], counts) == lengths
+    if not like.all():
+        ids, raw = ids[np.repeat(like, counts)], raw[np.repeat(like, lengths)]
+    like[like] = _sums(spelling.of(ids) != raw, lengths[like]) == 0
+    return like
+
+
+def encode(units: list[bytes], batch: Callable[[list[str]], list[list[int]]], spelling: Spelling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of the units end to end, how many each unit has, and whether their bytes are those of the unit.
 
     Units that join are encoded together; where the bytes of a call are not those of its units, each is encoded alone.
     """
-    joins = [_joins(unit) for unit in units]
-    run = [k for k, fits in enumerate(joins) if fits]
-    parts = [run[k: k + _TOGETHER] for k in range(0, len(run), _TOGETHER)]
-    again = [k for k, fits in enumerate(joins) if not fits]
-    out, whole = [[]] * len(units), [True] * len(units)
-    texts = [b"".join([units[k] for k in part]) for part in parts]
-    for part, text, ids in zip(parts, texts, batch([t.decode() for t in texts]) if texts else ()):
-        if b"".join([spelt[i] for i in ids]) != text:
-            again.extend(part)
-            continue
-        wanted = np.cumsum([len(units[k]) for k in part])
-        ends = np.cumsum(sizes[ids])
-        at = np.searchsorted(ends, wanted)
-        if (ends[at] != wanted).any():
-            again.extend(part)
-            continue
-        lo = 0
-        for k, hi in zip(part, (at + 1).tolist()):
-            out[k] = ids[lo:hi]
-            lo = hi
-    for k, ids in zip(again, batch([units[k].decode() for k in again]) if again else ()):
-        out[k], whole[k] = ids, b"".join([spelt[i] for i in ids]) == units[k]
-    return out, whole
+    n = len(units)
+    lengths = np.fromiter(map(len, units), np.int64, n)
+    raw, ends = np.frombuffer(b"".join(units), np.uint8), np.cumsum(lengths)
+    begins, counts, whole = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    # whether another unit may follow this one, and this one another
+    joins = (lengths > 0) & (lengths < 4096)
+    last = raw[ends[joins] - 1]
+    solid = (last > 32) & (last < 127) | (lengths[joins] > 2) & (last > 127) & _solid(raw, ends[joins] - 1)
+    joins[joins] = solid & (raw[ends[joins] - lengths[joins]] == 32)
+    run = np.flatnonzero(joins)
+    out = np.zeros(0, np.int64)
+    if len(run):
+        edges = np.concatenate(([0], np.cumsum(lengths[run])))
+        first = np.arange(0, len(run), _TOGETHER)
+        joined, at = raw[np.repeat(joins, lengths)], edges[np.append(first, len(run))]
+        text = joined.tobytes()
+        ids, tokens = _ids(batch([text[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]))
+        good = _like(ids, tokens, joined, np.diff(at), spelling)
+        # where the units end among the tokens, for texts of the right bytes
+        right = np.repeat(good, tokens)
+        sizes = _sums(spelling.sizes[ids], tokens)
+        stops = np.cumsum(spelling.sizes[ids]) + np.repeat(at[:-1] - (np.cumsum(sizes) - sizes), tokens)
+        stops, out = stops[right], ids[right]
+        part = np.arange(len(run)) // _TOGETHER
+        fits = good[part]
+        wanted = edges[1:][fits]
+        place = np.searchsorted(stops, wanted)
+        missed = stops[np.minimum(place, len(stops) - 1)] != wanted if len(stops) else np.zeros(0, bool)
+        good[part[fits][missed]] = False
+        lo = np.concatenate(([0], place[:-1] + 1)) if len(place) else place
+        begins[run[fits]], counts[run[fits]] = lo, place + 1 - lo
+        joins[run] = good[part]
+    again = np.flatnonzero(~joins)
+    if len(again):
+        ids, tokens = _ids(batch([units[k].decode() for k in again.tolist()]))
+        whole[again] = _like(ids, tokens, raw[np.repeat(~joins, lengths)], lengths[again], spelling)
+        begins[again], counts[again] = len(out) + np.cumsum(tokens) - tokens, tokens
+        out = np.concatenate((out, ids))
+    return out[_spans(begins, counts)], counts, whole
+
+
+def _lists(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[list[list[int]], list[bool]]:
+    ids, counts, whole = found
+    ids, ends = ids.tolist(), np.cumsum(counts)
+    return [ids[a:b] for a, b in zip((ends - counts).tolist(), ends.tolist())], whole.tolist()
 
 
 #: How byte-level vocabularies spell bytes: printable Latin-1 as itself, the others as the characters from 256 on.
@@ -98,13 +154,17 @@ class ByteLevel:
         self.bytes = [b""] * self.tokenizer.get_vocab_size()
         for token, n in self.tokenizer.get_vocab().items():
             self.bytes[n] = bytes(_SPELT[c] for c in token) if all(c in _SPELT for c in token) else token.encode()
-        self.sizes = np.array(list(map(len, self.bytes)))
+        self.spelling = Spelling(self.bytes)
+        self.sizes = self.spelling.sizes
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def units(self, units: list[bytes]) -> tuple[list[list[int]], list[bool]]:
-        return encode(units, self.batch, self.bytes, self.sizes)
+        return _lists(self.flat(units))
+
+    def flat(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return encode(units, self.batch, self.spelling)
 
 
 class Pieces:
@@ -117,10 +177,11 @@ class Pieces:
         n = self.model.get_piece_size()
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
                       for i, p in enumerate(self.model.id_to_piece(list(range(n))))]
-        self.sizes = np.array(list(map(len, self.bytes)))
+        self.spelling = Spelling(self.bytes)
+        self.sizes = self.spelling.sizes
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode([t[1:] for t in texts], num_threads=1)
 
     def units(self, units: list[bytes]) -> tuple[list[list[int]], list[bool]]:
-        return encode(units, self.batch, self.bytes, self.sizes)
+        return _lists(encode(units, self.batch, self.spelling))

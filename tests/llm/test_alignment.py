@@ -102,3 +102,22 @@ def test_units_are_encoded_as_in_their_text():
             rows, whole = vocabulary.units(different)
             assert all(whole)
             assert [i for c in code for i in rows[c]] == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_units_whose_tokens_run_on_or_lose_bytes_are_encoded_alone():
+    import numpy as np
+
+    spelt = [bytes([k]) for k in range(256)] + [b"n w"]  # one id crosses from a unit into the next
+
+    def batch(texts):
+        return [[256 if c == "_" else ord(c) for c in text.replace("n w", "_") if c != "q"] for text in texts]
+
+    def plain(unit):
+        return [256 if c == "_" else ord(c) for c in unit.decode().replace("n w", "_") if c != "q"]
+
+    many = [b" u%d" % k for k in range(250)]
+    for wanted in ([], [b" n", b" w"], [b" q"], [b"", b" a"], many, many[:130] + [b" n", b" w"] + many[130:], many[:50] + [b" xq"] + many[50:] + [b"end", b" n", b" w"]):
+        ids, counts, whole = units.encode(wanted, batch, units.Spelling(spelt))
+        ends = np.cumsum(counts)
+        assert [ids[a:b].tolist() for a, b in zip(ends - counts, ends)] == [plain(u) for u in wanted]
+        assert whole.tolist() == [b"q" not in u for u in wanted]

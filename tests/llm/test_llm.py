@@ -509,6 +509,45 @@ def test_tokens(spark):
     assert tokens.token_files(docs_of(spark, []), path).count() == 0
 
 
+def _encoder(monkeypatch, remember):
+    """An encoder that remembers little, and the bytes that go through its tokenizer."""
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "_REMEMBER", remember)
+    encoder, sent = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    batch = encoder.vocabulary.batch
+    monkeypatch.setattr(encoder.vocabulary, "batch", lambda texts: sent.extend(texts) or batch(texts))
+
+    def encode(texts):
+        raw, at = flat.text_bytes(pa.array(texts))
+        ids, places = encoder.encode(raw, at, 2)
+        return [ids[a:b].tolist() for a, b in zip(places[:-1], places[1:])]
+
+    return encoder, sent, encode
+
+
+def test_common_pieces_are_remembered_past_many_rare_ones(monkeypatch):
+    encoder, sent, encode = _encoder(monkeypatch, 60)
+    common = [" ".join(f"word{chr(97 + k)}x" for k in range(20))] * 10
+    want = encode(common)
+    for n in range(5):
+        encode([" ".join("".join(random.Random(f"{n} {k}").choices("abcdefgh", k=9)) for k in range(300))])
+        sent.clear()
+        assert encode(common) == want and sent == []
+        assert len(encoder.known.used) == len(encoder.known.place) == len(encoder.known.ids) <= 120
+
+
+def test_tokens_are_those_of_whole_texts_whatever_is_remembered(monkeypatch):
+    r = random.Random(4)
+    bits = ["a", "é", " ", "  ", "\n", "'s", "12", "!", "\u2003", " the", "<|endoftext|>", " 日本", "\x85", " über", "\u0301", " w" * 40, "y" * 70]
+    for remember in (1, 7, 1000):
+        encoder, _, encode = _encoder(monkeypatch, remember)
+        for _ in range(12):
+            texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(r.randint(1, 30))]
+            assert encode(texts) == [encoder.vocabulary.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert encode(["", None]) == [[2], [2]]
+
+
 def test_equal_windows_choose_equal_anchors():
     text = prose(9, 300).encode()
     raw, at = flat.text_bytes(pa.array([text.decode(), "x " + text.decode()]))
