@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from parley.llm.flat import mix, text_bytes
 from parley.llm.graph import components, forest, groups, shrink
 from parley.llm.worker import tidied
-from parley.operators.skew import spread_join
+from parley.operators.skew import checked_broadcast, spread_join
 from parley.sources.store import materialise
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -140,16 +140,17 @@ def links(prints: DataFrame, distance: int = 3, crowd: int = CROWD) -> DataFrame
     if not 0 <= distance <= 31:
         raise ValueError("distance must lie between 0 and 31 bits")
     keyed = prints.select("node", "fp", F.explode(_variants(F.col("fp"), 64, _size(64, distance))).alias("k")).select("node", "fp", "k.*")
-    crowded = keyed.groupBy("piece", "value").count().where(F.col("count") > crowd).select("piece", "value")
-    plain = keyed.join(crowded, ["piece", "value"], "left_anti").select(
+    # Spark takes exploded rows to be as few as those they come from and would broadcast them: only keys that were counted may be
+    crowded = checked_broadcast(keyed.groupBy("piece", "value").count().where(F.col("count") > crowd).select("piece", "value"))
+    plain = keyed.hint("merge").join(crowded, ["piece", "value"], "left_anti").select(
         "*", F.lit(-1).alias("piece2"), F.lit(0).cast("long").alias("value2"), F.lit(2).alias("side2"))
-    deep = keyed.join(crowded, ["piece", "value"]).withColumn("rest", _rest(F.col("fp"), F.col("piece"), distance))
+    deep = keyed.hint("merge").join(crowded, ["piece", "value"]).withColumn("rest", _rest(F.col("fp"), F.col("piece"), distance))
     left_over = max(1, 64 - _size(64, distance))
     deep = deep.select("*", F.explode(_variants(F.col("rest"), left_over, _size(left_over, distance))).alias("k")).select(
         "piece", "value", "node", "fp", "side", F.col("k.piece").alias("piece2"), F.col("k.value").alias("value2"), F.col("k.side").alias("side2"))
     both = plain.unionByName(deep)
     key = ["piece", "value", "piece2", "value2"]
-    left = both.where("side <> 1").select(*key, F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("side2").alias("sa"))
+    left = both.where("side <> 1").select(*key, F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("side2").alias("sa")).hint("merge")
     right = both.where("side <> 0").select(*key, F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("side").alias("sb"), F.col("side2").alias("tb"))
     on = [left[c] == right[c] for c in key] + [
         F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance,
@@ -170,9 +171,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 3) -
     # a fingerprint is its own node, so those of rows without doc_id pass links on
     linked = materialise(classes.join(groups(links(classes.select(F.col("fp").alias("node"), "fp"), distance)), F.col("fp") == F.col("node")).drop("node"), "linked")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    least = spread_join(linked, least, ["component"], ["fp"], salts=8).select("fp", "least")
+    # the copies for the salts are exploded rows, and prints has a row for each document: neither is broadcast
+    least = spread_join(linked.hint("merge"), least, ["component"], ["fp"], salts=8).select("fp", "least")
     named = classes.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.hint("merge").join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def _bands(n: int) -> int:

@@ -125,6 +125,33 @@ def test_links_of_close_fingerprints(spark):
         assert {(min(x), max(x)) for x in got} == want
 
 
+@pytest.mark.parametrize("crowd", [2, 256])
+def test_no_exploded_rows_are_broadcast(spark, tmp_path, crowd, monkeypatch):
+    """Broadcasts take no rows from an explode, and none from the table of all documents, unless a shuffle measured them."""
+    monkeypatch.setattr(simhash.links, "__defaults__", (3, crowd))
+    r = random.Random(6)
+    base = [r.getrandbits(63) for _ in range(300)]
+    rows = [(n, fp) for n, fp in enumerate(base + [x ^ 1 << 5 for x in base[:20]] + base[:9])]
+    spark.createDataFrame(rows, "doc_id long, fp long").write.parquet(str(tmp_path / "prints"))  # a file, so that Spark knows a size
+    prints = spark.read.parquet(str(tmp_path / "prints"))
+    monkeypatch.setattr(simhash, "fingerprints", lambda documents, shingle: prints)
+    pairs = simhash.links(prints.select(F.col("fp").alias("node"), "fp").distinct())
+    named = simhash.near_duplicates(None)
+    assert {(min(x), max(x)) for x in pairs.collect()} == {tuple(sorted((x, x ^ 1 << 5))) for x in base[:20]}
+    assert {x.doc_id: x.component_id for x in named.collect()} == {n: n if n < 300 else (n - 300) % 20 for n, _ in rows}
+    for found in (pairs, named):
+        plan = [x for x in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if re.search(r"\w", x)]
+        deep = [re.search(r"\w", x).start() for x in plan]
+
+        def below(n):
+            return plan[n + 1:next((k for k in range(n + 1, len(plan)) if deep[k] <= deep[n]), len(plan))]
+
+        measured = {x for n, line in enumerate(plan) if "ShuffleQueryStage" in line for x in below(n)}
+        sent = [x for n, line in enumerate(plan) if "BroadcastExchange" in line for x in below(n) if x not in measured]
+        assert not [x for x in sent if "Generate" in x or "FileScan" in x and "doc_id" in x]
+        assert any("SortMergeJoin" in x for x in plan)
+
+
 def test_fingerprints_without_doc_id_pass_links_on(spark, monkeypatch):
     rows = [(5, 0), (None, 0b111), (7, 0b111111), (9, 1 << 60 | 0xFFFF), (9, -1), (None, 1 << 40 | 0xFFFFFFF), (11, 1 << 40 | 0xFFFFFFF)]
     monkeypatch.setattr(simhash, "fingerprints", lambda documents, shingle: spark.createDataFrame(rows, "doc_id long, fp long"))
