@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from parley.llm import (
     decontaminate, flat, mixing, neighbours, quality, queries, reputation, simhash, substring, suffix_windows, tokens, warc)
 from parley.llm.graph import components, forest
+from parley.operators.skew import checked_broadcast
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -125,10 +126,11 @@ def test_links_of_close_fingerprints(spark):
         assert {(min(x), max(x)) for x in got} == want
 
 
-@pytest.mark.parametrize("crowd", [2, 256])
-def test_no_exploded_rows_are_broadcast(spark, tmp_path, crowd, monkeypatch):
+@pytest.mark.parametrize("crowd, most", [(2, 200_000), (2, 0), (256, 200_000)])
+def test_no_exploded_rows_are_broadcast(spark, tmp_path, crowd, most, monkeypatch):
     """Broadcasts take no rows from an explode, and none from the table of all documents, unless a shuffle measured them."""
     monkeypatch.setattr(simhash.links, "__defaults__", (3, crowd))
+    monkeypatch.setattr(simhash, "checked_broadcast", lambda df: checked_broadcast(df, most))
     r = random.Random(6)
     base = [r.getrandbits(63) for _ in range(300)]
     rows = [(n, fp) for n, fp in enumerate(base + [x ^ 1 << 5 for x in base[:20]] + base[:9])]
